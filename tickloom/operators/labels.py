@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import clamp_atr, ratio, sl_touched, tp_touched
-from tickloom.operators.chunking import drop_halo, with_halo
+from tickloom.functions.scalars import clamp_atr, ratio
+from tickloom.operators.chunking import CHUNK, ORD, drop_halo, with_halo
 from tickloom.operators.rolling import rolling
 
 
@@ -29,26 +29,36 @@ class ForwardScan:
     scan never joins the table with itself and never builds per-row arrays of structs.
     """
 
-    def __init__(self, df: DataFrame, w: WindowSpec, horizon: int):
+    def __init__(self, df: DataFrame, keys: Sequence[str], horizon: int, arrays: dict[str, str] | None = None):
         self.horizon = horizon
         self.columns = [f"_{c}{k}" for k in range(1, horizon + 1) for c in ("high", "low")]
-        self.df = df.withColumns({
-            f"_{c}{k}": F.lead(c, k).over(w) for k in range(1, horizon + 1) for c in ("high", "low")
-        })
-
-    def first(self, hit, after: Column | None = None, limit: int | None = None) -> Column:
-        """Smallest step k whose bar satisfies ``hit(low, high)`` (strictly later than ``after``)."""
-        steps = []
-        for k in range(1, (limit or self.horizon) + 1):
-            cond = hit(F.col(f"_low{k}"), F.col(f"_high{k}"))
-            steps.append(F.when(cond if after is None else cond & (after < k), F.lit(k)))
-        return F.coalesce(*steps) if len(steps) > 1 else steps[0]
-
-    def first_tp(self, side: Column | str, tp: Column, after: Column | None = None) -> Column:
-        return self.first(lambda lo, hi: tp_touched(side, lo, hi, tp), after)
-
-    def first_sl(self, side: Column | str, sl: Column, after: Column | None = None) -> Column:
-        return self.first(lambda lo, hi: sl_touched(side, lo, hi, sl), after)
+        over = f"OVER (PARTITION BY {', '.join([*keys, CHUNK])} ORDER BY {ORD})"
+        leads = [f"lead({c}, {k}) {over} AS _{c}{k}" for k in range(1, horizon + 1) for c in ("high", "low")]
+        for name, column in (arrays or {}).items():
+            leads.append(f"array({', '.join(f'lead({column}, {k}) {over}' for k in range(1, horizon + 1))}) AS {name}")
+        # one SQL text per column: building the same expressions call by call costs seconds of driver time
+        self.df = df.selectExpr("*", *leads)
+
+    def first(self, condition: str, after: str | None = None, limit: int | None = None) -> Column:
+        """Smallest step k whose bar satisfies the SQL ``condition`` on {low}/{high}, later than ``after``."""
+        late = f" AND {after} < {{k}}" if after else ""
+        steps = [
+            f"CASE WHEN ({condition}){late} THEN {{k}} END".format(low=f"_low{k}", high=f"_high{k}", k=k)
+            for k in range(1, (limit or self.horizon) + 1)
+        ]
+        return F.expr(f"coalesce({', '.join([*steps, 'null'])})")
+
+    def first_tp(self, side: str | int, tp: str, after: str | None = None, limit: int | None = None) -> Column:
+        return self.first(self._by_side(side, f"{{high}} >= {tp}", f"{{low}} <= {tp}"), after, limit)
+
+    def first_sl(self, side: str | int, sl: str, after: str | None = None, limit: int | None = None) -> Column:
+        return self.first(self._by_side(side, f"{{low}} <= {sl}", f"{{high}} >= {sl}"), after, limit)
+
+    @staticmethod
+    def _by_side(side: str | int, long: str, short: str) -> str:
+        if isinstance(side, int):
+            return long if side > 0 else short
+        return f"({side} > 0 AND {long}) OR ({side} < 0 AND {short})"
 
     def done(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.columns)
@@ -70,12 +80,12 @@ def barrier_labels(
     Bars t+1..t+H are scanned; a bar touching both counts as the stop. The last H+1 rows of a key
     have no label; ``hit_step`` is zero-based.
     """
-    side = F.lit(1 if direction == "long" else -1)
+    side = 1 if direction == "long" else -1
     rows, w = with_halo(df, keys, back=0, ahead=horizon + 1)
-    scan = ForwardScan(rows, w, horizon)
+    scan = ForwardScan(rows, keys, horizon)
     out = scan.df.withColumns({
-        "_tp_at": scan.first_tp(side, F.col(tp)),
-        "_sl_at": scan.first_sl(side, F.col(sl)),
+        "_tp_at": scan.first_tp(side, tp),
+        "_sl_at": scan.first_sl(side, sl),
         "_full": F.lead("i", horizon + 1).over(w).isNotNull(),
     })
     valid = F.col("_full") & F.col(tp).isNotNull() & F.col(sl).isNotNull()
@@ -172,10 +182,8 @@ def best_expected_side(
         ))
 
     long, short = option("long", 1), option("short", -1)
-    if not allow_short:
-        return long
-    better_short = short.isNotNull() & (long.isNull() | (short["score"] > long["score"]))
-    return F.when(better_short, short).otherwise(long)
+    # structs order by (score, side): the higher score, on a tie the long side; NULLs are skipped
+    return F.greatest(long, short) if allow_short else long
 
 
 def no_entry_reason(

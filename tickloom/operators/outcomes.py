@@ -10,14 +10,14 @@ the chunks then walk independently. Money is a running product over the chosen t
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import Costs, limit_touched, taker_price
+from tickloom.functions.scalars import Costs, taker_price
 from tickloom.operators.chunking import drop_halo, running, with_halo
 from tickloom.operators.labels import ForwardScan, Geometry
 from tickloom.session import chunk_rows, durable
@@ -72,25 +72,22 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
     """
     g, h, steps = rules.geometry, rules.geometry.horizon, rules.reach
     rows, w = with_halo(df, keys, back=0, ahead=steps)
-    for name, p in (("l", "p_long"), ("s", "p_short")):
-        ok = F.coalesce((F.col(p) >= rules.threshold) & (F.col("atr") > 0), F.lit(False))
-        rows = rows.withColumn(f"{name}_ok", ok if rules.rollover else F.lit(False))
     tradable = F.lead("i").over(w).isNotNull() & (F.col("atr") > 0)
-    rows = rows.withColumn("side", F.when(tradable, F.col("side")).otherwise(0))
-    scan = ForwardScan(rows, w, steps)
-    s = F.col("side")
-    ahead = {"_ms": "ms", "_cl": "close", "_lok": "l_ok", "_sok": "s_ok"}
-    out = scan.df.withColumns({
-        name: F.array(*[F.lead(c, k).over(w) for k in range(1, steps + 1)]) for name, c in ahead.items()
-    })
+    may_roll = {
+        name: F.coalesce((F.col(p) >= rules.threshold) & (F.col("atr") > 0), F.lit(False)) if rules.rollover else F.lit(False)
+        for name, p in (("l_ok", "p_long"), ("s_ok", "p_short"))
+    }
+    rows = rows.withColumns({"side": F.when(tradable, F.col("side")).otherwise(0), **may_roll})
+    scan = ForwardScan(rows, keys, steps, arrays={"_ms": "ms", "_cl": "close", "_lok": "l_ok", "_sok": "s_ok"})
+    s, out = F.col("side"), scan.df
     if rules.maker_timeout is not None:
         limit = F.col("close")
-        touched = scan.first(lambda lo, hi: limit_touched(s, lo, hi, limit), limit=rules.maker_timeout)
+        touched = scan.first_sl("side", "close", limit=rules.maker_timeout)  # price comes back to the limit
         out = out.withColumns({
             "fill_step": F.when(s != 0, touched), "open_price": limit, "fill_price": limit,
             "_miss": F.lead("i", rules.maker_timeout + 1).over(w),
         })
-        after, deadline = F.col("fill_step"), F.col("fill_step") + h
+        after, deadline = "fill_step", F.col("fill_step") + h
     else:
         at_open = rules.hold == "backtest"
         price = F.lead("open").over(w) if at_open else F.col("close")
@@ -104,22 +101,27 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
         "tp": F.col("fill_price") + s * g.tp_mult * F.col("atr"),
         "sl": F.col("fill_price") - s * g.sl_mult * F.col("atr"),
     })
-    out = out.withColumns({"_tp": scan.first_tp(s, F.col("tp"), after), "_sl": scan.first_sl(s, F.col("sl"), after)})
+    out = out.withColumns({"_tp": scan.first_tp("side", "tp", after), "_sl": scan.first_sl("side", "sl", after)})
     filled = F.col("fill_step").isNotNull() & F.col("fill_price").isNotNull()
     out = out.withColumn("e", F.when(filled, _leg(
         F.col("_tp"), F.col("_sl"), deadline, _at("_cl", deadline), F.col("tp"), F.col("sl"))))
     rolls = F.when(s > 0, _at("_lok", "e.step")).otherwise(_at("_sok", "e.step"))
-    out = _continue(out, "e", rolls, F.when(s > 0, ROLL_LONG).otherwise(ROLL_SHORT), miss=F.col("_miss"))
-    out = out.withColumn("fill_ms", F.when(F.col("fill_step") == 0, F.col("ms")).otherwise(_at("_ms", "fill_step")))
+    out = out.withColumns({
+        **_continue("e", rolls, F.when(s > 0, ROLL_LONG).otherwise(ROLL_SHORT), miss=F.col("_miss")),
+        "fill_ms": F.when(F.col("fill_step") == 0, F.col("ms")).otherwise(_at("_ms", "fill_step")),
+    })
     if rules.rollover:
+        targets, touches, rolled, onward = {}, {}, {}, {}
         for name, sign, code in (("l", 1, ROLL_LONG), ("s", -1, ROLL_SHORT)):
             tp = F.col("close") + sign * g.tp_mult * F.col("atr")
             sl = F.col("close") - sign * g.sl_mult * F.col("atr")
-            side = F.lit(sign)
-            out = out.withColumns({"_tp": scan.first_tp(side, tp), "_sl": scan.first_sl(side, sl)})
-            leg = _leg(F.col("_tp"), F.col("_sl"), F.lit(h), _at("_cl", F.lit(h)), tp, sl)
-            out = out.withColumn(name, F.when(F.col(f"{name}_ok"), leg))
-            out = _continue(out, name, _at(f"_{name}ok", f"{name}.step"), F.lit(code))
+            targets |= {f"_{name}tpp": tp, f"_{name}slp": sl}
+            touches[f"_{name}tp"] = scan.first_tp(sign, f"_{name}tpp", limit=h)
+            touches[f"_{name}sl"] = scan.first_sl(sign, f"_{name}slp", limit=h)
+            leg = _leg(F.col(f"_{name}tp"), F.col(f"_{name}sl"), F.lit(h), _at("_cl", F.lit(h)), tp, sl)
+            rolled[name] = F.when(F.col(f"{name}_ok"), leg)
+            onward |= _continue(name, _at(f"_{name}ok", f"{name}.step"), F.lit(code))
+        out = out.withColumns(targets).withColumns(touches).withColumns(rolled).withColumns(onward)
         node = (s != 0) | F.col("l_ok") | F.col("s_ok")
     else:
         empty = "cast(null as struct<step:int,reason:string,price:double>)"
@@ -133,15 +135,13 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
     return drop_halo(out).filter(node).select(*keys, *kept, *named)
 
 
-def _continue(out: DataFrame, leg: str, rolls: Column, code: Column, miss: Column | None = None) -> DataFrame:
+def _continue(leg: str, rolls: Column, code: Column, miss: Column | None = None) -> dict[str, Column]:
     step = F.col(f"{leg}.step")
     state = F.when((F.col(f"{leg}.reason") == "timeout") & F.coalesce(rolls, F.lit(False)), code).otherwise(FLAT)
     onward = (F.col("i") + step) * 4 + state
     if miss is not None:
         onward = F.when(F.col("fill_step").isNull(), miss * 4).otherwise(onward)
-    return out.withColumns({
-        f"{leg}_ms": _at("_ms", step), f"{leg}_next": F.coalesce(onward.cast("long"), F.lit(NEVER)),
-    })
+    return {f"{leg}_ms": _at("_ms", step), f"{leg}_next": F.coalesce(onward.cast("long"), F.lit(NEVER))}
 
 
 # --- the walk ----------------------------------------------------------------------------------

@@ -44,12 +44,23 @@ class Ewm:
     min_periods: int = 1
 
     @property
-    def levels(self) -> int:
+    def steps(self) -> list[tuple[int, int]]:
+        """(rows covered so far, factor) per pass until every term that matters is in."""
         terms = math.log(EWM_TOLERANCE) / math.log1p(-self.alpha)
-        return max(1, math.ceil(math.log2(terms)))
+        plan, covered = [], 1
+        while covered < terms:
+            factor = 4 if covered * 2 < terms else 2
+            plan.append((covered, factor))
+            covered *= factor
+        return plan
 
     @property
     def reach(self) -> int:
+        covered, factor = self.steps[-1]
+        return covered * factor - 1
+
+
+def reach(self) -> int:
         return (1 << self.levels) - 1
 
 
@@ -58,26 +69,30 @@ def reach(specs: Mapping[str, Ewm]) -> int:
 
 
 def add_ewm(df: DataFrame, w: WindowSpec, specs: Mapping[str, Ewm], order: str = "i") -> DataFrame:
-    """Add exponentially weighted means by doubling.
+    """Add exponentially weighted means by repeated widening.
 
-    Level k adds the partial sum that ends 2^k rows earlier, weighted (1-alpha)^(2^k); after
-    ``levels`` steps every term above double rounding is in. Each level is one lag over the same
-    window, so the rows are shuffled and sorted once for all specs, and the scan has a bounded
-    look-back (unlike a running recurrence) which lets chunks of one symbol run in parallel.
+    A pass extends every partial sum from the last n terms to the last 4n (or 2n): it adds the
+    sums that ended n, 2n, 3n rows earlier, weighted (1-alpha)^n, ^2n, ^3n. A handful of passes
+    covers all terms above double rounding. Every pass is lags over one shared window, so rows are
+    shuffled and sorted once for all means, and the look-back is bounded (unlike a running
+    recurrence), which lets the chunks of one symbol run in parallel.
     """
     i = F.col(order)
-    for name, s in specs.items():
-        x = F.col(s.column)
-        df = df.withColumn(name, F.when(i == s.first, x).when(i > s.first, x * s.alpha))
-    for level in range(max(s.levels for s in specs.values())):
-        step = 1 << level
-        lagged = {
-            f"_lag_{n}": F.coalesce(F.lag(n, step).over(w), F.lit(0.0)) for n, s in specs.items() if level < s.levels
-        }
-        df = df.withColumns(lagged)
-        df = df.withColumns({
-            n: F.col(n) + F.lit((1.0 - specs[n].alpha) ** step) * F.col(f"_lag_{n}") for n in (k[5:] for k in lagged)
-        }).drop(*lagged)
+    df = df.withColumns({
+        name: F.when(i == s.first, F.col(s.column)).when(i > s.first, F.col(s.column) * s.alpha)
+        for name, s in specs.items()
+    })
+    for level in range(max(len(s.steps) for s in specs.values())):
+        wider = {}
+        for name, s in specs.items():
+            if level >= len(s.steps):
+                continue
+            n, factor = s.steps[level]
+            total = F.col(name)
+            for k in range(1, factor):
+                total = total + F.coalesce(F.lag(name, k * n).over(w) * (1.0 - s.alpha) ** (k * n), F.lit(0.0))
+            wider[name] = total
+        df = df.withColumns(wider)
     return df.withColumns({
         n: F.when(i >= s.first + s.min_periods - 1, F.col(n)) for n, s in specs.items()
     })
