@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from tickloom.functions.timeframes import TIMEFRAME_MS
 
 
+_SHARED: dict = {}
+
+
+def shared(df_key: tuple, build) -> DataFrame:
+    """A stage many queries start from, kept by Spark's cache for the life of the session.
+
+    Cached partitions keep their lineage, so a lost executor only costs a recomputation.
+    """
+    frame = _SHARED.get(df_key)
+    if frame is None:
+        frame = _SHARED[df_key] = build().persist()
+    return frame
+
+
 def rounded(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:
     """Doubles rounded for comparison across engines (and -0.0 folded into 0.0)."""
     return df.select(*[

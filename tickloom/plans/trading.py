@@ -13,7 +13,7 @@ from tickloom.operators import labels as L
 from tickloom.operators import metrics as M
 from tickloom.operators import outcomes as O
 from tickloom.plans import inputs
-from tickloom.plans.common import SCORED, indicators_cte, rounded, to_ts_sql
+from tickloom.plans.common import SCORED, indicators_cte, rounded, shared, to_ts_sql
 from tickloom.plans.market import STRUCTURE
 
 QUERIES: dict = {}
@@ -36,9 +36,13 @@ LONG_SHORT = RULES
 MAKER = O.Rules(geometry=L.Geometry(1.5, 2.0, 12), threshold=0.8, maker_timeout=3)
 
 
+def scored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.scored(FE.with_indicators(inputs.bars(spark, sf), "1h"))
+
+
 def signals(spark: SparkSession, sf: str, threshold: float = 0.8) -> DataFrame:
     """Scored hourly bars with the side each bar asks for."""
-    df = inputs.scored(FE.with_indicators(inputs.bars(spark, sf), "1h"))
+    df = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
     picked = L.stronger_side("p_long", "p_short", threshold)
     return df.withColumn("_s", picked).select("*", F.col("_s.side").alias("side"), F.col("_s.p").alias("p_side")).drop("_s")
 
@@ -160,7 +164,8 @@ TRADE_SELECT = f"""SELECT symbol, side::int AS side, round(prob, 6) AS prob, {to
 
 
 def booked(spark, sf, rules: O.Rules = RULES) -> DataFrame:
-    return O.evaluate(signals(spark, sf, rules.threshold), rules)
+    key = (spark.sparkContext.applicationId, sf, rules)
+    return shared(key, lambda: O.evaluate(signals(spark, sf, rules.threshold), rules))
 
 
 @query("trades_chain", f"{BASE}, {chain_sql()} {TRADE_SELECT}")
@@ -184,7 +189,7 @@ eq AS (SELECT symbol, i, ms, close, CASE WHEN entry_i IS NOT NULL AND (exit_i IS
 
 def equity(spark, sf, rules: O.Rules = RULES) -> DataFrame:
     s = signals(spark, sf, rules.threshold)
-    return O.equity_curve(s.select("symbol", "i", "ms", "close"), O.evaluate(s, rules), rules)
+    return O.equity_curve(s.select("symbol", "i", "ms", "close"), booked(spark, sf, rules), rules)
 
 
 @query("trade_equity", f"{BASE}, {chain_sql()}, {EQUITY} SELECT symbol, {to_ts_sql('ms')} AS ts, close, round(equity, 6) AS equity, round(cash, 6) AS cash FROM eq")
