@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
 from tickloom.operators.metrics import sharpe, sigmas_from_zero
+from tickloom.session import durable
 
 
 def split_windows(panel: DataFrame, n_windows: int, warmup: int, min_tradable: int = 60, keys: Sequence[str] = (),
@@ -96,65 +97,64 @@ def rebalanced_curve(panel: DataFrame, weights: DataFrame, rate: float, initial:
     net, turnover (share of equity traded on rebalance rows), cost.
     """
     keys = list(keys)
-    rebalances = weights.groupBy(*keys, "i").agg(F.sum("weight").alias("_sum_w"))
     in_order = W.partitionBy(*keys).orderBy("i")
-    rows = panel.select(*keys, "i").distinct().filter(F.col("i") >= first_row)
-    rows = rows.join(rebalances.withColumn("_seg", F.col("i")), [*keys, "i"], "left")
     upto = in_order.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "_seg": F.last("_seg", ignorenulls=True).over(upto),
-        "_prev_seg": F.last("_seg", ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, -1)),
-    })
+    weights = durable(weights.select(*keys, "i", "symbol", "weight", "price"))
+    priced = panel.select(*keys, "i", "symbol", "close")
+    rebalances = weights.select(*keys, "i").distinct().withColumn("next_i", F.lead("i").over(in_order))
+    rows = priced.select(*keys, "i").distinct().filter(F.col("i") >= first_row)
+    rows = rows.join(rebalances.select(*keys, "i", F.col("i").alias("seg")), [*keys, "i"], "left")
+    rows = rows.withColumn("seg", F.last("seg", ignorenulls=True).over(upto))
+
     # every row is valued in its own segment, a rebalance row also in the one it closes
-    valued = rows.filter(F.col("_seg").isNotNull()).select(*keys, "i", F.col("_seg").alias("seg"))
-    closing = rows.filter((F.col("_seg") == F.col("i")) & F.col("_prev_seg").isNotNull()).select(*keys, "i", F.col("_prev_seg").alias("seg"))
-    marks = valued.unionByName(closing)
+    valued = rows.filter(F.col("seg").isNotNull()).select(*keys, "i", "seg", F.lit(False).alias("closes"))
+    closing = rebalances.filter(F.col("next_i").isNotNull()).select(*keys, F.col("next_i").alias("i"), F.col("i").alias("seg"), F.lit(True).alias("closes"))
     held = weights.select(*keys, F.col("i").alias("seg"), "symbol", "weight", F.col("price").alias("_p0"))
-    priced = panel.select(*keys, "i", "symbol", "close")
-    cells = marks.join(held, [*keys, "seg"]).join(priced, [*keys, "i", "symbol"])
+    cells = valued.unionByName(closing).join(held, [*keys, "seg"]).join(priced, [*keys, "i", "symbol"])
     cells = cells.withColumn("_v", F.col("weight") * F.col("close") / F.col("_p0"))
-    per_row = cells.groupBy(*keys, "seg", "i").agg(
-        F.sum("_v").alias("_net"), F.sum(F.abs("_v")).alias("_gross"), (1.0 - F.sum("weight") + F.sum("_v")).alias("_growth"))
+    per_row = cells.groupBy(*keys, "seg", "i", "closes").agg(
+        F.sum("_v").alias("net"), F.sum(F.abs("_v")).alias("gross"), (1.0 - F.sum("weight") + F.sum("_v")).alias("growth"))
     if daily_drag:
         # holdings are charged every evening; the row closing a segment is marked before its charge
-        closes = F.col("i") == F.lead("i").over(W.partitionBy(*keys, "i").orderBy("seg"))
         since = W.partitionBy(*keys, "seg").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-        charged = F.sum("_net").over(since) - F.when(F.coalesce("_closes", F.lit(False)), F.col("_net")).otherwise(0.0)
-        per_row = per_row.withColumn("_closes", closes).withColumn("_growth", F.col("_growth") - charged * daily_drag).drop("_closes")
-
-    # cost chain: for each rebalance the pairs (new weight, drifted old weight before division by growth)
-    drifted = cells.join(closing, [*keys, "seg", "i"], "left_semi").select(*keys, "i", "symbol", F.col("_v").alias("_old"))
+        charged = F.sum("net").over(since) - F.when(F.col("closes"), F.col("net")).otherwise(0.0)
+        per_row = per_row.withColumn("growth", F.col("growth") - charged * daily_drag)
+    per_row = durable(per_row)  # one row per date and curve; read by each step below
+
+    # cost chain: per rebalance the pairs (new weight, drifted old weight before division by growth)
+    ends = rebalances.filter(F.col("next_i").isNotNull())
+    drifted = weights.join(ends, [*keys, "i"]).select(*keys, F.col("next_i").alias("i"), "symbol", "weight", F.col("price").alias("_p0"))
+    drifted = drifted.join(priced, [*keys, "i", "symbol"]).select(*keys, "i", "symbol", (F.col("weight") * F.col("close") / F.col("_p0")).alias("_old"))
     pairs = weights.select(*keys, "i", "symbol", "weight").join(drifted, [*keys, "i", "symbol"], "full")
     pairs = pairs.groupBy(*keys, "i").agg(F.collect_list(F.struct(
         F.coalesce("weight", F.lit(0.0)).alias("w"), F.coalesce("_old", F.lit(0.0)).alias("v"))).alias("pairs"))
-    closed_growth = per_row.join(closing, [*keys, "seg", "i"], "left_semi").select(*keys, "i", F.col("_growth").alias("g"))
-    steps = pairs.join(closed_growth, [*keys, "i"], "left").select(*keys, F.struct("i", "g", "pairs").alias("_s"))
-    chain = steps.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_steps")) if keys else steps.agg(F.sort_array(F.collect_list("_s")).alias("_steps"))
-    folded = F.aggregate("_steps", F.expr("cast(array() as array<struct<i:bigint,turnover:double,cost:double>>)"),
+    grown = per_row.filter("closes").select(*keys, "i", F.col("growth").alias("g"))
+    steps = pairs.join(grown, [*keys, "i"], "left").select(*keys, F.struct("i", "g", "pairs").alias("_s"))
+    chain = steps.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_steps"))
+    folded = F.aggregate("_steps", F.expr("cast(array() as array<struct<i:bigint,g:double,turnover:double,cost:double>>)"),
                          lambda acc, s: F.concat(acc, F.array(_rebalance_cost(acc, s, rate))))
     costs = chain.select(*keys, F.explode(folded).alias("_c")).select(*keys, "_c.*")
-
-    own = per_row.join(costs.select(*keys, F.col("i").alias("seg"), F.col("cost")), [*keys, "seg"])
-    own = own.withColumn("_growth", F.col("_growth") - F.col("cost"))
-    ends = own.join(closing, [*keys, "seg", "i"], "left_semi").select(*keys, "i", F.col("_growth").alias("_factor"))
-    start = costs.select(*keys, "i").join(ends, [*keys, "i"], "left")
-    start = start.select(*keys, F.col("i").alias("seg"), (F.product(F.coalesce("_factor", F.lit(1.0))).over(upto) * initial).alias("_start"))
-    current = own.join(valued, [*keys, "seg", "i"], "left_semi").join(start, [*keys, "seg"])
-    current = current.select(
-        *keys, "i", "seg", (F.col("_start") * F.col("_growth")).alias("equity"),
-        (F.col("_gross") / F.col("_growth") * 100.0).alias("gross_pct"), (F.col("_net") / F.col("_growth") * 100.0).alias("net_pct"), "_start")
-    out = rows.select(*keys, "i").join(current, [*keys, "i"], "left").join(costs, [*keys, "i"], "left")
-    return out.select(
-        *keys, "i", F.coalesce("equity", F.lit(float(initial))).alias("equity"), F.coalesce("gross_pct", F.lit(0.0)).alias("gross_pct"),
-        F.coalesce("net_pct", F.lit(0.0)).alias("net_pct"), (F.col("turnover") * F.col("_start")).alias("traded"),
-        (F.col("cost") * F.col("_start")).alias("cost"))
+    # equity right before each rebalance: product of the closed segments' growth after their cost
+    factor = F.coalesce(F.col("g") - F.lag("cost").over(in_order), F.lit(1.0))
+    costs = costs.withColumn("_factor", factor).withColumn("_start", F.product("_factor").over(upto) * initial)
+    costs = durable(costs.select(*keys, F.col("i").alias("seg"), "turnover", "cost", "_start"))
+
+    own = per_row.filter(~F.col("closes")).join(costs, [*keys, "seg"]).withColumn("growth", F.col("growth") - F.col("cost"))
+    at_rebalance = F.col("i") == F.col("seg")
+    own = own.select(
+        *keys, "i", (F.col("_start") * F.col("growth")).alias("equity"), (F.col("gross") / F.col("growth") * 100.0).alias("gross_pct"),
+        (F.col("net") / F.col("growth") * 100.0).alias("net_pct"), F.when(at_rebalance, F.col("turnover") * F.col("_start")).alias("traded"),
+        F.when(at_rebalance, F.col("cost") * F.col("_start")).alias("cost"))
+    before = rows.filter(F.col("seg").isNull()).select(
+        *keys, "i", F.lit(float(initial)).alias("equity"), F.lit(0.0).alias("gross_pct"), F.lit(0.0).alias("net_pct"))
+    return own.unionByName(before, allowMissingColumns=True)
 
 
 def _rebalance_cost(acc: Column, s: Column, rate: float) -> Column:
     paid = F.when(F.size(acc) > 0, F.element_at(acc, -1)["cost"]).otherwise(F.lit(0.0))
     growth = F.coalesce(s["g"] - paid, F.lit(1.0))
     turnover = F.aggregate(s["pairs"], F.lit(0.0), lambda t, p: t + F.abs(p["w"] - p["v"] / growth))
-    return F.struct(s["i"].cast("long").alias("i"), turnover.alias("turnover"), (turnover * rate).alias("cost"))
+    return F.struct(s["i"].cast("long").alias("i"), s["g"].alias("g"), turnover.alias("turnover"), (turnover * rate).alias("cost"))
 
 
 def curve_report(curve: DataFrame, dates: DataFrame, benchmark: DataFrame, keys: Sequence[str], bars_per_year: float,

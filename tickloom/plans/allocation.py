@@ -10,7 +10,8 @@ from tickloom.operators import portfolio as P
 from tickloom.operators import ranking as R
 from tickloom.operators import screen as S
 from tickloom.plans import inputs
-from tickloom.plans.common import hashed_sql, rounded, shared
+from tickloom.plans.common import rounded, shared
+from tickloom.session import durable
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -93,7 +94,7 @@ def curve_sql(w: str, panel: str, rate: float, initial: float, first_row: int, o
 {out}old AS (SELECT g.k, g.n + 1 AS n, w.symbol, w.weight * p.close / w.price AS v FROM {out}g g JOIN {w} w ON w.k = g.k AND w.i = g.seg JOIN {panel} p ON p.k = g.k AND p.i = g.i AND p.symbol = w.symbol WHERE g.ni = g.i),
 {out}new AS (SELECT r.k, r.n, w.symbol, w.weight FROM {out}r r JOIN {w} w ON w.k = r.k AND w.i = r.i),
 {out}pr AS (SELECT k, n, list(struct_pack(w := coalesce(weight, 0), v := coalesce(v, 0))) AS pairs FROM {out}new FULL JOIN {out}old USING (k, n, symbol) GROUP BY k, n),
-{out}st AS (SELECT pr.k, pr.n, pairs, g.growth AS gg FROM {out}pr pr LEFT JOIN {out}g g ON g.k = pr.k AND g.n = pr.n - 1 AND g.ni = g.i),
+{out}st AS MATERIALIZED (SELECT pr.k, pr.n, pairs, g.growth AS gg FROM {out}pr pr LEFT JOIN {out}g g ON g.k = pr.k AND g.n = pr.n - 1 AND g.ni = g.i),
 {out}c AS (SELECT k, n, 1.0::double AS e, list_sum(list_transform(pairs, lambda x: abs(x.w - x.v)))::double AS turnover FROM {out}st WHERE n = 1
   UNION ALL SELECT s.k, s.n, c.e * (s.gg - {rate}::double * c.turnover), list_sum(list_transform(s.pairs, lambda x: abs(x.w - x.v / (s.gg - {rate}::double * c.turnover)))) FROM {out}c c JOIN {out}st s ON s.k = c.k AND s.n = c.n + 1),
 {out} AS (SELECT x.k, x.i, coalesce({initial}::double * c.e * (g.growth - {rate}::double * c.turnover), {initial}::double) AS equity, coalesce(g.gross / (g.growth - {rate}::double * c.turnover) * 100, 0) AS gross_pct,
@@ -144,7 +145,11 @@ mx AS ({' UNION ALL '.join(parts)})"""
 
 
 def matrix(spark, sf):
-    windows = R.split_windows(dense25(spark, sf), NWIN, WARM, min_tradable=60)
+    return shared((spark.sparkContext.applicationId, sf, "matrix"), lambda: build_matrix(spark, sf))
+
+
+def build_matrix(spark, sf):
+    windows = durable(R.split_windows(dense25(spark, sf), NWIN, WARM, min_tradable=60))
     keys = ["window"]
     bench = C.basket_curve(windows.filter(F.col("i") >= WARM), 10_000.0, keys)
     dates = windows.select("window", "i", "date").distinct()
@@ -316,7 +321,7 @@ CAD, BAND = 30, 25.0
 def schedule_sql() -> str:
     return f"""{BW}, pa AS (SELECT a.i AS a, t.i AS t, a.symbol, w.weight, w.weight * t.close / a.close AS v FROM d a JOIN bw w USING (symbol) JOIN d t ON t.symbol = a.symbol AND t.i BETWEEN a.i + 1 AND a.i + {CAD}),
 pt AS (SELECT a, t, max(abs(v / (tot) - weight)) * 100 AS dr FROM (SELECT *, sum(v) OVER (PARTITION BY a, t) + 1 - sum(weight) OVER (PARTITION BY a, t) AS tot FROM pa) GROUP BY 1, 2),
-jp AS (SELECT a, min(t) AS t, arg_min(dr, t) AS dr FROM pt WHERE t - a >= {CAD} OR dr >= {BAND} GROUP BY a),
+jp AS MATERIALIZED (SELECT a, min(t) AS t, arg_min(dr, t) AS dr FROM pt WHERE t - a >= {CAD} OR dr >= {BAND} GROUP BY a),
 sch AS (SELECT 0::bigint AS i, NULL::double AS dr UNION ALL SELECT jp.t, jp.dr FROM sch JOIN jp ON jp.a = sch.i)"""
 
 
@@ -335,7 +340,7 @@ kb AS (SELECT * FROM kw WHERE i = 0), {curve_sql('kb', 'kp', 0.0012, 10000.0, 0,
 
 def portfolio_curves(spark, sf):
     p = dense5(spark, sf)
-    plan = P.rebalance_schedule(p, fixed_targets(spark, sf), CAD, BAND).select("i")
+    plan = durable(P.rebalance_schedule(p, fixed_targets(spark, sf), CAD, BAND).select("i"))
     w = p.join(plan, "i").join(F.broadcast(base(spark)), "symbol").select("i", "symbol", "weight", F.col("close").alias("price"))
     curve = R.rebalanced_curve(p, w, 0.0012, 10_000.0, daily_drag=0.000005)
     hold = R.rebalanced_curve(p, w.filter("i = 0"), 0.0012, 10_000.0, daily_drag=0.000005)

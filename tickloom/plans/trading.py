@@ -101,21 +101,21 @@ et AS (SELECT e.symbol, e.i, min(CASE WHEN (e.side > 0 AND x.high >= e.tp) OR (e
   FROM eb e JOIN sig x ON x.symbol = e.symbol AND x.i BETWEEN e.i + 1 AND e.i + {h + 1} GROUP BY 1, 2),
 el AS (SELECT e.*, CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN 'sl' WHEN t IS NOT NULL THEN 'tp' WHEN e.i + {h + 1} <= last_i THEN 'timeout' END AS reason,
   CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN l WHEN t IS NOT NULL THEN t WHEN e.i + {h + 1} <= last_i THEN e.i + {h + 1} END AS end_i FROM eb e LEFT JOIN et USING (symbol, i)),
-ep AS (SELECT el.*, CASE reason WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c.close END AS price FROM el LEFT JOIN sig c ON c.symbol = el.symbol AND c.i = el.end_i),
+ep AS MATERIALIZED (SELECT el.*, CASE reason WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c.close END AS price FROM el LEFT JOIN sig c ON c.symbol = el.symbol AND c.i = el.end_i),
 rn AS (SELECT symbol, i, 1 AS side, close, atr, last_i FROM sig WHERE p_long >= {thr}::double AND atr > 0 AND {rollover} UNION ALL SELECT symbol, i, -1, close, atr, last_i FROM sig WHERE p_short >= {thr}::double AND atr > 0 AND {rollover}),
 rb AS (SELECT *, close + side * {tp}::double * atr AS tp, close - side * {sl}::double * atr AS sl FROM rn),
 rt AS (SELECT e.symbol, e.i, e.side, min(CASE WHEN (e.side > 0 AND x.high >= e.tp) OR (e.side < 0 AND x.low <= e.tp) THEN x.i END) AS t, min(CASE WHEN (e.side > 0 AND x.low <= e.sl) OR (e.side < 0 AND x.high >= e.sl) THEN x.i END) AS l
   FROM rb e JOIN sig x ON x.symbol = e.symbol AND x.i BETWEEN e.i + 1 AND e.i + {h} GROUP BY 1, 2, 3),
 rl AS (SELECT e.*, CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN 'sl' WHEN t IS NOT NULL THEN 'tp' WHEN e.i + {h} <= last_i THEN 'timeout' END AS reason,
   CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN l WHEN t IS NOT NULL THEN t WHEN e.i + {h} <= last_i THEN e.i + {h} END AS end_i FROM rb e LEFT JOIN rt USING (symbol, i, side)),
-rp AS (SELECT rl.*, CASE reason WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c.close END AS price FROM rl LEFT JOIN sig c ON c.symbol = rl.symbol AND c.i = rl.end_i)"""
+rp AS MATERIALIZED (SELECT rl.*, CASE reason WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c.close END AS price FROM rl LEFT JOIN sig c ON c.symbol = rl.symbol AND c.i = rl.end_i)"""
 
 
 def chain_sql(thr: float = 0.8, h: int = 12, tp: float = 1.5, sl: float = 2.0, slip: float = 0.0002, fee: float = 0.001,
               pct: float = 0.1, rollover: bool = True) -> str:
     """Trades of one position per symbol, then the compounding account, by recursive walks."""
     return f"""{leg_sql(thr, h, tp, sl, slip, rollover)},
-nx AS (SELECT symbol, i AS at_i, (SELECT min(s.i) FROM ep s WHERE s.symbol = a.symbol AND s.i >= a.i) AS sig_i FROM sig a),
+nx AS MATERIALIZED (SELECT symbol, i AS at_i, (SELECT min(s.i) FROM ep s WHERE s.symbol = a.symbol AND s.i >= a.i) AS sig_i FROM sig a),
 ch AS (SELECT ep.symbol, ep.i AS entry_i, ep.side, ep.end_i, ep.reason, ep.price, 0 AS rolls FROM ep JOIN (SELECT symbol, min(i) AS i FROM ep GROUP BY 1) USING (symbol, i)
   UNION ALL
   SELECT c.symbol, CASE WHEN r.i IS NOT NULL THEN c.entry_i ELSE e.i END, CASE WHEN r.i IS NOT NULL THEN c.side ELSE e.side END,
