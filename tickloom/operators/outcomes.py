@@ -47,6 +47,15 @@ class Rules:
         return h + 1 if self.hold == "backtest" else h
 
 
+# Scenario columns: when the input has one of these, it overrides the rule of the same name per row,
+# so a whole grid of rule variants is one job with the scenario as an extra key.
+PARAMS = ("tp_mult", "sl_mult", "threshold", "slippage", "taker_fee")
+
+
+def _param(df: DataFrame, name: str, default: float) -> Column:
+    return F.col(name) if name in df.columns else F.lit(float(default))
+
+
 def _leg(first_tp: Column, first_sl: Column, deadline: Column, last_close: Column, tp: Column, sl: Column) -> Column:
     """struct(step, reason, price) of a bracket; NULL members while the data ends first."""
     stopped = first_sl.isNotNull() & (first_sl <= deadline) & (first_tp.isNull() | (first_sl <= first_tp))
@@ -71,10 +80,12 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
     time, and ``<leg>_next`` = (ordinal * 4 + state) where the walk continues.
     """
     g, h, steps = rules.geometry, rules.geometry.horizon, rules.reach
+    tp_mult, sl_mult = _param(df, "tp_mult", g.tp_mult), _param(df, "sl_mult", g.sl_mult)
+    threshold, slippage = _param(df, "threshold", rules.threshold), _param(df, "slippage", rules.costs.slippage)
     rows, w = with_halo(df, keys, back=0, ahead=steps)
     tradable = F.lead("i").over(w).isNotNull() & (F.col("atr") > 0)
     may_roll = {
-        name: F.coalesce((F.col(p) >= rules.threshold) & (F.col("atr") > 0), F.lit(False)) if rules.rollover else F.lit(False)
+        name: F.coalesce((F.col(p) >= threshold) & (F.col("atr") > 0), F.lit(False)) if rules.rollover else F.lit(False)
         for name, p in (("l_ok", "p_long"), ("s_ok", "p_short"))
     }
     rows = rows.withColumns({"side": F.when(tradable, F.col("side")).otherwise(0), **may_roll})
@@ -95,11 +106,11 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
             "fill_step": F.when(s != 0, F.lit(1 if at_open else 0)), "open_price": price,
             "_miss": F.lit(None).cast("long"),
         })
-        out = out.withColumn("fill_price", taker_price("open_price", s > 0, rules.costs.slippage))
+        out = out.withColumn("fill_price", taker_price("open_price", s > 0, slippage))
         after, deadline = None, F.lit(steps)
     out = out.withColumns({
-        "tp": F.col("fill_price") + s * g.tp_mult * F.col("atr"),
-        "sl": F.col("fill_price") - s * g.sl_mult * F.col("atr"),
+        "tp": F.col("fill_price") + s * tp_mult * F.col("atr"),
+        "sl": F.col("fill_price") - s * sl_mult * F.col("atr"),
     })
     out = out.withColumns({"_tp": scan.first_tp("side", "tp", after), "_sl": scan.first_sl("side", "sl", after)})
     filled = F.col("fill_step").isNotNull() & F.col("fill_price").isNotNull()
@@ -113,8 +124,8 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
     if rules.rollover:
         targets, touches, rolled, onward = {}, {}, {}, {}
         for name, sign, code in (("l", 1, ROLL_LONG), ("s", -1, ROLL_SHORT)):
-            tp = F.col("close") + sign * g.tp_mult * F.col("atr")
-            sl = F.col("close") - sign * g.sl_mult * F.col("atr")
+            tp = F.col("close") + tp_mult * sign * F.col("atr")
+            sl = F.col("close") - sl_mult * sign * F.col("atr")
             targets |= {f"_{name}tpp": tp, f"_{name}slp": sl}
             touches[f"_{name}tp"] = scan.first_tp(sign, f"_{name}tpp", limit=h)
             touches[f"_{name}sl"] = scan.first_sl(sign, f"_{name}slp", limit=h)
@@ -128,7 +139,8 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
         for name in ("l", "s"):
             out = out.withColumns({name: F.expr(empty), f"{name}_ms": F.lit(None).cast("long"), f"{name}_next": F.lit(NEVER)})
         node = s != 0
-    kept = ["i", "ms", "side", "p_side", "l_ok", "s_ok", "open_price", "fill_price", "fill_step", "fill_ms", "tp", "sl"]
+    kept = ["i", "ms", "side", "p_side", "l_ok", "s_ok", "open_price", "fill_price", "fill_step", "fill_ms", "tp", "sl",
+            *[c for c in PARAMS if c in df.columns]]
     named = [
         F.col(f"{leg}.{c}").alias(f"{leg}_{c}") for leg in ("e", "l", "s") for c in ("step", "reason", "price")
     ] + [F.col(f"{leg}_{c}") for leg in ("e", "l", "s") for c in ("ms", "next")]
@@ -271,12 +283,13 @@ def trades(taken: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) ->
     filled = taken.filter(~entry | F.col("fill_step").isNotNull())
     tagged = running(filled, keys, {"entry_i": ("last", F.when(entry, F.col("i")))})
     pick = lambda c: F.when(F.col("kind") == FLAT, F.col(f"e_{c}")).when(F.col("kind") == ROLL_LONG, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}"))
+    given = [c for c in PARAMS if c in taken.columns]
     tagged = tagged.select(
-        *keys, "entry_i", "i", "kind", "side", "p_side", "ms", "fill_ms", "open_price", "fill_price", "fill_step",
+        *keys, *given, "entry_i", "i", "kind", "side", "p_side", "ms", "fill_ms", "open_price", "fill_price", "fill_step",
         (F.col("i") + pick("step")).alias("exit_i"), pick("reason").alias("exit_reason"),
         pick("price").alias("raw_exit"), pick("ms").alias("exit_ms"),
     )
-    opened = F.when(entry, F.struct("side", "p_side", "ms", "fill_ms", "open_price", "fill_price", (F.col("i") + F.col("fill_step")).alias("fill_i")))
+    opened = F.when(entry, F.struct("side", "p_side", "ms", "fill_ms", "open_price", "fill_price", (F.col("i") + F.col("fill_step")).alias("fill_i"), *given))
     last = F.struct("exit_i", "exit_reason", "raw_exit", "exit_ms")
     grouped = tagged.groupBy(*keys, "entry_i").agg(
         F.max(opened).alias("_o"), F.max_by(last, "i").alias("_x"),
@@ -286,6 +299,7 @@ def trades(taken: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) ->
         *keys, "entry_i", F.col("_o.side").alias("side"), F.col("_o.p_side").alias("prob"), F.col("_o.ms").alias("signal_ms"),
         F.col("_o.fill_ms").alias("entry_ms"), F.col("_o.fill_i").alias("fill_i"), F.col("_o.open_price").alias("open_price"),
         F.col("_o.fill_price").alias("entry_price"), "_x.*", "rollovers",
+        *[F.col(f"_o.{c}").alias(c) for c in given],
     )
     return price_trades(out, rules)
 
@@ -293,15 +307,15 @@ def trades(taken: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) ->
 def price_trades(out: DataFrame, rules: Rules) -> DataFrame:
     """Effective exit price and per-unit costs of raw trades under one cost model."""
     c, maker = rules.costs, rules.maker_timeout is not None
-    side = F.col("side")
+    side, slippage, taker = F.col("side"), _param(out, "slippage", c.slippage), _param(out, "taker_fee", c.taker_fee)
     at_limit = (F.col("exit_reason") == "tp") if maker else F.lit(False)
-    exit_price = F.when(at_limit, F.col("raw_exit")).otherwise(taker_price("raw_exit", side < 0, c.slippage))
-    exit_rate = F.when(at_limit, c.maker_fee).otherwise(c.taker_fee)
+    exit_price = F.when(at_limit, F.col("raw_exit")).otherwise(taker_price("raw_exit", side < 0, slippage))
+    exit_rate = F.when(at_limit, c.maker_fee).otherwise(taker)
     out = out.withColumn("exit_price", exit_price)
     return out.withColumns({
-        "unit_fees": F.col("entry_price") * (c.maker_fee if maker else c.taker_fee) + F.col("exit_price") * exit_rate,
+        "unit_fees": F.col("entry_price") * (F.lit(c.maker_fee) if maker else taker) + F.col("exit_price") * exit_rate,
         "unit_gross": side * (F.col("exit_price") - F.col("entry_price")),
-        "entry_fee_rate": F.lit(c.maker_fee if maker else c.taker_fee),
+        "entry_fee_rate": F.lit(c.maker_fee) if maker else taker,
     })
 
 
