@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def load_journal(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank and malformed lines are skipped, a missing journal is empty."""
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("timestampFormat", MICROS).json(glob)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -20,7 +23,7 @@ def load_journal(spark: SparkSession, glob: str, schema: T.StructType) -> DataFr
 
 
 def append_journal(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    rows.write.mode("append").option("timestampFormat", MICROS).json(path)
 
 
 def records(df: DataFrame) -> DataFrame:

@@ -25,13 +25,14 @@ def parse_charts(raw: DataFrame) -> DataFrame:
         *[F.coalesce(c, close).alias(c) for c in ("open", "high", "low")], "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
-def read_charts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_charts(spark.read.schema(VENDOR_CHART).option("multiLine", True).json(path))
+def read_charts(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Payloads one per line (splittable); ``pretty`` for one indented payload per file."""
+    return parse_charts(spark.read.schema(VENDOR_CHART).option("multiLine", pretty).json(path))
 
 
-def chart_errors(spark: SparkSession, path: str) -> DataFrame:
+def chart_errors(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
     """Payloads that carry an error or no result, counted by code."""
-    raw = spark.read.schema(VENDOR_CHART).option("multiLine", True).json(path)
+    raw = spark.read.schema(VENDOR_CHART).option("multiLine", pretty).json(path)
     bad = raw.filter(F.col("chart.result").isNull() | (F.size("chart.result") == 0))
     return bad.groupBy(F.coalesce("chart.error.code", F.lit("empty")).alias("code")).agg(F.count(F.lit(1)).alias("payloads"))
 
