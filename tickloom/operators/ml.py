@@ -153,6 +153,16 @@ def test_slice(numbered: DataFrame, bounds: DataFrame, warmup: int, keys: Sequen
     return kept.withColumn("tradable", F.col("ms") >= F.col("lo")).drop("_first")
 
 
+def common_slices(numbered: DataFrame, bounds: DataFrame, warmup: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """As ``test_slice`` with one lo/hi per window for all keys (earliest lo, latest hi); keys left
+    with no more than ``warmup`` rows are dropped."""
+    shared = bounds.groupBy("window_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    wide = bounds.select("window_id", *keys).join(shared, "window_id")
+    rows = test_slice(numbered, wide, warmup, keys)
+    enough = rows.groupBy("window_id", *keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > warmup)
+    return rows.join(enough.drop("_n"), ["window_id", *keys], "left_semi")
+
+
 def enough_history(bars: DataFrame, bounds: DataFrame, min_bars: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Windows for which every key has at least ``min_bars`` bars before the window."""
     counts = train_slice(bars, bounds, keys).groupBy("window_id", *keys).agg(F.count(F.lit(1)).alias("n"))

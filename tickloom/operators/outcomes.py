@@ -49,7 +49,7 @@ class Rules:
 
 # Scenario columns: when the input has one of these, it overrides the rule of the same name per row,
 # so a whole grid of rule variants is one job with the scenario as an extra key.
-PARAMS = ("tp_mult", "sl_mult", "threshold", "slippage", "taker_fee")
+PARAMS = ("tp_mult", "sl_mult", "threshold", "slippage", "taker_fee", "fraction")
 
 
 def _param(df: DataFrame, name: str, default: float) -> Column:
@@ -108,9 +108,10 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
         })
         out = out.withColumn("fill_price", taker_price("open_price", s > 0, slippage))
         after, deadline = None, F.lit(steps)
+    explicit = "tp_price" in df.columns  # barriers given per row instead of in ATR
     out = out.withColumns({
-        "tp": F.col("fill_price") + s * tp_mult * F.col("atr"),
-        "sl": F.col("fill_price") - s * sl_mult * F.col("atr"),
+        "tp": F.col("tp_price") if explicit else F.col("fill_price") + s * tp_mult * F.col("atr"),
+        "sl": F.col("sl_price") if explicit else F.col("fill_price") - s * sl_mult * F.col("atr"),
     })
     out = out.withColumns({"_tp": scan.first_tp("side", "tp", after), "_sl": scan.first_sl("side", "sl", after)})
     filled = F.col("fill_step").isNotNull() & F.col("fill_price").isNotNull()
@@ -326,10 +327,11 @@ def account(priced: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",))
     running product over earlier trades of the key.
     """
     net_unit = F.col("unit_gross") - F.col("unit_fees")
-    factor = F.coalesce(1.0 + rules.position_pct / F.col("open_price") * net_unit, F.lit(1.0))
+    share = _param(priced, "fraction", rules.position_pct)
+    factor = F.coalesce(1.0 + share / F.col("open_price") * net_unit, F.lit(1.0))
     run = running(priced.withColumn("_f", factor), keys, {"_grown": ("prod", F.col("_f"))}, order="entry_i")
     run = run.withColumn("cash_before", rules.initial * F.col("_grown") / F.col("_f"))
-    run = run.withColumn("qty", F.col("cash_before") * rules.position_pct / F.col("open_price"))
+    run = run.withColumn("qty", F.col("cash_before") * share / F.col("open_price"))
     return run.withColumns({
         "fees": F.col("qty") * F.col("unit_fees"),
         "pnl": F.col("qty") * net_unit,

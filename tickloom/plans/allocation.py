@@ -315,6 +315,11 @@ def trend_weights(spark, sf):
     return rounded(P.trend_weights(dense5(spark, sf), base(spark), MA, SAFE).select("i", "symbol", "weight"))
 
 
+@query("weighted_basket", f"{D5}, {BW}, f AS (SELECT symbol, close AS p0 FROM d WHERE i = 0) SELECT i::bigint AS i, round(sum(weight * close / p0) * 10000, 4) AS equity FROM d JOIN f USING (symbol) JOIN bw USING (symbol) GROUP BY i")
+def weighted_basket(spark, sf):
+    return rounded(C.basket_curve(dense5(spark, sf), 10_000.0, weights=base(spark)), 4)
+
+
 CAD, BAND = 30, 25.0
 
 

@@ -9,7 +9,7 @@ from tickloom.operators import bars as B
 from tickloom.plans import inputs
 from tickloom.plans.common import TICKS, bars_cte, rounded, to_ts_sql
 from tickloom.plans.streams import scratch
-from tickloom.schemas import ALERTS, BARS, EQUITY, EXPERIMENTS, HISTORY, STATE
+from tickloom.schemas import ALERTS, BARS, EQUITY, HISTORY, STATE, names
 from tickloom.sources import bar_store, journals, vendor
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 def stored_rows(spark, sf):
     b = inputs.bars(spark, sf)
     return b.select(F.lit("lab").alias("exchange"), F.concat("symbol", F.lit("/USD")).alias("symbol"), F.lit("1h").alias("timeframe"), "ms",
-                    *[F.col(c).cast("double").alias(c) for c in B.OHLCV]).select(*BARS.fieldNames())
+                    *[F.col(c).cast("double").alias(c) for c in B.OHLCV]).select(*names(BARS))
 
 
 @query("bar_store", f"""{BASE} SELECT symbol || '/USD' AS symbol, {to_ts_sql('ms')} AS ts, close + CASE WHEN ms >= {CUT} THEN 1000 ELSE 0 END AS close FROM bars WHERE symbol IN ('click', 'error')""")
@@ -95,7 +95,7 @@ def journal_books(spark, sf):
     for name in names:
         rows = b.filter(F.col("symbol") == name).select("ms", F.lit(0).cast("long").alias("seq"), "symbol", "close", F.col("close").alias("equity"))
         journals.append_journal(rows, folder.get(name, f"{root}/{name}") if name != "click" else f"{root}/../{root.rsplit('/', 1)[1]}")
-    schema = EQUITY.__class__([f for f in EQUITY.fields if f.name != "book"])
+    schema = EQUITY.removeprefix("book string, ")
     out = journals.load_books(spark, root, "*.json", schema)
     return rounded(out.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total")))
 

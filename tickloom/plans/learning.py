@@ -78,6 +78,14 @@ def oos_slices(spark, sf):
     return out.select("symbol", "window_id", to_ts("ms").alias("ts"), "close", "tradable")
 
 
+@query("oos_common_slices", f"""{WSQL}, cb AS (SELECT window_id, min(lo) AS lo, max(hi) AS hi FROM bo GROUP BY 1), r AS (SELECT n.*, window_id, lo FROM n, cb WHERE ms <= hi), f AS (SELECT window_id, symbol, min(i) AS fi FROM r WHERE ms >= lo GROUP BY 1, 2)
+SELECT symbol, window_id, count(*) AS bars, count(*) FILTER (ms >= lo) AS tradable FROM r JOIN f USING (window_id, symbol) WHERE i >= fi - 30 GROUP BY symbol, window_id HAVING count(*) > 30""")
+def oos_common_slices(spark, sf):
+    b = number_on_grid(inputs.bars(spark, sf), ["symbol"], 3_600_000)
+    out = ml.common_slices(b, ml.window_bounds(b, windows(spark)), 30)
+    return out.groupBy("symbol", "window_id").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("tradable")).alias("tradable"))
+
+
 @query("enough_history", f"{WSQL}, c AS (SELECT window_id, symbol, count(n.ms) AS k FROM bo LEFT JOIN n ON n.symbol = bo.symbol AND n.ms < lo GROUP BY 1, bo.symbol, symbol) SELECT window_id, min(k) AS least FROM c GROUP BY window_id HAVING min(k) >= 200".replace("SELECT window_id, symbol, count(n.ms) AS k", "SELECT window_id, bo.symbol, count(n.ms) AS k").replace("GROUP BY 1, bo.symbol, symbol", "GROUP BY 1, 2"))
 def enough_history(spark, sf):
     b = inputs.bars(spark, sf)

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import Costs
-from tickloom.functions.timeframes import periods_per_year, step_ms, to_ts
+from tickloom.functions.scalars import position_notional
+from tickloom.functions.timeframes import step_ms, to_ts
 from tickloom.operators import bars as B
 from tickloom.operators import features as FE
 from tickloom.operators import labels as L
-from tickloom.operators import metrics as M
 from tickloom.operators import outcomes as O
 from tickloom.plans import inputs
-from tickloom.plans.common import SCORED, indicators_cte, rounded, shared, to_ts_sql
+from tickloom.plans.common import SCORED, hashed_sql, indicators_cte, rounded, shared, to_ts_sql
 from tickloom.plans.market import STRUCTURE
 
 QUERIES: dict = {}
@@ -32,7 +31,6 @@ def query(name: str, sql: str | None = None):
 
 
 RULES = O.Rules(geometry=L.Geometry(1.5, 2.0, 12), threshold=0.8)
-LONG_SHORT = RULES
 MAKER = O.Rules(geometry=L.Geometry(1.5, 2.0, 12), threshold=0.8, maker_timeout=3)
 
 
@@ -150,9 +148,6 @@ def roll_outcomes(spark, sf):
     return rounded(B.with_ts(n).select("symbol", "ts", F.col("l_reason").alias("reason"), F.col("l_step").alias("step"), F.col("l_price").alias("price")))
 
 
-_TR = "SELECT symbol, side, prob, entry_time, exit_time, entry_price, exit_price, exit_reason, rollovers, qty, fees, pnl"
-
-
 def trade_columns(t: DataFrame) -> DataFrame:
     return rounded(t.filter(F.col("exit_reason").isNotNull()).select(
         "symbol", "side", "prob", to_ts("entry_ms").alias("entry_time"), to_ts("exit_ms").alias("exit_time"), "entry_price",
@@ -200,3 +195,64 @@ def trade_equity(spark, sf):
 @query("maker_trades")
 def maker_trades(spark, sf):
     return trade_columns(booked(spark, sf, MAKER))
+
+
+# --- structure barriers with an expected-value gate --------------------------------------------
+
+GATED = O.Rules(geometry=L.Geometry(horizon=12), threshold=0.5, rollover=False)
+EV_SQL = f"""{STRUCTURE}, sc AS (SELECT st.*, {hashed_sql(repr('L'), 'symbol', 'ms')} AS p_long, {hashed_sql(repr('S'), 'symbol', 'ms')} AS p_short FROM st),
+o AS (SELECT *, p_long * long_r - (1 - p_long) - {COST}::double / greatest(long_sl_pct, 1e-9) AS ev_l, p_short * short_r - (1 - p_short) - {COST}::double / greatest(short_sl_pct, 1e-9) AS ev_s FROM sc),
+g AS (SELECT *, coalesce(p_long >= 0.5 AND long_r >= 1.0 AND ev_l >= 0.1, false) AS okl, coalesce(p_short >= 0.5 AND short_r >= 1.0 AND ev_s >= 0.1, false) AS oks FROM o),
+pk AS (SELECT *, CASE WHEN oks AND (NOT okl OR ev_s > ev_l) THEN -1 WHEN okl THEN 1 ELSE 0 END AS side FROM g),
+eb AS (SELECT symbol, i, ms, side, entry AS nopen, last_i, entry * (1 + side * 0.0002::double) AS fill, CASE WHEN side > 0 THEN long_tp ELSE short_tp END AS tp, CASE WHEN side > 0 THEN long_sl ELSE short_sl END AS sl,
+  least(0.01::double / greatest(CASE WHEN side > 0 THEN long_sl_pct ELSE short_sl_pct END, 1e-9), 0.95) AS frac FROM pk WHERE side <> 0 AND entry IS NOT NULL AND atr > 0),
+et AS (SELECT e.symbol, e.i, min(CASE WHEN (e.side > 0 AND x.high >= e.tp) OR (e.side < 0 AND x.low <= e.tp) THEN x.i END) AS t, min(CASE WHEN (e.side > 0 AND x.low <= e.sl) OR (e.side < 0 AND x.high >= e.sl) THEN x.i END) AS l
+  FROM eb e JOIN ind x ON x.symbol = e.symbol AND x.i BETWEEN e.i + 1 AND e.i + 13 GROUP BY 1, 2),
+el AS (SELECT e.*, CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN 'sl' WHEN t IS NOT NULL THEN 'tp' WHEN e.i + 13 <= last_i THEN 'timeout' END AS reason, coalesce(least(l, t), CASE WHEN e.i + 13 <= last_i THEN e.i + 13 END) AS end_i FROM eb e LEFT JOIN et USING (symbol, i)),
+ep AS MATERIALIZED (SELECT el.*, c.ms AS exit_ms, CASE reason WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE c.close END AS price FROM el LEFT JOIN ind c ON c.symbol = el.symbol AND c.i = el.end_i),
+nx AS MATERIALIZED (SELECT a.symbol, a.i, (SELECT min(s.i) FROM ep s WHERE s.symbol = a.symbol AND s.i >= a.end_i) AS nxt FROM ep a),
+ch AS (SELECT symbol, min(i) AS i FROM ep GROUP BY 1 UNION ALL SELECT c.symbol, nx.nxt FROM ch c JOIN nx USING (symbol, i) WHERE nx.nxt IS NOT NULL),
+m AS (SELECT ep.*, price * (1 - side * 0.0002::double) AS px, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM ch JOIN ep USING (symbol, i)),
+mf AS (SELECT *, coalesce(1 + frac / nopen * (side * (px - fill) - 0.001::double * (fill + px)), 1) AS f FROM m),
+mc AS (SELECT *, 10000.0::double * product(f) OVER (PARTITION BY symbol ORDER BY k) / f AS cash FROM mf)"""
+
+
+@query("structure_trades", f"""{EV_SQL} SELECT symbol, side::int AS side, {to_ts_sql('ms')} AS entry_time, {to_ts_sql('exit_ms')} AS exit_time, reason AS exit_reason, round(cash * frac / nopen, 6) AS qty, round(fill, 6) AS entry_price, round(px, 6) AS exit_price,
+ round(cash * (f - 1), 4) + 0.0 AS pnl FROM mc WHERE reason IS NOT NULL""")
+def structure_trades(spark, sf):
+    """Entries behind an expected-value gate, sized so that a stop costs one percent of cash."""
+    scored = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
+    st = L.structure_barriers(scored).withColumn("_b", L.best_expected_side(0.5, 1.0, 0.1, COST))
+    is_long = F.col("_b.side") > 0
+    st = st.withColumns({
+        "side": F.coalesce(F.col("_b.side"), F.lit(0)), "p_side": F.col("_b.p"),
+        "tp_price": F.when(is_long, F.col("long_tp")).otherwise(F.col("short_tp")),
+        "sl_price": F.when(is_long, F.col("long_sl")).otherwise(F.col("short_sl")),
+        "fraction": position_notional(F.lit(1.0), F.col("_b.sl_pct"), 0.1, risk_pct=0.01),
+    })
+    rows = st.select("symbol", "i", "ms", "open", "high", "low", "close", "atr", "p_long", "p_short", "side", "p_side", "tp_price", "sl_price", "fraction")
+    t = O.evaluate(rows, GATED).filter(F.col("exit_reason").isNotNull()).withColumn("pnl", F.round("pnl", 4) + F.lit(0.0))
+    return rounded(t.select("symbol", "side", to_ts("signal_ms").alias("entry_time"), to_ts("exit_ms").alias("exit_time"), "exit_reason",
+                            "qty", "entry_price", "exit_price", "pnl"), skip=("pnl",))
+
+
+@query("universe_caps", f"""{BASE}, {sig_sql(0.5)}, cp AS (SELECT * FROM range(1, 4) a(cap), (VALUES ('all'), ('narrow')) b(universe)), b AS (SELECT cap, universe, ms, count(*) AS n FROM sig, cp WHERE side0 <> 0 AND (universe = 'all' OR symbol IN ('click', 'view', 'error')) GROUP BY ALL)
+SELECT universe, cap::int AS cap, sum(n)::bigint AS candidates, sum(least(n, cap))::bigint AS served, count(*) FILTER (n > cap) AS contended_bars FROM b GROUP BY ALL""")
+def universe_caps(spark, sf):
+    """How often each board width asks for more positions than each cap allows (static view)."""
+    s = signals(spark, sf, 0.5).filter(F.col("side") != 0)
+    wide = s.withColumn("universe", F.explode(F.when(F.col("symbol").isin("click", "view", "error"), F.array(F.lit("all"), F.lit("narrow"))).otherwise(F.array(F.lit("all")))))
+    per_bar = wide.groupBy("universe", "ms").agg(F.count(F.lit(1)).alias("n"))
+    grid = per_bar.withColumn("cap", F.explode(F.array(*[F.lit(c) for c in (1, 2, 3)])))
+    return grid.groupBy("universe", "cap").agg(
+        F.sum("n").alias("candidates"), F.sum(F.least(F.col("n"), F.col("cap").cast("long"))).alias("served"), F.count_if(F.col("n") > F.col("cap")).alias("contended_bars"))
+
+
+@query("live_outcomes", f"""{BASE}, {sig_sql()}, eb AS (SELECT symbol, i, ms, side, last_i, close * (1 + side * 0.0002::double) AS fill, close * (1 + side * 0.0002::double) + side * 1.5::double * atr AS tp, close * (1 + side * 0.0002::double) - side * 2.0::double * atr AS sl FROM sig WHERE side <> 0),
+et AS (SELECT e.symbol, e.i, min(CASE WHEN (e.side > 0 AND x.high >= e.tp) OR (e.side < 0 AND x.low <= e.tp) THEN x.i END) AS t, min(CASE WHEN (e.side > 0 AND x.low <= e.sl) OR (e.side < 0 AND x.high >= e.sl) THEN x.i END) AS l FROM eb e JOIN sig x ON x.symbol = e.symbol AND x.i BETWEEN e.i + 1 AND e.i + 12 GROUP BY 1, 2)
+SELECT symbol, {to_ts_sql('ms')} AS ts, side::int AS side, CASE WHEN l IS NOT NULL AND (t IS NULL OR l <= t) THEN 'sl' WHEN t IS NOT NULL THEN 'tp' WHEN i + 12 <= last_i THEN 'timeout' END AS reason,
+ (coalesce(least(l, t), CASE WHEN i + 12 <= last_i THEN i + 12 END) - i)::int AS step FROM eb LEFT JOIN et USING (symbol, i)""")
+def live_outcomes(spark, sf):
+    rules = O.Rules(geometry=L.Geometry(1.5, 2.0, 12), threshold=0.8, hold="live")
+    n = O.legs(signals(spark, sf), rules).filter(F.col("side") != 0)
+    return B.with_ts(n).select("symbol", "ts", "side", F.col("e_reason").alias("reason"), F.col("e_step").alias("step"))

@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.functions.scalars import path_safe
 from tickloom.operators.bars import merge_keep_existing
-from tickloom.schemas import BARS, RATES
+from tickloom.schemas import BARS, RATES, names
 from tickloom.session import durable
 
 BAR_LAYOUT = ("exchange", "timeframe", "symbol_key")
 
 
-def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Stored table, or an empty one with the right columns when nothing was stored yet."""
     try:
         return spark.read.schema(schema).parquet(root)
@@ -30,7 +29,7 @@ def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
 def load_bars(spark: SparkSession, root: str, symbols: Sequence[str] | None = None, exchange: str | None = None,
               timeframe: str | None = None) -> DataFrame:
     """Bars; the filters on exchange, timeframe and symbol prune directories."""
-    bars = _read(spark, root, T.StructType([*BARS.fields, T.StructField("symbol_key", T.StringType())]))
+    bars = _read(spark, root, f"{BARS}, symbol_key string")
     if exchange:
         bars = bars.filter(F.col("exchange") == exchange)
     if timeframe:
@@ -47,7 +46,7 @@ def save_bars(bars: DataFrame, root: str, rows_per_file: int = 5_000_000) -> Non
     A hot symbol is spread over time-ranged files instead of one writer task.
     """
     unique = merge_keep_existing(bars, bars.limit(0), ("exchange", "symbol", "timeframe", "ms"))
-    keyed = unique.select(*BARS.fieldNames()).withColumn("symbol_key", path_safe("symbol"))
+    keyed = unique.select(*names(BARS)).withColumn("symbol_key", path_safe("symbol"))
     ranged = keyed.repartitionByRange(*BAR_LAYOUT, "ms").sortWithinPartitions(*BAR_LAYOUT, "ms")
     (ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
      .partitionBy(*BAR_LAYOUT).parquet(root))
@@ -67,5 +66,5 @@ def load_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def upsert_rates(incoming: DataFrame, root: str) -> None:
-    merged = merge_keep_existing(load_rates(incoming.sparkSession, root), incoming.select(*RATES.fieldNames()))
+    merged = merge_keep_existing(load_rates(incoming.sparkSession, root), incoming.select(*names(RATES)))
     durable(merged).repartitionByRange("symbol", "ms").write.mode("overwrite").parquet(root)

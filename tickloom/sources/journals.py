@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def load_journal(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
+def load_journal(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed lines are skipped, a missing journal is empty."""
     try:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("timestampFormat", MICROS).json(glob)
@@ -31,7 +31,7 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
 
 
-def load_books(spark: SparkSession, root: str, file: str, schema: T.StructType) -> DataFrame:
+def load_books(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
     """The same journal of every book below ``root``: sub-folder = book, root itself = default.
 
     The portfolio folder holds another kind of book and is left out.
