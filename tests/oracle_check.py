@@ -76,7 +76,14 @@ def main() -> int:
     if args[:1] == ["-s"]:
         sf, args = args[1], args[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark, con = local_session(), connect(sf_dir)
+    if args[:1] == ["--plain"]:  # a session that knows nothing of this library's settings
+        from pyspark.sql import SparkSession
+        args = args[1:]
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session()
+    con = connect(sf_dir)
     queries, oracle = e.queries(), e.oracle_sql()
     names = [n for n in queries if not args or any(n.startswith(a) for a in args)]
     failed = 0
