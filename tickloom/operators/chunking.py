@@ -154,7 +154,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, probs: Mappin
     """
     numbered = number_by_range(df.filter(F.col(value).isNotNull()).select(*keys, value, tie), keys, [value, tie])
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered.join(sizes, list(keys)) if keys else numbered.crossJoin(sizes)
+    rows = numbered.join(sizes, list(keys)) if keys else numbered.crossJoin(F.broadcast(sizes))
     aggs = []
     for name, q in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(q))

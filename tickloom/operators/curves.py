@@ -28,9 +28,11 @@ def dense_panel(prices: DataFrame, keys: Sequence[str] = (), date: str = "date",
 
     A symbol has one row per date, so its forward-fill partition is bounded by the calendar.
     """
-    grid = number_dates(prices, date, keys)
+    # one row per panel holds its calendar; every symbol unfolds it, no table is multiplied with another
+    grid = number_dates(prices, date, keys).groupBy(*keys).agg(F.collect_list(F.struct("i", date)).alias("_calendar"))
     names = prices.select(*keys, symbol).distinct()
-    cells = grid.join(names, list(keys)) if keys else grid.crossJoin(names)
+    cells = names.join(F.broadcast(grid), list(keys)) if keys else names.crossJoin(F.broadcast(grid))
+    cells = cells.select(*keys, symbol, F.inline("_calendar"))
     full = cells.join(prices.select(*keys, date, symbol, value), [*keys, date, symbol], "left")
     w = W.partitionBy(*keys, symbol).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     return full.withColumn(value, F.last(value, ignorenulls=True).over(w))

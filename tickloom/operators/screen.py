@@ -15,8 +15,8 @@ def monthly_returns(panel: DataFrame) -> DataFrame:
     """Month-end returns per symbol; a month without a price carries the last one."""
     ends = panel.filter(F.col("close").isNotNull()).groupBy("symbol", F.trunc("date", "month").alias("month")).agg(
         F.max_by("close", "date").alias("close"))
-    span = panel.agg(F.explode(F.sequence(F.trunc(F.min("date"), "month"), F.trunc(F.max("date"), "month"), F.expr("interval 1 month"))).alias("month"))
-    grid = span.crossJoin(ends.select("symbol").distinct())
+    span = panel.agg(F.sequence(F.trunc(F.min("date"), "month"), F.trunc(F.max("date"), "month"), F.expr("interval 1 month")).alias("_months"))
+    grid = ends.select("symbol").distinct().crossJoin(F.broadcast(span)).select("symbol", F.explode("_months").alias("month"))
     w = W.partitionBy("symbol").orderBy("month")
     full = grid.join(ends, ["symbol", "month"], "left").withColumn(
         "close", F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))

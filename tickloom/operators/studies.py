@@ -83,9 +83,8 @@ def permutation_gains(sized: DataFrame, draws: int, position_pct: float, order_o
     Position k of one random order takes the multiplier at position k of the fixed order;
     ``order_of(draw, id)`` is a hash, so a draw is the same on any partitioning.
     """
-    spark = sized.sparkSession
     fixed = number_by_range(sized.select("window", "id", "mult"), ["window"], ["id"]).select("window", "i", "mult")
-    copies = sized.select("window", "id", "r").crossJoin(spark.range(1, draws + 1).withColumnRenamed("id", "draw"))
+    copies = sized.select("window", "id", "r", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     copies = copies.withColumn("_h", order_of(F.col("draw"), F.col("id")))
     shuffled = number_by_range(copies, ["window", "draw"], ["_h", "id"]).join(fixed, ["window", "i"])
     return sizing_gain(shuffled, position_pct, ["draw", "window"]).groupBy("draw").agg(F.avg("pp").alias("pp"))

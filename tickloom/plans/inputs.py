@@ -29,8 +29,8 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular settlements, the same series for every symbol: every 7th signup event."""
     events = table(spark, sf_dir, "events").filter("event_type = 'signup' and event_id % 7 = 0")
     series = events.groupBy(epoch_ms("ts").alias("ms")).agg(F.max(F.col("value") / 100000.0).alias("rate"))
-    symbols = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
-    return series.crossJoin(F.broadcast(symbols))
+    symbols = table(spark, sf_dir, "events").agg(F.collect_set("event_type").alias("_symbols"))  # one row: the board
+    return series.crossJoin(F.broadcast(symbols)).select(F.explode("_symbols").alias("symbol"), "ms", "rate")
 
 
 def hashed(*parts: Column) -> Column:
