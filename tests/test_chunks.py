@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from walks import HOUR, atr, fold, walk_bars
 
 from tickloom.functions.scalars import Costs
-from tickloom.operators import asof, chunking, features, labels, outcomes, rolling
+from tickloom.operators import asof, chunking, features, labels, outcomes
 from tickloom.session import CHUNK_ROWS_CONF
 
 

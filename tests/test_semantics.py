@@ -9,7 +9,7 @@ from walks import HOUR, walk_bars
 
 from tickloom.functions.scalars import Costs, alert_category, path_safe, perpetual_symbol, round_trip_cost_pct
 from tickloom.functions.timeframes import periods_per_year
-from tickloom.operators import alerts, bars, curves, features, labels, metrics, portfolio, ranking, screen, studies
+from tickloom.operators import alerts, bars, curves, labels, metrics, portfolio, ranking, screen, studies
 
 
 def flat(spark, pokes):

@@ -43,7 +43,7 @@ def sql_rounded(body: str, columns: str, digits: int = 6) -> str:
     return f"SELECT {', '.join(parts)} FROM ({body})"
 
 
-TICKS = "ticks AS (SELECT event_type AS symbol, ts, epoch_ms(ts) AS ms, value AS price, event_id FROM events)"
+TICKS = "ticks AS (SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ms, value AS price, event_id FROM events)"
 
 
 def bars_cte(timeframe: str = "1h", name: str = "bars") -> str:

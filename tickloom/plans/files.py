@@ -44,7 +44,7 @@ def bar_store_round_trip(spark, sf):
     return B.with_ts(out).select("symbol", "ts", "close")
 
 
-@query("rate_store", """WITH r AS (SELECT epoch_ms(ts) AS ms, max(value / 100000.0::double) AS rate FROM events WHERE event_type = 'signup' AND event_id % 7 = 0 GROUP BY 1), s AS (SELECT DISTINCT event_type AS symbol FROM events)
+@query("rate_store", """WITH r AS (SELECT epoch_us(ts) // 1000 AS ms, max(value / 100000.0::double) AS rate FROM events WHERE event_type = 'signup' AND event_id % 7 = 0 GROUP BY 1), s AS (SELECT DISTINCT event_type AS symbol FROM events)
 SELECT symbol, count(*) AS n, round(sum(rate), 8) AS total FROM r, s GROUP BY symbol""")
 def rate_store(spark, sf):
     root, rates = scratch(spark, "rates"), inputs.rates(spark, sf)
@@ -75,7 +75,6 @@ def vendor_charts(spark, sf):
 
 @query("daily_csv", f"WITH {TICKS}, {DAILY} SELECT 'prices' AS symbol, make_timestamp(day * 1000)::date AS date, open, high, low, close, 0.0::double AS volume FROM d WHERE symbol = 'click'")
 def daily_csv(spark, sf):
-    import os
     path = scratch(spark, "csv")
     d = inputs.bars(spark, sf, "1d").filter("symbol = 'click'")
     lines = d.select(F.concat_ws(",", F.to_date(to_ts("ms")), "open", "high", "low", "close").alias("value"))

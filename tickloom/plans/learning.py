@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeframes import to_ts
-from tickloom.operators import features as FE
 from tickloom.operators import labels as L
 from tickloom.operators import ml
 from tickloom.operators.chunking import number_on_grid

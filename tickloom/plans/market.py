@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import candle_parts, expected_value, perpetual_symbol, path_safe
+from tickloom.functions.scalars import candle_parts, perpetual_symbol, path_safe
 from tickloom.functions.timeframes import step_ms, to_ts
 from tickloom.operators import bars as B
 from tickloom.operators import features as FE
@@ -15,7 +15,7 @@ from tickloom.operators.chunking import drop_halo, number_on_grid, running, with
 from tickloom.operators.rolling import log_return, rolling, rolling_z
 from tickloom.plans import inputs
 from tickloom.plans.common import (
-    EWM, NUMBERED, SCORED, TICKS, bars_cte, indicators_cte, rounded, sql_rounded, to_ts_sql,
+    NUMBERED, TICKS, bars_cte, indicators_cte, rounded, to_ts_sql,
 )
 
 H1 = step_ms("1h")
@@ -136,7 +136,7 @@ def span_per_symbol(spark, sf):
 # --- as-of -------------------------------------------------------------------------------------
 
 RATES = """sym AS (SELECT DISTINCT symbol FROM ticks),
-rates AS (SELECT symbol, ms, rate FROM (SELECT epoch_ms(ts) AS ms, max(value / 100000.0::double) AS rate FROM events
+rates AS (SELECT symbol, ms, rate FROM (SELECT epoch_us(ts) // 1000 AS ms, max(value / 100000.0::double) AS rate FROM events
   WHERE event_type = 'signup' AND event_id % 7 = 0 GROUP BY 1) CROSS JOIN sym)"""
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import alert_category, drift_flag, local_clock, open_pnl, regime, round_trip_cost_pct
-from tickloom.functions.timeframes import periods_per_year, step_ms, to_ts
+from tickloom.functions.scalars import alert_category, open_pnl
+from tickloom.functions.timeframes import periods_per_year, to_ts
 from tickloom.operators import alerts as A
 from tickloom.operators import bars as B
 from tickloom.operators import curves as C

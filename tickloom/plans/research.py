@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import break_even_pct, regime, round_trip_cost_pct
+from tickloom.functions.scalars import break_even_pct, regime
 from tickloom.operators import labels as L
 from tickloom.operators import outcomes as O
 from tickloom.operators import studies as S
 from tickloom.plans import inputs
-from tickloom.plans.common import TICKS, bars_cte, hashed_sql, rounded, shared, to_ts_sql
+from tickloom.plans.common import TICKS, bars_cte, hashed_sql, rounded, shared
 from tickloom.plans.trading import BASE, RULES, booked, chain_sql, signals
 
 QUERIES: dict = {}

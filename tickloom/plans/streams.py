@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans import inputs
-from tickloom.plans.common import TICKS, bars_cte, shared, to_ts_sql
+from tickloom.plans.common import TICKS, bars_cte, to_ts_sql
 from tickloom.plans.trading import signals
 from tickloom.streaming import bars as SB
 from tickloom.streaming import tracker as ST
@@ -85,7 +85,10 @@ def stream_variants(spark, sf):
     return ntz(out.groupBy("symbol", "ts", "variant", "threshold").agg(F.count(F.lit(1)).alias("n")), "ts")
 
 
-@query("stream_gap_alarms")
+@query("stream_gap_alarms", f"""WITH {TICKS}, d AS (SELECT DISTINCT symbol, ms FROM ticks), g AS (SELECT *, lag(ms) OVER (PARTITION BY symbol ORDER BY ms) AS p FROM d), l AS (SELECT symbol, max(ms) AS m FROM d GROUP BY symbol)
+SELECT symbol, 'outage' AS kind, {to_ts_sql('p + 1800000')} AS at, NULL::bigint AS missing FROM g WHERE ms - p > 1800000
+UNION ALL SELECT symbol, 'recovery', {to_ts_sql('ms')}, (ms - p) // 900000 - 1 FROM g WHERE ms - p > 1800000
+UNION ALL SELECT symbol, 'outage', {to_ts_sql('m + 1800000')}, NULL FROM l WHERE m + 2700000 < (SELECT max(ms) FROM d)""")
 def stream_gap_alarms(spark, sf):
     return ntz(run_available(SB.gap_alarms(tick_stream(spark, sf).select("symbol", "ts"), "15m"), "alarms"), "at")
 
