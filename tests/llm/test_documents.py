@@ -1,0 +1,328 @@
+"""Document operators against brute force on the smallest tables and on rows made to be awkward."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tickloom.llm import near_duplicates, packing, quality_rules, queries, secret_scan, sentence_spans
+from tickloom.llm.common import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, key int, row int, bin string, part int"
+LONG = "Many words stand here in a row. " * 4000
+
+
+def awkward(spark):
+    texts = [None, "", " \n\t ", "one", "one two three four", "A first sentence of six words. And then a second one that is longer.", LONG, LONG,
+             "A first sentence of six words. And then a second one that is longer.", "\x1c!\x1d? a\x85b  c", "x" * 5000, "é ﬁ İ Σ ς 12 <|endoftext|>"]
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", 1, "n", 1, 1, "b", 1) for i, t in enumerate(texts)]
+    rows += [(None, "a text without an id of its own", "en", "s", 1, "n", 1, 1, "b", 1), (3, "one", "en", "s", 1, "n", 1, 1, "b", 1), (3, "another", "en", "s", 1, "n", 1, 1, "b", 1)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def base(text):
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(5)}
+    failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality_base(spark, docs, texts):
+    got = queries.QUERIES["op2_mcd_quality"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_rejects_junk_keeps_prose(spark):
+    def sentence(i, mark):
+        return " ".join(hashlib.md5(f"{i}-{k}".encode()).hexdigest()[: 3 + (i + k) % 5] + mark for k in range(60))
+    rows = [(i, sentence(i, "###" if i % 25 == 0 else ""), "en", "s", 1) for i in range(300)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {i for i in range(300) if i % 25 == 0}
+
+
+def test_quality_awkward(spark):
+    got = quality_rules.quality_rules(awkward(spark)).collect()
+    assert len(got) == 15 and sum(r.n_words == 0 for r in got) == 3
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[6].n_words == 28000 and by_id[6].n_repeat_words == 28000 and not by_id[6].kept
+    assert quality_rules.quality_rules(empty(spark)).count() == 0
+
+
+def shingle_set(text):
+    w = WORD.findall(text or "")
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_links(texts):
+    sets = {k: shingle_set(v) for k, v in texts.items()}
+    holders = defaultdict(set)
+    for k, s in sets.items():
+        for x in s:
+            holders[x].add(k)
+    links = defaultdict(set)
+    for k, s in sets.items():
+        for other in {o for x in s for o in holders[x]} - {k}:
+            if 5 * len(s & sets[other]) >= 4 * len(s | sets[other]):
+                links[k].add(other)
+    return links
+
+
+def classes(ids, links):
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, others in links.items():
+            low = min(label[x] for x in [a, *others])
+            for x in [a, *others]:
+                if label[x] != low:
+                    label[x] = low
+                    changed = True
+    return label
+
+
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 2])
+def test_jaccard_join(spark, docs, texts, block):
+    links = brute_links(texts)
+    want = classes(texts, links)
+    got = near_duplicates.jaccard_join(docs, block=block).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_links, r.class_id, r.kept) == (len(links[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_jaccard_awkward(spark):
+    got = near_duplicates.jaccard_join(awkward(spark))
+    rows = got.collect()
+    assert len(rows) == 15
+    assert sorted((r.doc_id, r.n_links, r.class_id) for r in rows if r.doc_id in (0, 1, 2, 5, 6, 7, 8)) == [
+        (0, 0, 0), (1, 0, 1), (2, 0, 2), (5, 1, 5), (6, 1, 6), (7, 1, 6), (8, 1, 5)]
+    assert sorted(r.n_links for r in rows if r.doc_id == 3) == [0, 1, 1]
+    assert near_duplicates.jaccard_join(empty(spark)).count() == 0
+
+
+def test_match_depth():
+    assert near_duplicates.match_depth(20, 8, 0.8, 0.999) == 5
+    assert near_duplicates.match_depth(20, 8, 0.8, 0.9) > 5
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def brute_spans(rows, count, min_words):
+    """rows: list of (doc_id, text); outcome by brute force over every run."""
+    first, everyone = {}, []
+    for k, (doc, text) in enumerate(sorted(rows)):
+        parts = [p for p in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*", text or "")]
+        words = [p.split() for p in parts]
+        for i in range(len(parts)):
+            j = i
+            while j < len(parts) and (j - i < count or sum(map(len, words[i:j])) < min_words):
+                j += 1
+            if j - i >= count and sum(map(len, words[i:j])) >= min_words and words[i] and words[j - 1]:
+                key = tuple(map(tuple, words[i:j]))
+                everyone.append((doc, i, j, key))
+                first.setdefault(key, (doc, i))
+    gone = defaultdict(set)
+    for doc, i, j, key in everyone:
+        if first[key] != (doc, i):
+            gone[doc].update(range(i, j))
+    return {doc: len(gone[doc]) for doc, _ in rows}
+
+
+def test_sentence_spans(spark, docs, texts):
+    got = {r.doc_id: r for r in queries.QUERIES["op8_sentence_spans"](spark, SF).collect()}
+    want = brute_spans(list(texts.items()), sentence_spans.SENTENCES, sentence_spans.MIN_WORDS)
+    assert {k: r.n_removed for k, r in got.items()} == want
+    for k, r in got.items():
+        kept, at = "", 0
+        for a, b in (map(int, x.split(":")) for x in r.removed.split(",") if x):
+            kept += texts[k][at:a]
+            at = b
+        assert kept + texts[k][at:] == r.text
+
+
+def test_sentence_spans_awkward(spark):
+    frame = awkward(spark)
+    got = sentence_spans.dedup_spans(frame)
+    assert got.columns == [*frame.columns, "n_removed", "removed"]
+    rows = got.collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert len(rows) == 15 and by_id[0].text is None and by_id[1].text == "" and by_id[8].text == "" and by_id[5].n_removed == 0
+    assert by_id[7].text == "" and by_id[6].n_removed > 3000
+    assert sentence_spans.dedup_spans(empty(spark)).count() == 0
+
+
+def brute_secrets(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        found += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+    for k, (pattern, least) in enumerate([(r"AKIA[A-Z0-9]+", 18), (r"[0-9a-f]+", 16)], 1):
+        found += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    names = ("assign", "access", "hex")
+    return [sum(k == j for _, k, _ in found) for j in range(3)], ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secrets_base(spark, texts):
+    for r in queries.QUERIES["op10_secret_structure"](spark, SF).collect():
+        counts, joined = brute_secrets(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == counts
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def der(tag, body):
+    size = len(body)
+    length = bytes([size]) if size < 128 else bytes([0x80 | ((size.bit_length() + 7) // 8)]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + length + body
+
+
+def test_secret_structure(spark):
+    import base64
+    rsa = der(0x30, b"".join([der(2, b"\0"), *[der(2, bytes(range(1, 40)))] * 8]))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', bytes(range(32))))
+    b64 = lambda x: base64.b64encode(x).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(rsa)}\n-----END RSA PRIVATE KEY-----"
+    cases = {
+        f"é see {pem} end": ["pem"], f"key {b64(rsa)} end": ["der"], f"key {rsa.hex()} end": ["hex", "der"], f"ssh {b64(ssh)} x": ["ssh"], f"auth {token}, ok": ["jwt"],
+        f"cut {b64(rsa[:-3])} end": [], f"auth eyJub3RoaW5n.{token.split('.')[1]}.abc": [], "MII" + "A" * 60: [], pem.replace("MI", "NI", 1): [],
+        "token=secret=abcdefghijkl": ["assign"], "password: token: abcdefghijklmnop": [], "ſecret=abcdefghijklmnop AKIA1234 AKIA12345678901234": ["access"],
+    }
+    rows = [(i, t, "x") for i, t in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(frame).collect()}
+    for i, (text, kinds) in enumerate(cases.items()):
+        assert [s.split(":")[0] for s in got[i].spans.split(",") if s] == kinds, text
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert hidden[0] == "é see [secret] end" and hidden[5] == rows[5][1]
+
+
+def test_secrets_awkward(spark):
+    rows = secret_scan.scan_secrets(awkward(spark)).collect()
+    assert len(rows) == 15 and all(r.spans == "" or r.n_hex for r in rows)
+    assert secret_scan.scan_secrets(empty(spark)).count() == 0 and secret_scan.redact(awkward(spark)).columns == awkward(spark).columns
+
+
+def check_packing(rows, ids_of, capacity):
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+    for doc, pieces in by_doc.items():
+        ids = ids_of[doc]
+        pieces.sort(key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in pieces] == [
+            (k, at, len(ids[at:at + capacity]), zlib.crc32(np.array(ids[at:at + capacity], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+@pytest.mark.parametrize("partition_rows", [packing.PARTITION_ROWS, 20])
+def test_packing(spark, docs, texts, partition_rows):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids_of = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), partition_rows=partition_rows).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    bound = packing.lower_bound(np.array([r.length for r in rows]), 4096)
+    assert bound <= check_packing(rows, ids_of, 4096) <= bound + 1
+
+
+def test_packing_awkward(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    frame = awkward(spark).filter("doc_id is not null and text <> 'another' or text is null").dropDuplicates(["doc_id", "text"])
+    ids_of = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in frame.collect()}
+    rows = packing.pack_documents(frame, public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packing(rows, ids_of, 4096)
+    assert len({r.doc_id for r in packing.pack_documents(awkward(spark), public_tokenizers.path("word_bpe_49k.json")).collect()}) == 13
+    assert packing.pack_documents(empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    pieces = packing.token_pieces(frame, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+    whole = packing.sequences(packing.pack(pieces.drop("ids")), pieces)
+    assert sorted(len(r.ids) for r in whole.collect())[-1] <= 4096
+
+
+def test_lower_bound_holds_for_exact_small_packings():
+    rng = np.random.default_rng(5)
+
+    def exact(sizes, capacity):
+        best = len(sizes)
+
+        def go(k, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if k == len(sizes):
+                best = len(rooms)
+                return
+            for j in range(len(rooms)):
+                if rooms[j] >= sizes[k]:
+                    go(k + 1, [*rooms[:j], rooms[j] - sizes[k], *rooms[j + 1:]])
+            go(k + 1, [*rooms, capacity - sizes[k]])
+        go(0, [])
+        return best
+
+    for _ in range(200):
+        sizes = sorted(rng.integers(1, 31, rng.integers(1, 8)).tolist(), reverse=True)
+        _, _, used = packing.best_fit_decreasing(np.array(sizes), 30)
+        assert packing.lower_bound(np.array(sizes), 30) <= exact(sizes, 30) <= used
+    assert packing.lower_bound(np.array([16, 16, 16, 15]), 30) == 4
+
+
+def test_pipeline(spark, texts):
+    import corpus_pipeline
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = corpus_pipeline.good_quality(spark, docs, SF)
+    kept = {r.doc_id for r in good.collect()}
+    assert kept <= set(texts) and not any(base(texts[k])[5] for k in kept)
+    one = corpus_pipeline.one_of_each(spark, good, SF)
+    own = {k: texts[k] for k in kept}
+    label = classes(own, brute_links(own))
+    assert {r.doc_id for r in one.collect()} == {k for k in own if label[k] == k}
+    new = corpus_pipeline.new_passages(spark, one, SF)
+    assert new.columns == docs.columns and new.count() == one.count()
+    clean = corpus_pipeline.no_secrets(spark, new, SF)
+    for r in clean.collect():
+        assert brute_secrets(r.text)[1] == ""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in rows} == {k for k in own if label[k] == k}
+    for stage in corpus_pipeline.STAGES:
+        frame = stage[1](spark, awkward(spark), SF)
+        assert frame.count() > 0 and stage[1](spark, empty(spark).select(*docs.columns), SF).count() == 0
