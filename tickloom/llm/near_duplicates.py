@@ -88,17 +88,18 @@ def _families(members: DataFrame, likely: float) -> DataFrame:
             sizes = np.diff(np.append(starts, part.num_rows))
             head = np.repeat(starts, sizes)
             near = (sig == sig[head]).mean(axis=1) >= likely
-            left, right = [node[head[near]]], [node[near]]
+            root = head.copy()
+            root[~near] = np.flatnonzero(~near)
             open_groups = np.unique(head[~near])
             for first in open_groups[np.isin(open_groups, starts[sizes > 2])]:
                 count = int(sizes[np.searchsorted(starts, first)])
                 own = sig[first:first + count]
                 rest = np.flatnonzero(~near[first:first + count])
-                for r in rest:
-                    hit = np.flatnonzero((own == own[r]).mean(axis=1) >= likely)
-                    left.append(np.full(hit.size, node[first + r]))
-                    right.append(node[first + hit])
-            a, b = np.concatenate(left), np.concatenate(right)
+                met = [np.flatnonzero((own == own[r]).mean(axis=1) >= likely) for r in rest]
+                star = np.flatnonzero(near[first:first + count])
+                left = np.concatenate([np.zeros(star.size, np.int64), np.repeat(rest, [m.size for m in met])])
+                root[first:first + count] = first + roots(count, left, np.concatenate([star, *met]))
+            a, b = node, node[root]
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
