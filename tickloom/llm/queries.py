@@ -7,12 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import near_duplicates, packing, quality_rules, secret_scan, sentence_spans
+from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, packing, quality_rules, secret_scan, sentence_spans, toxicity_trees, warc
 from tickloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,18 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def learned_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naive_bayes_support.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_trees.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -35,10 +51,14 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_segments": archives,
     "op2_mcd_quality": quality,
+    "op3_nb_support": learned_quality,
     "op4_jaccard_forest": jaccard,
     "op5_certified_packing": packed,
+    "op6_boosted_toxicity": toxicity,
     "op8_sentence_spans": spans,
+    "op9_cross_polytope": vectors,
     "op10_secret_structure": secrets,
     "pipeline": corpus_pipeline.run,
 }
