@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABELLED = 8000
 _GRAIN = 1 << 20
 
 
@@ -14,7 +13,7 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds).cast("long"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int = LABELLED) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """``doc_id, text, label`` of about ``most`` labelled rows outside the held-out fold, chosen by a hash of the id.
 
     Only this bounded set of ids is broadcast. Null labels and ids are left out; a doc_id that is labelled twice has its

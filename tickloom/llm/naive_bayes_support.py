@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.labelled import LABELLED, fold, sample, verdict
+from tickloom.llm.labelled import sample, verdict
 from tickloom.llm.words import mix, text_slices, word_hashes, word_spans
 
 BITS, SMOOTHING, COST, EPOCHS, BLEND = 18, 1.0, 1.0, 20, 0.75
 FOLDS, HELD = 3, 1
+RUNS, LABELLED = 9, 4000
 _BYTES = 4
 
 
@@ -22,7 +23,7 @@ def _packed_keys(rows: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def indicators(count: int, data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashed feature, each once: words, word pairs, "a word again" and runs of four bytes of every whole text."""
+    """Row and hashed feature, each once: words, word pairs, a word several times over and runs of four bytes of every whole text."""
     row, start, end = word_spans(data, offsets)
     words = word_hashes(data, start, end)
     keys = [_packed_keys(row, mix(words + np.uint64(1)), bits)]
@@ -31,7 +32,11 @@ def indicators(count: int, data: np.ndarray, offsets: np.ndarray, bits: int = BI
         again = near & (words[1:] == words[:-1])
         pairs = mix(words[:-1] * np.uint64(3) + words[1:])
         keys.append(_packed_keys(row[1:][near], pairs[near], bits))
-        keys.append(_packed_keys(np.unique(row[1:][again]), mix(np.full(np.unique(row[1:][again]).size, 7, np.uint64)), bits))
+        for n in range(2, RUNS + 1):  # a word n times over, whatever the word
+            own = np.unique(row[1:][again])
+            keys.append(_packed_keys(own, mix(np.full(own.size, n, np.uint64)), bits))
+            again = again[1:] & again[:-1]
+            again = np.concatenate([[False], again]) if again.size else np.zeros(row.size - 1, bool)
     if data.size >= _BYTES:
         grams = np.zeros(data.size - _BYTES + 1, np.uint32)
         for k in range(_BYTES):
@@ -40,7 +45,7 @@ def indicators(count: int, data: np.ndarray, offsets: np.ndarray, bits: int = BI
         inside = owner[:grams.size] == owner[_BYTES - 1:]
         keys.append(_packed_keys(owner[:grams.size][inside], mix(grams[inside].astype(np.uint64) + np.uint64(1 << 40)), bits))
     flat = np.unique(np.concatenate(keys))
-    return flat >> bits, flat & ((1 << bits) - 1)
+    return (flat >> bits).astype(np.int32), (flat & ((1 << bits) - 1)).astype(np.int32)
 
 
 def log_count_ratios(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -172,6 +177,3 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     score. Null and empty texts score by the bias alone. Repeated rows score alike; with no labels every score is 0.5.
     """
     return verdict(score(docs, train(sample(docs, labels, label, folds, held, most))), folds, held)
-
-
-__all__ = ["dual_coordinate_descent", "fit", "fold", "indicators", "quality_scores", "score", "train"]

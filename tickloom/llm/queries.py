@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, packing, quality_rules, secret_scan, sentence_spans, toxicity_trees, warc
+from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
 from tickloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_trees.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = suffix_pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
+    decoded = suffix_pieces.decode_ids("ids", PIECES)
+    return encoded.select("doc_id", "n_ids", "ids_crc32", decoded.eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op4_jaccard_forest": jaccard,
     "op5_certified_packing": packed,
     "op6_boosted_toxicity": toxicity,
+    "op7_suffix_pieces": pieces,
     "op8_sentence_spans": spans,
     "op9_cross_polytope": vectors,
     "op10_secret_structure": secrets,

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import written
-from tickloom.llm.labelled import LABELLED, sample, verdict
+from tickloom.llm.labelled import sample, verdict
 from tickloom.llm.words import text_slices, word_hashes, word_spans
 
-FOLDS, HELD = 5, 0
-TREES, TREE_DEPTH, NEAR, LEARNED_WORDS, LEARNED_DOCS = 20, 3, 6, 256, 8
+FOLDS, HELD, LABELLED = 5, 0, 24000
+TREES, TREE_DEPTH, NEAR, LEARNED_WORDS, LEARNED_DOCS = 20, 3, 6, 512, 6
+# Words are also known by their first bytes, as insults are inflected and compounded.
+PREFIXES = (4, 5, 6, 8)
 
 # Plain insults that count without labels; the labelled sample adds the words that mark its toxic rows.
 INSULTS = ("idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool jerk imbecile filth vermin creep "
@@ -47,11 +49,11 @@ def _letters(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[
     return mapped[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def names(words: Sequence[str]) -> np.ndarray:
+def names(words: Sequence[str | bytes]) -> np.ndarray:
     """Hashes of plain words as ``word_hashes`` gives them for the same letters in a text."""
     out = []
     for w in words:
-        data = np.frombuffer(w.encode(), np.uint8)
+        data = np.frombuffer(w.encode() if isinstance(w, str) else bytes(w), np.uint8)
         out.append(word_hashes(data, np.zeros(1, np.int64), np.array([data.size]))[0])
     return np.unique(np.array(out, np.uint64))
 
@@ -67,7 +69,10 @@ def dense_features(count: int, data: np.ndarray, offsets: np.ndarray, insults: n
     plain, cuts = _letters(data, offsets, _LOWER)
     row, start, end = word_spans(plain, cuts)
     hashed = word_hashes(plain, start, end)
-    base, taught, you = _member(hashed, insults), _member(hashed, learned), _member(hashed, person)
+    base, you = _member(hashed, insults), _member(hashed, person)
+    taught = _member(hashed, learned)
+    for width in PREFIXES:
+        taught |= (end - start > width) & _member(word_hashes(plain, start, np.minimum(end, start + width)), learned)
     turned, turned_cuts = _letters(data, offsets, _LEET)
     row2, start2, end2 = word_spans(turned, turned_cuts)
     found2 = _member(word_hashes(turned, start2, end2), np.union1d(insults, learned))
@@ -117,17 +122,20 @@ def featured(docs: DataFrame, insults: Sequence[str], learned: Sequence[str], la
     return own.mapInArrow(run, "doc_id long, features array<double>" + (", label int" if label else ""))
 
 
-def telling_words(sampled: DataFrame, most: int = LEARNED_WORDS, least: int = LEARNED_DOCS) -> list[str]:
-    """At most ``most`` words of at least ``least`` toxic rows whose odds of being in a toxic row are 20 times those of other rows."""
-    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\x20\x09-\x0D]", "")
-    each = sampled.select("label", F.explode(F.array_distinct(F.split(letters, r"[\x20\x09-\x0D]+"))).alias("word")).filter("word <> ''")
+def telling_words(sampled: DataFrame, most: int = LEARNED_WORDS, least: int = LEARNED_DOCS, least_odds: float = 10.0) -> list[bytes]:
+    """At most ``most`` words or beginnings of words, in UTF-8, of at least ``least`` toxic rows, with ``least_odds`` times the odds of other rows."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    letters = F.regexp_replace(F.translate("text", upper, upper.lower()), r"[\x00-\x08\x0E-\x1F!-@\[-`{-\x7F]", "")
+    words = F.transform(F.array_distinct(F.split(letters, r"[\x20\x09-\x0D]+")), lambda w: w.cast("binary"))
+    starts = [F.transform(F.filter(words, lambda w, n=n: F.octet_length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in PREFIXES]
+    each = sampled.select("label", F.explode(F.array_distinct(F.concat(words, *starts))).alias("word")).filter(F.octet_length("word") > 2)
     one, zero = (F.sum((F.col("label") == k).cast("long")) for k in (1, 0))
     totals = sampled.agg(one.alias("one"), zero.alias("zero")).first()
     if not totals["one"] or not totals["zero"]:
         return []
     odds = ((F.col("one") + 0.5) / F.lit(float(totals["one"]))) / ((F.col("zero") + 0.5) / F.lit(float(totals["zero"])))
-    counted = each.groupBy("word").agg(one.alias("one"), zero.alias("zero")).filter(F.col("one") >= least).withColumn("odds", odds).filter("odds >= 20")
-    return [r["word"] for r in counted.orderBy(F.desc(F.col("one") * F.log("odds")), "word").limit(most).collect()]
+    counted = each.groupBy("word").agg(one.alias("one"), zero.alias("zero")).filter(F.col("one") >= least).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
+    return [bytes(r["word"]) for r in counted.orderBy(F.desc(F.col("one") * F.log("odds")), "word").limit(most).collect()]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, most: int = LABELLED,
