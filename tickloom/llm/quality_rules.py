@@ -106,10 +106,10 @@ def _distance(prefix: str = "") -> Column:
 def _factor(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and Cholesky factor from the count ``n`` and the exact sums of a subset; one select per column of the factor."""
     p = len(FEATURES)
-    frame = sums.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n") / F.lit(UNIT)).alias(f"m{i}") for i in range(p)],
+    frame = sums.select(*keys, "n", *[(F.col(f"s{i}").cast("double") / F.col("n") / F.lit(UNIT)).alias(f"m{i}") for i in range(p)],
                         *[F.col(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
     frame = frame.select(*keys, "n", *[f"m{i}" for i in range(p)], *[
-        (F.col(f"q{i}{j}") / F.col("n") / F.lit(UNIT * UNIT) - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOOR if i == j else 0.0)).alias(f"c{i}{j}")
+        (F.col(f"q{i}{j}").cast("double") / F.col("n") / F.lit(UNIT * UNIT) - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOOR if i == j else 0.0)).alias(f"c{i}{j}")
         for i in range(p) for j in range(i + 1)])
     for j in range(p):
         done = F.col(f"c{j}{j}")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
+from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, oracles, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
 from tickloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,7 +19,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,11 @@ QUERIES = {
     "op10_secret_structure": secrets,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_segments": oracles.archives(),
+    "op2_mcd_quality": oracles.quality(),
+    "op4_jaccard_forest": oracles.jaccard(),
+    "op9_cross_polytope": oracles.vectors(),
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
