@@ -30,14 +30,34 @@ def _bucket(value: Column | str, size: int) -> Column:
     return F.floor(col / F.lit(size)).cast("long")
 
 
+def _held(df: DataFrame) -> Column:
+    """An aggregate that reads every column of ``df``.
+
+    A summary and the rows it is joined back to then ask for one and the same exchange, which Spark computes once: without
+    it the summary's side would be pruned to its keys, and the input scanned and shuffled a second time.
+    """
+    return F.bit_xor(F.hash(*[F.col(c) for c in df.columns])).alias("_held")
+
+
+def _dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows by key, without those that the join back would drop, so that both of its sides have the same filters."""
+    for name in by:
+        df = df.filter(F.col(name).isNotNull())
+    return df.repartition(*by)
+
+
 def _with_offsets(df: DataFrame, keys: Sequence[str], part: str, order: Sequence[Column | str]) -> DataFrame:
-    """Dense ordinals from a partial order: count per part, prefix the counts, number inside parts."""
-    sizes = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    """Dense ordinals from a partial order: count per part, prefix the counts, number inside parts.
+
+    The rows are shuffled once, by (keys, part); counting, numbering and the join all use that exchange.
+    """
+    dealt = _dealt(df, [*keys, part])
+    sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"), _held(df))
     before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*keys, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    starts = sizes.select(*keys, part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.coalesce(F.col("_held") * 0, F.lit(0))).alias("_base"))
     inside = W.partitionBy(*keys, part).orderBy(*order)
     return (
-        df.join(starts, [*keys, part])
+        dealt.join(starts, [*keys, part])
         .withColumn(ORD, F.col("_base") + F.row_number().over(inside) - 1)
         .drop("_base", part)
     )
@@ -128,6 +148,8 @@ def running(
     base = df.withColumn(CHUNK, _bucket(order, rows))
     for name, (_, expr) in outputs.items():
         base = base.withColumn(f"_x_{name}", expr)
+    read = _held(base)
+    base = _dealt(base, [*keys, CHUNK])
 
     totals, carries = [], [*keys, CHUNK]
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -139,12 +161,13 @@ def running(
         totals.append(total.alias(f"_t_{name}"))
         carries.append(_AGGREGATES[kind](F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
         local = local.withColumn(f"_l_{name}", _AGGREGATES[kind](x).over(upto))
-    carry = base.groupBy(*keys, CHUNK).agg(*totals).select(*carries)
+    carries.append((F.col("_held") * 0).alias("_held"))
+    carry = base.groupBy(*keys, CHUNK).agg(*totals, read).select(*carries)
 
     joined = local.join(carry, [*keys, CHUNK])
     for name, (kind, _) in outputs.items():
         joined = joined.withColumn(name, _merge(kind, F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    return joined.drop(CHUNK, *[f"_{p}_{n}" for n in outputs for p in ("x", "l", "c")])
+    return joined.filter("_held = 0").drop(CHUNK, "_held", *[f"_{p}_{n}" for n in outputs for p in ("x", "l", "c")])
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], tie: str) -> DataFrame:

@@ -43,7 +43,7 @@ SELECT symbol, {to_ts_sql('ms')} AS ts, close, volume, round(ret_1, 6) + 0.0 AS
   round(CASE WHEN count(ret_1) OVER f = 15 THEN stddev_samp(ret_1) OVER f END, 6) + 0.0 AS vol_15, round(drawdown, 6) + 0.0 AS drawdown
 FROM r WINDOW f AS (PARTITION BY symbol ORDER BY ms ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""")
 def bars_overview(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = number_on_grid(inputs.bars(spark, sf), ["symbol"], H1)
+    numbered = number_on_grid(inputs.bars(spark, sf).select("symbol", "ms", "close", "volume"), ["symbol"], H1)
     rows, w = with_halo(numbered, ["symbol"], back=16)
     rows = rows.withColumn("ret_1", log_return(w, 1))
     rows = drop_halo(rows.withColumn("vol_15", rolling(w, 15, "std", "ret_1")))
