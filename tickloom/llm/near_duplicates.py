@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import block_pairs, components, fixed_bytes, list_values, roots, whole_groups, written
+from tickloom.llm.common import block_pairs, components, fixed_bytes, list_values, roots, small_batches, whole_groups, written
 from tickloom.llm.words import mix, text_shingles
 
 WORDS, THRESHOLD, TREES, DEPTH, TARGET = 5, 0.8, 20, 8, 0.999
@@ -188,6 +188,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
     A pair at the threshold is proposed with probability ``target`` or more; pairs above it more often.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prefix = match_depth(trees, depth, threshold, target)
     signed = written(signatures(docs.filter("doc_id is not null"), words, trees, depth, prefix))
@@ -215,8 +216,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     by_node = linked.join(nodes, "node")
     classes = by_node.groupBy("component").agg(F.min("rep").alias("class_id"))
     extra = by_node.join(classes, "component").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node")
+    # Written, so that the join with all copies has its own exchange on either side and a large group of copies can be split.
     facts = nodes.join(extra.select("node", "class_id", "links"), "node", "left").select(
         "node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = written(facts)
     worded = signed.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links")
     blank = docs.filter("doc_id is null or text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
