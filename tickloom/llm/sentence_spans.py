@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import written
+from tickloom.llm.common import small_batches, written
 
 SENTENCES, MIN_WORDS = 2, 12
 # A sentence ends after . ! or ? before white space, and at every line feed.
@@ -95,11 +95,13 @@ def dedup_spans(docs: DataFrame, count: int = SENTENCES, min_words: int = MIN_WO
     text are one document and fare alike; rows with one doc_id and several texts are several documents, ordered by a
     hash of the text. Other columns pass through, but for earlier ones named ``n_removed`` or ``removed``, which go.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(*[c for c in docs.columns if c not in ("n_removed", "removed")])
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("version")]
     spans = written(_hashed(own.select(*identity, F.col("text").cast("string").alias("text")), count, min_words))
     place = F.struct("id", "version", "first")
-    repeated = spans.groupBy("key").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept <> last").select("key", "kept")
+    # Written, so that the join below has its own exchange on either side and the parts of a very common run can be split.
+    repeated = written(spans.groupBy("key").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter("kept <> last").select("key", "kept"))
     covered = spans.join(repeated, "key").filter(place != F.col("kept")).groupBy("id", "version").agg(
         F.collect_set(F.struct("first", "size")).alias("__covered"))
 
