@@ -144,3 +144,57 @@ def test_permutations_are_reproducible_and_keep_the_mean(spark):
     b = studies.permutation_gains(sized.repartition(7), 5, 0.1, order).toPandas().sort_values("draw")
     np.testing.assert_allclose(a.pp, b.pp)
     assert a.pp.nunique() == 5
+
+
+def test_vendor_charts_invent_nothing(spark):
+    from tickloom.schemas import VENDOR_CHART
+    from tickloom.sources.vendor import parse_charts
+    quote = {"open": [None, 2.0], "high": None, "low": [0.5, None], "close": [1.5, 2.5], "volume": None}
+    first = {"meta": {"symbol": "A"}, "timestamp": [86400, 172800], "indicators": {"quote": [quote]}}
+    second = {"meta": {"symbol": "B"}, "timestamp": [86400], "indicators": {"quote": [{**quote, "close": [9.0]}]}}
+    raw = spark.createDataFrame([({"result": [first, second], "error": None},), ({"result": [], "error": None},), ({"result": None, "error": None},)], VENDOR_CHART)
+    got = [tuple(r) for r in parse_charts(raw).orderBy("date").drop("date").collect()]
+    assert got == [("A", None, None, 0.5, 1.5, 0.0), ("A", 2.0, None, None, 2.5, 0.0)]
+
+
+def test_loss_switch_takes_a_books_exits_in_time_order(spark):
+    from tickloom.operators.outcomes import daily_loss_switch
+    rows = [("a", "x", 5, 100, -30.0), ("a", "y", 1, 300, -80.0), ("a", "z", 9, 200, 20.0), ("b", "x", 1, 100, -10.0)]
+    closed = spark.createDataFrame(rows, "book string, symbol string, exit_i long, exit_ms long, pnl double")
+    start = spark.createDataFrame([("a", 0, 1000.0), ("b", 0, 1000.0)], "book string, day long, day_equity double")
+    got = daily_loss_switch(closed, start, 0.05).collect()
+    assert [(r.book, r.stopped_ms, r.realised) for r in got] == [("a", 300, -90.0)]
+
+
+def test_t_limits():
+    from tickloom.operators.studies import t_limits
+    want = {1: 12.7062, 2: 4.30265, 3: 3.18245, 5: 2.57058, 10: 2.22814, 30: 2.04227}
+    assert all(abs(t_limits()[df - 1] - v) < 5e-4 for df, v in want.items())
+
+
+def test_an_order_that_cash_cannot_pay_is_refused(spark):
+    from walks import walk_bars
+    from tickloom.operators import outcomes as O
+    from tickloom.operators.labels import Geometry
+    from tickloom.operators import features as FE
+    bars = spark.createDataFrame(walk_bars(200, 7)[["symbol", "ms", "open", "high", "low", "close", "volume"]])
+    scored = FE.with_indicators(bars, "1h").selectExpr("*", "0.9D as p_long", "0.1D as p_short", "1 as side", "0.9D as p_side")
+    count = lambda share: O.evaluate(scored, O.Rules(geometry=Geometry(1.5, 2.0, 12), position_pct=share)).count()
+    assert count(0.9) > 0 and count(1.0) == 0
+
+
+def test_upsert_reads_only_the_folders_it_touches(spark, tmp_path):
+    from tickloom.sources import bar_store
+    row = lambda s, ms, c: ("lab", f"{s}/USD", "1h", ms, 1.0, 1.0, 1.0, c, 1.0)
+    from tickloom.schemas import BARS
+    root = str(tmp_path / "bars")
+    bar_store.save_bars(spark.createDataFrame([row(s, 0, 1.0) for s in "ab"], BARS), root)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars").rglob("symbol_key=b*/*.parquet")}
+    bar_store.upsert_bars(spark.createDataFrame([row("a", 0, 9.0), row("a", 3600000, 2.0)], BARS), root)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "bars").rglob("symbol_key=b*/*.parquet")} == before and before
+    got = sorted((r.symbol, r.ms, r.close) for r in bar_store.load_bars(spark, root).collect())
+    assert got == [("a/USD", 0, 1.0), ("a/USD", 3600000, 2.0), ("b/USD", 0, 1.0)]
+    rates = str(tmp_path / "rates")
+    for rows in ([("a", 1, 0.1), ("b", 1, 0.2)], [("a", 1, 0.9), ("a", 2, 0.3)]):
+        bar_store.upsert_rates(spark.createDataFrame(rows, "symbol string, ms long, rate double"), rates)
+    assert sorted(tuple(r) for r in bar_store.load_rates(spark, rates).collect()) == [("a", 1, 0.1), ("a", 2, 0.3), ("b", 1, 0.2)]

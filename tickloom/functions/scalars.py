@@ -165,7 +165,7 @@ def alert_category(kind: Column | str, pnl: Column | str, ok: Column | str) -> C
         F.when(k == "trade_open", "open")
         .when((k == "trade_close") & (_c(pnl) >= 0), "close_gain")
         .when((k == "trade_close") & (_c(pnl) < 0), "close_loss")
-        .when(k == "rollover", "rollover")
+        .when(k == "trade_rollover", "rollover")
         .when((k == "connection") & F.coalesce(_c(ok), F.lit(False)), "recovery")
         .when(k == "connection", "outage")
         .otherwise("other")

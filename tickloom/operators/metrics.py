@@ -95,6 +95,7 @@ def trade_summary(closed: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(pnl).alias("net_pnl"),
         (F.avg((F.col("exit_ms") - F.col("entry_ms")) / 3_600_000.0)).alias("avg_hours"),
         reason("tp"), reason("sl"), reason("timeout"),
+        F.count_if(~F.col("exit_reason").isin("tp", "sl", "timeout")).alias("exits_other"),
     )
 
 

@@ -108,6 +108,10 @@ def legs(df: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> Data
         })
         out = out.withColumn("fill_price", taker_price("open_price", s > 0, slippage))
         after, deadline = None, F.lit(steps)
+    # Cash pays for the position and its fee, or the order is refused and the book stays flat.
+    fee = F.lit(rules.costs.maker_fee) if rules.maker_timeout is not None else _param(df, "taker_fee", rules.costs.taker_fee)
+    cost = _param(df, "fraction", rules.position_pct) * F.col("fill_price") / F.col("open_price") * (1.0 + fee)
+    out = out.withColumn("side", F.when(F.coalesce(cost, F.lit(0.0)) <= 1.0, s).otherwise(0))
     explicit = "tp_price" in df.columns  # barriers given per row instead of in ATR
     out = out.withColumns({
         "tp": F.col("tp_price") if explicit else F.col("fill_price") + s * tp_mult * F.col("atr"),
@@ -320,6 +324,14 @@ def price_trades(out: DataFrame, rules: Rules) -> DataFrame:
     })
 
 
+def signal_counts(taken: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Signals given while flat, how many were filled, and the fill rate; a limit order that is not reached is a miss."""
+    entry = F.col("kind") == FLAT
+    signals, fills = F.count_if(entry), F.count_if(entry & F.col("fill_step").isNotNull())
+    return taken.groupBy(*keys).agg(
+        signals.alias("n_signals"), fills.alias("n_fills"), F.coalesce(fills * 100.0 / F.nullif(signals, F.lit(0)), F.lit(0.0)).alias("fill_rate_pct"))
+
+
 def account(priced: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Quantities, fees and PnL when each key compounds its own account.
 
@@ -399,16 +411,18 @@ def slot_contention(candidates: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def daily_loss_switch(closed: DataFrame, day_equity: DataFrame, limit: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """First trade of each UTC day whose realised PnL so far breaches limit * day-start equity.
+def daily_loss_switch(closed: DataFrame, day_equity: DataFrame, limit: float, keys: Sequence[str] = ("book",)) -> DataFrame:
+    """First trade of each UTC day whose book's realised PnL so far breaches limit * day-start equity.
 
-    Running sums are cut at day borders by subtracting the total of the days before.
+    A book holds any number of symbols; its exits are taken in the order of (time, symbol). One window task sees the
+    closed trades of one book and day.
     """
     day = F.floor(F.col("exit_ms") / 86_400_000).cast("long")
     t = closed.filter(F.col("exit_ms").isNotNull()).withColumn("day", day)
-    per_exit = running(t, [*keys, "day"], {"realised": ("sum", F.col("pnl"))}, order="exit_i")
+    w = W.partitionBy(*keys, "day").orderBy("exit_ms", "symbol").rowsBetween(W.unboundedPreceding, 0)
+    per_exit = t.withColumn("realised", F.sum("pnl").over(w))
     hit = per_exit.join(day_equity, [*keys, "day"]).filter(F.col("realised") <= -limit * F.col("day_equity"))
     return hit.groupBy(*keys, "day").agg(
-        F.min("exit_ms").alias("stopped_ms"), F.min_by("realised", "exit_ms").alias("realised"),
+        F.min("exit_ms").alias("stopped_ms"), F.min_by("realised", F.struct("exit_ms", "symbol")).alias("realised"),
         F.first("day_equity").alias("day_equity"),
     )

@@ -60,10 +60,6 @@ class Ewm:
         return covered * factor - 1
 
 
-def reach(self) -> int:
-        return (1 << self.levels) - 1
-
-
 def reach(specs: Mapping[str, Ewm]) -> int:
     return max(s.reach for s in specs.values())
 

@@ -31,18 +31,6 @@ def rounded(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFra
     ])
 
 
-def sql_rounded(body: str, columns: str, digits: int = 6) -> str:
-    """``SELECT`` list helper: names prefixed with ~ are rounded doubles."""
-    parts = []
-    for raw in columns.split(","):
-        name = raw.strip()
-        if name.startswith("~"):
-            parts.append(f"round(({name[1:]})::double, {digits}) + 0.0 AS {name[1:]}")
-        else:
-            parts.append(name)
-    return f"SELECT {', '.join(parts)} FROM ({body})"
-
-
 TICKS = "ticks AS (SELECT event_type AS symbol, ts, epoch_us(ts) // 1000 AS ms, value AS price, event_id FROM events)"
 
 

@@ -43,7 +43,7 @@ def closed(spark, sf):
  round(CASE WHEN sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END) < 0 THEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / -sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END) ELSE 'inf'::double END, 6) AS profit_factor,
  round(avg(pnl), 6) AS avg_trade_pnl, round(sum(fees), 6) AS fees_paid, round(sum(pnl) + sum(fees), 6) AS gross_pnl, round(sum(pnl), 6) AS net_pnl,
  round(avg((exit_ms - entry_ms) / 3600000.0::double), 6) AS avg_hours, count(*) FILTER (exit_reason = 'tp') AS exits_tp, count(*) FILTER (exit_reason = 'sl') AS exits_sl,
- count(*) FILTER (exit_reason = 'timeout') AS exits_timeout FROM closed GROUP BY symbol""")
+ count(*) FILTER (exit_reason = 'timeout') AS exits_timeout, count(*) FILTER (exit_reason NOT IN ('tp', 'sl', 'timeout')) AS exits_other FROM closed GROUP BY symbol""")
 def trade_summary(spark, sf):
     return rounded(M.trade_summary(closed(spark, sf), ["symbol"]))
 
@@ -72,17 +72,17 @@ def pnl_histogram(spark, sf):
     return M.histogram(closed(spark, sf), "pnl", 30).select("bin", "n")
 
 
-@query("signal_funnel", f"""{TRADES} SELECT s.symbol, s.n_signals, t.n_trades, t.rollovers, round(s.median_tp_pct, 6) AS median_tp_pct FROM
- (SELECT symbol, count(*) FILTER (side <> 0) AS n_signals, median(1.5 * atr / close * 100) AS median_tp_pct FROM sig GROUP BY symbol) s
+@query("signal_funnel", f"""{TRADES} SELECT s.symbol, t.n_trades AS n_signals, t.n_trades AS n_fills, 100.0::double AS fill_rate_pct, t.n_trades, t.rollovers, round(s.median_tp_pct, 6) AS median_tp_pct FROM
+ (SELECT symbol, median(1.5 * atr / close * 100) AS median_tp_pct FROM sig GROUP BY symbol) s
  JOIN (SELECT symbol, count(*) AS n_trades, sum(rolls)::bigint AS rollovers FROM trades GROUP BY symbol) t USING (symbol)""")
 def signal_funnel(spark, sf):
     from tickloom.operators.chunking import exact_quantile
     s = signals(spark, sf)
-    side = O.legs(s, RULES).filter(F.col("side") != 0).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_signals"))
+    funnel = O.signal_counts(O.chain(O.legs(s, RULES), RULES.reach))
     reach = s.withColumn("tp_pct", F.col("atr") * 1.5 / F.col("close") * 100)
     median = exact_quantile(reach, ["symbol"], "tp_pct", {"median_tp_pct": 0.5}, "i")
     t = booked(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("rollovers").alias("rollovers"))
-    return rounded(side.join(t, "symbol").join(median, "symbol"))
+    return rounded(funnel.join(t, "symbol").join(median, "symbol"))
 
 
 @query("no_entry_reasons", f"""{TRADES}, o AS (SELECT s.*, EXISTS (SELECT 1 FROM trades t WHERE t.symbol = s.symbol AND s.i > t.entry_i AND (t.exit_i IS NULL OR s.i < t.exit_i)) AS inpos FROM sig s)
@@ -106,14 +106,19 @@ def concurrency(spark, sf):
     return O.peak_concurrency(closed(spark, sf), H1)
 
 
-@query("daily_loss_switch", f"""{CURVE}, {CLOSED}, de AS (SELECT symbol, ms // {DAY} AS day, arg_min(equity, ms) AS day_equity FROM eq GROUP BY 1, 2),
-r AS (SELECT c.symbol, c.exit_ms // {DAY} AS day, exit_ms, sum(pnl) OVER (PARTITION BY c.symbol, c.exit_ms // {DAY} ORDER BY exit_i) AS realised FROM closed c)
-SELECT r.symbol, r.day, {to_ts_sql('min(exit_ms)')} AS stopped_at, round(arg_min(realised, exit_ms), 6) AS realised, round(any_value(day_equity), 6) AS day_equity FROM r JOIN de USING (symbol, day) WHERE realised <= -0.01::double * day_equity GROUP BY 1, 2""")
+BOOK = "CASE WHEN symbol IN ('click', 'error') THEN 'a' ELSE 'b' END"
+
+
+@query("daily_loss_switch", f"""{CURVE}, {CLOSED}, de AS (SELECT {BOOK} AS book, day, sum(e) AS day_equity FROM (SELECT symbol, ms // {DAY} AS day, arg_min(equity, ms) AS e FROM eq GROUP BY 1, 2) GROUP BY 1, 2),
+r AS (SELECT {BOOK} AS book, exit_ms // {DAY} AS day, exit_ms, symbol, sum(pnl) OVER (PARTITION BY {BOOK}, exit_ms // {DAY} ORDER BY exit_ms, symbol ROWS UNBOUNDED PRECEDING) AS realised FROM closed)
+SELECT book, day, {to_ts_sql('min(exit_ms)')} AS stopped_at, round(arg_min(realised, struct_pack(exit_ms, symbol)), 6) AS realised, round(any_value(day_equity), 6) AS day_equity FROM r JOIN de USING (book, day) WHERE realised <= -0.005::double * day_equity GROUP BY 1, 2""")
 def daily_loss_switch(spark, sf):
     eq = equity(spark, sf)
-    start = eq.groupBy("symbol", F.floor(F.col("ms") / DAY).cast("long").alias("day")).agg(F.min_by("equity", "ms").alias("day_equity"))
-    out = O.daily_loss_switch(closed(spark, sf), start, 0.01)
-    return rounded(out.select("symbol", "day", to_ts("stopped_ms").alias("stopped_at"), "realised", "day_equity"))
+    book = F.when(F.col("symbol").isin("click", "error"), "a").otherwise("b").alias("book")
+    start = eq.groupBy("symbol", F.floor(F.col("ms") / DAY).cast("long").alias("day")).agg(F.min_by("equity", "ms").alias("_e"))
+    start = start.groupBy(book, "day").agg(F.sum("_e").alias("day_equity"))
+    out = O.daily_loss_switch(closed(spark, sf).withColumn("book", book), start, 0.005)
+    return rounded(out.select("book", "day", to_ts("stopped_ms").alias("stopped_at"), "realised", "day_equity"))
 
 
 @query("drawdown", f"{CURVE} SELECT symbol, {to_ts_sql('ms')} AS ts, round(max(equity) OVER s, 6) AS peak, round(equity / max(equity) OVER s - 1, 6) + 0.0 AS drawdown FROM eq {W}")
@@ -300,9 +305,9 @@ def trade_marks(spark, sf):
     return rounded(B.with_ts(A.clip_marks(marks, F.lit(1704500000000), F.lit(1706000000000))).select("symbol", "ts", "price", "kind"))
 
 
-@query("changed_fields", f"""WITH {TICKS} SELECT {to_ts_sql(f'ms - ms % {DAY}')} AS ts, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS fields FROM ticks WHERE price > 400 GROUP BY 1""")
+@query("changed_fields", f"""WITH {TICKS} SELECT {to_ts_sql(f'ms - ms % {DAY}')} AS ts, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS fields FROM ticks GROUP BY 1""")
 def changed_fields(spark, sf):
-    h = inputs.ticks(spark, sf).filter("price > 400").withColumn("ms", F.col("ms") - F.col("ms") % DAY)
+    h = inputs.ticks(spark, sf).withColumn("ms", F.col("ms") - F.col("ms") % DAY)
     return B.with_ts(M.changed_fields(h, ["ms"], "symbol")).select("ts", "fields")
 
 
@@ -314,13 +319,13 @@ def open_positions(spark, sf):
     return rounded(held.withColumn("_p", open_pnl("side", "qty", "entry_price", "last")).select("symbol", "side", "_p.pnl", "_p.pct"))
 
 
-@query("latest_alerts", f"""WITH a AS (SELECT event_id, ts, value, CASE event_type WHEN 'click' THEN 'trade_open' WHEN 'purchase' THEN 'trade_close' WHEN 'error' THEN 'connection' WHEN 'signup' THEN 'rollover' ELSE 'other' END AS kind FROM events)
-SELECT event_id, ts, CASE WHEN kind = 'trade_open' THEN 'open' WHEN kind = 'trade_close' AND value >= 100 THEN 'close_gain' WHEN kind = 'trade_close' THEN 'close_loss' WHEN kind = 'rollover' THEN 'rollover'
+@query("latest_alerts", f"""WITH a AS (SELECT event_id, ts, value, CASE event_type WHEN 'click' THEN 'trade_open' WHEN 'purchase' THEN 'trade_close' WHEN 'error' THEN 'connection' WHEN 'signup' THEN 'trade_rollover' ELSE 'other' END AS kind FROM events)
+SELECT event_id, ts, CASE WHEN kind = 'trade_open' THEN 'open' WHEN kind = 'trade_close' AND value >= 100 THEN 'close_gain' WHEN kind = 'trade_close' THEN 'close_loss' WHEN kind = 'trade_rollover' THEN 'rollover'
  WHEN kind = 'connection' AND event_id % 2 = 0 THEN 'recovery' WHEN kind = 'connection' THEN 'outage' ELSE 'other' END AS category FROM a ORDER BY ts DESC, event_id DESC LIMIT 60""")
 def latest_alerts(spark, sf):
     e = inputs.table(spark, sf, "events")
     kind = (F.when(F.col("event_type") == "click", "trade_open").when(F.col("event_type") == "purchase", "trade_close")
-            .when(F.col("event_type") == "error", "connection").when(F.col("event_type") == "signup", "rollover").otherwise("other"))
+            .when(F.col("event_type") == "error", "connection").when(F.col("event_type") == "signup", "trade_rollover").otherwise("other"))
     ok = F.when(F.col("event_id") % 2 == 0, True)
     rows = e.select("event_id", "ts", alert_category(kind, F.col("value") - 100, ok).alias("category"))
     return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(60)

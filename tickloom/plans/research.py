@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import break_even_pct, regime
@@ -30,7 +33,9 @@ def query(name: str, sql: str | None = None):
 # scenario: take-profit, stop, threshold, slippage, fee
 SCENARIOS = {
     "base": (1.5, 2.0, 0.8, 0.0002, 0.001), "cheap": (1.5, 2.0, 0.8, 0.0, 0.0002), "dear": (1.5, 2.0, 0.8, 0.001, 0.002),
-    "tight": (1.0, 1.0, 0.8, 0.0002, 0.001), "picky": (1.5, 2.0, 0.9, 0.0002, 0.001),
+    "futures": (1.5, 2.0, 0.8, 0.0002, 0.0005), "discount": (1.5, 2.0, 0.8, 0.0002, 0.00045), "free": (1.5, 2.0, 0.8, 0.0, 0.0),
+    "tight": (1.0, 1.0, 0.8, 0.0002, 0.001), "near_stop": (2.0, 1.0, 0.8, 0.0002, 0.001), "wide": (2.0, 2.0, 0.8, 0.0002, 0.001),
+    "loose": (1.5, 2.0, 0.7, 0.0002, 0.001), "picky": (1.5, 2.0, 0.9, 0.0002, 0.001),
 }
 
 
@@ -90,17 +95,17 @@ def scenario_cells(spark, sf):
     return rounded(S.out_of_sample(grid(spark, sf), ["scenario", "window"], RULES.initial))
 
 
-@query("cost_grid", f"{GRID} SELECT scenario, count(*) AS n_trades, round(avg(gross_r) * 100, 6) + 0.0 AS gross_pct, round(avg(r) * 100, 6) + 0.0 AS net_pct, round(avg(cost_r) * 100, 6) AS cost_pct FROM grid WHERE scenario IN ('base', 'cheap', 'dear') GROUP BY scenario")
+@query("cost_grid", f"{GRID} SELECT scenario, count(*) AS n_trades, round(avg(gross_r) * 100, 6) + 0.0 AS gross_pct, round(avg(r) * 100, 6) + 0.0 AS net_pct, round(avg(cost_r) * 100, 6) AS cost_pct FROM grid WHERE scenario IN ('base', 'cheap', 'dear', 'futures', 'discount', 'free') GROUP BY scenario")
 def cost_grid(spark, sf):
-    g = grid(spark, sf).filter(F.col("scenario").isin("base", "cheap", "dear"))
+    g = grid(spark, sf).filter(F.col("scenario").isin("base", "cheap", "dear", "futures", "discount", "free"))
     return rounded(g.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_trades"), (F.avg("gross_r") * 100).alias("gross_pct"),
                                              (F.avg("r") * 100).alias("net_pct"), (F.avg("cost_r") * 100).alias("cost_pct")))
 
 
-@query("geometry_grid", f"""{GRID} SELECT scenario, round(avg((pnl > 0)::int) * 100, 6) AS win_pct, round(CASE scenario WHEN 'tight' THEN 50.0 ELSE 2.0::double / 3.5 * 100 END, 6) AS breakeven_pct,
- round(avg((pnl > 0)::int) * 100 - CASE scenario WHEN 'tight' THEN 50.0 ELSE 2.0::double / 3.5 * 100 END, 6) + 0.0 AS edge_pp FROM grid WHERE scenario IN ('base', 'tight') GROUP BY scenario""")
+@query("geometry_grid", f"""{GRID} SELECT scenario, round(avg((pnl > 0)::int) * 100, 6) AS win_pct, round(CASE scenario WHEN 'tight' THEN 50.0 WHEN 'wide' THEN 50.0 WHEN 'near_stop' THEN 1.0::double / 3 * 100 ELSE 2.0::double / 3.5 * 100 END, 6) AS breakeven_pct,
+ round(avg((pnl > 0)::int) * 100 - CASE scenario WHEN 'tight' THEN 50.0 WHEN 'wide' THEN 50.0 WHEN 'near_stop' THEN 1.0::double / 3 * 100 ELSE 2.0::double / 3.5 * 100 END, 6) + 0.0 AS edge_pp FROM grid WHERE scenario IN ('base', 'tight', 'near_stop', 'wide') GROUP BY scenario""")
 def geometry_grid(spark, sf):
-    g = grid(spark, sf).filter(F.col("scenario").isin("base", "tight"))
+    g = grid(spark, sf).filter(F.col("scenario").isin("base", "tight", "near_stop", "wide"))
     win, be = F.avg((F.col("pnl") > 0).cast("int")) * 100, F.first(break_even_pct(F.col("tp_mult"), F.col("sl_mult")))
     return rounded(g.groupBy("scenario").agg(win.alias("win_pct"), be.alias("breakeven_pct"), (win - be).alias("edge_pp")))
 
@@ -119,17 +124,22 @@ def weighted_means(spark, sf):
 PAIR = "SELECT a.scenario, count(*) AS windows, round(avg(a.mean_return_pct - b.mean_return_pct), 6) + 0.0 AS mean_diff, count(*) FILTER (a.mean_return_pct > b.mean_return_pct) AS wins, round(avg(a.mean_return_pct - b.mean_return_pct) / nullif(stddev_samp(a.mean_return_pct - b.mean_return_pct) / sqrt(count(*)), 0), 4) AS t FROM cells a JOIN cells b ON b.win = a.win AND b.scenario = 'base' WHERE a.scenario <> 'base'"
 
 
-@query("paired_diff", f"{GRID} {PAIR} GROUP BY a.scenario")
+# Two-sided 5 % limits of the t distribution for 1 to 10 degrees of freedom.
+LIMITS = "[12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139]"
+JUDGED = f"{GRID}, pr AS ({PAIR} {{}} GROUP BY a.scenario) SELECT *, abs(t) > {LIMITS}[windows - 1] AS beyond_5pct FROM pr"
+
+
+@query("paired_diff", JUDGED.format(""))
 def paired_diff(spark, sf):
-    out = S.paired_difference(cells(spark, sf), "base").drop("beyond_5pct").withColumn("t", F.round("t", 4))
+    out = S.paired_difference(cells(spark, sf), "base").withColumn("t", F.round("t", 4))
     return rounded(out, skip=("t",))
 
 
-@query("holdout_pairs", f"{GRID} {PAIR} AND a.win % 3 <> 0 GROUP BY a.scenario")
+@query("holdout_pairs", JUDGED.format("AND a.win % 3 <> 0"))
 def holdout_pairs(spark, sf):
     c = cells(spark, sf)
     selection = c.select("window").distinct().filter(F.col("window") % 3 == 0)
-    out = S.paired_difference(c.join(selection, "window", "left_anti"), "base").drop("beyond_5pct").withColumn("t", F.round("t", 4))
+    out = S.paired_difference(c.join(selection, "window", "left_anti"), "base").withColumn("t", F.round("t", 4))
     return rounded(out, skip=("t",))
 
 
@@ -160,16 +170,19 @@ def size_multipliers(spark, sf):
     return rounded(t.select("id", "window", "u", "by_rank", "by_p"))
 
 
-@query("sizing_gain", f"{RANKED}, g AS (SELECT 'rank' AS ramp, win, sum((mr - 1) * r) * 10 AS pp FROM m1 GROUP BY win UNION ALL SELECT 'p', win, sum((mp - 1) * r) * 10 FROM m1 GROUP BY win) SELECT ramp, round(avg(pp), 6) AS avg_pp, round(median(pp), 6) AS median_pp, count(*) FILTER (pp > 0) AS windows_positive, count(*) AS windows FROM g GROUP BY ramp")
+@query("sizing_gain", f"""{RANKED}, st(s) AS (VALUES (0.25::double), (0.5::double), (0.75::double)),
+n0 AS (SELECT rk.*, s, 1 + s * (2 * u - 1) AS a, 1 + s * (2 * CASE WHEN hi > 0.8 THEN (prob - 0.8::double) / nullif(hi - 0.8::double, 0) ELSE 0.5 END - 1) AS b FROM rk, st),
+n1 AS (SELECT *, a / avg(a) OVER (PARTITION BY s, win) AS nr, b / avg(b) OVER (PARTITION BY s, win) AS np FROM n0),
+g AS (SELECT s, 'rank' AS ramp, win, sum((nr - 1) * r) * 10 AS pp FROM n1 GROUP BY s, win UNION ALL SELECT s, 'p', win, sum((np - 1) * r) * 10 FROM n1 GROUP BY s, win)
+SELECT s AS strength, ramp, round(avg(pp), 6) AS avg_pp, round(median(pp), 6) AS median_pp, count(*) FILTER (pp > 0) AS windows_positive, count(*) AS windows FROM g GROUP BY s, ramp""")
 def sizing_gain(spark, sf):
-    gains = None
-    for kind in ("rank", "p"):
-        g = S.sizing_gain(S.multipliers(pool(spark, sf), 0.75, kind, 0.8), 0.1).withColumn("ramp", F.lit(kind))
-        gains = g if gains is None else gains.unionByName(g)
-    return rounded(S.gain_table(gains, ["ramp"]))
+    ranked = S.rank_pct(pool(spark, sf), ["window"]).drop("u")
+    gains = [S.sizing_gain(S.multipliers(ranked, s, kind, 0.8), 0.1).withColumns({"strength": F.lit(s), "ramp": F.lit(kind)})
+             for s in (0.25, 0.5, 0.75) for kind in ("rank", "p")]
+    return rounded(S.gain_table(reduce(DataFrame.unionByName, gains), ["strength", "ramp"]))
 
 
-DRAWS = 20
+DRAWS = 200
 
 
 @query("permutation_null", f"""{RANKED}, fx AS (SELECT win, mp, row_number() OVER (PARTITION BY win ORDER BY id) AS k FROM m1), sh AS (SELECT win, draw, r, row_number() OVER (PARTITION BY win, draw ORDER BY {hashed_sql('draw', 'id')}, id) AS k FROM m1, range(1, {DRAWS + 1}) t(draw)),

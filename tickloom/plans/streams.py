@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, journal each batch under its id, hand back the journal."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", newest: Sequence[str] = (), out: str | None = None) -> DataFrame:
+    """Process what is there, journal each batch under its id, hand back the journal.
+
+    In update mode a key comes again with every batch that touches it: ``newest`` names the key columns, and only each
+    key's last row is handed back. With the ``out`` folder of an earlier run the stream goes on where that one stopped.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    out = out or scratch(spark, name)
     q = (stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
          .foreachBatch(SB.append_once(f"{out}/data")).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data").drop("batch_id")
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch_id long").parquet(f"{out}/data")
+    if newest:
+        rest = [c for c in stream.columns if c not in newest]
+        rows = rows.groupBy(*newest).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row")).select(*newest, "_row.*")
+    return rows.select(*stream.columns)
 
 
 def tick_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +83,7 @@ def stream_dedup(spark, sf):
 
 @query("stream_prices", f"WITH {TICKS} SELECT symbol, last(price ORDER BY ts, event_id) AS price, max(ts) AS ts FROM ticks GROUP BY symbol")
 def stream_prices(spark, sf):
-    return ntz(run_available(SB.latest_prices(tick_stream(spark, sf)), "prices", "update"), "ts")
+    return ntz(run_available(SB.latest_prices(tick_stream(spark, sf)), "prices", "update", ["symbol"]), "ts")
 
 
 @query("stream_variants", f"{BASE} SELECT symbol, {to_ts_sql('ms - ms % 86400000')} AS ts, v AS variant, coalesce(t, 0.55)::double AS threshold, count(*) AS n FROM ticks, (VALUES ('a', NULL), ('b', 0.6)) x(v, t) GROUP BY ALL")
@@ -111,7 +120,7 @@ def stream_tracker(spark, sf):
 @query("stream_recent_bars", f"""{BASE}, k AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ms DESC) <= 50)
 SELECT symbol, count(*) AS bars, min(ms) AS first_ms, max(ms) AS last_ms, round(avg(close), 6) AS mean_close FROM k GROUP BY symbol""")
 def stream_recent_bars(spark, sf):
-    out = run_available(ST.recent_bars(bar_stream(spark, sf), 50), "recent", "update")
+    out = run_available(ST.recent_bars(bar_stream(spark, sf), 50), "recent", "update", ["symbol"])
     return out.withColumn("mean_close", F.round("mean_close", 6))
 
 
@@ -124,8 +133,11 @@ def stream_drawdown(spark, sf):
     return ntz(out, "ts").withColumn("drawdown", F.round("drawdown", 6))
 
 
-@query("stream_daily_loss", f"WITH {TICKS} SELECT symbol AS book, {to_ts_sql('ms - ms % 86400000')} AS day, round(sum(40 - price), 6) AS realised FROM ticks GROUP BY ALL HAVING sum(40 - price) <= -500")
+@query("stream_daily_loss", f"""WITH {TICKS}, p AS (SELECT symbol AS book, ts, ms // 86400000 AS day, 45 - price AS pnl, event_id FROM ticks),
+d AS (SELECT book, day, 10000 + coalesce(sum(sum(pnl)) OVER (PARTITION BY book ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS equity FROM p GROUP BY book, day),
+r AS (SELECT p.*, equity, sum(pnl) OVER (PARTITION BY p.book, p.day ORDER BY ts ROWS UNBOUNDED PRECEDING) AS realised FROM p JOIN d ON d.book = p.book AND d.day = p.day)
+SELECT book, min(ts) AS ts, round(arg_min(realised, ts), 6) AS realised FROM r WHERE realised <= -0.05::double * equity GROUP BY book, day""")
 def stream_daily_loss(spark, sf):
-    trades = tick_stream(spark, sf).select(F.col("symbol").alias("book"), "ts", (40 - F.col("price")).alias("pnl"))
-    out = run_available(ST.daily_loss_alarms(trades, 0.05, 10_000.0), "loss", "update")
-    return ntz(out, "day").withColumn("realised", F.round("realised", 6))
+    trades = tick_stream(spark, sf).select(F.col("symbol").alias("book"), "ts", (45 - F.col("price")).alias("pnl"))
+    out = run_available(ST.daily_loss_alarms(trades, 0.05, 10_000.0), "loss")
+    return ntz(out, "ts").withColumn("realised", F.round("realised", 6))

@@ -55,16 +55,22 @@ def save_bars(bars: DataFrame, root: str, rows_per_file: int = 5_000_000) -> Non
 def upsert_bars(incoming: DataFrame, root: str) -> None:
     """Add new bars; a stored bar wins. Only the touched partitions are read and rewritten."""
     spark = incoming.sparkSession
-    touched = incoming.select("exchange", "timeframe", "symbol").distinct()
-    stored = load_bars(spark, root).join(touched, ["exchange", "timeframe", "symbol"], "left_semi")
+    # Joined on the folders; the comparison tells Spark that this side is selective, so that it prunes them at run time.
+    touched = incoming.select("exchange", "timeframe", path_safe("symbol").alias("symbol_key")).distinct().filter(F.col("symbol_key") > "")
+    stored = _read(spark, root, f"{BARS}, symbol_key string").join(touched, list(BAR_LAYOUT), "left_semi").drop("symbol_key")
     merged = merge_keep_existing(stored, incoming, ("exchange", "symbol", "timeframe", "ms"))
     save_bars(durable(merged), root)  # the write replaces files the merge reads
 
 
 def load_rates(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, RATES)
+    return _read(spark, root, f"{RATES}, symbol_key string").drop("symbol_key")
 
 
 def upsert_rates(incoming: DataFrame, root: str) -> None:
-    merged = merge_keep_existing(load_rates(incoming.sparkSession, root), incoming.select(*names(RATES)))
-    durable(merged).repartitionByRange("symbol", "ms").write.mode("overwrite").parquet(root)
+    """Add new rates; a stored rate wins. Only the folders of the incoming symbols are read and rewritten."""
+    spark = incoming.sparkSession
+    touched = incoming.select(path_safe("symbol").alias("symbol_key")).distinct().filter(F.col("symbol_key") > "")
+    stored = _read(spark, root, f"{RATES}, symbol_key string").join(touched, "symbol_key", "left_semi").drop("symbol_key")
+    merged = durable(merge_keep_existing(stored, incoming.select(*names(RATES)))).withColumn("symbol_key", path_safe("symbol"))
+    (merged.repartitionByRange("symbol_key", "ms").sortWithinPartitions("symbol_key", "ms").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("symbol_key").parquet(root))

@@ -11,18 +11,19 @@ FIELDS = ("open", "high", "low", "close", "volume")
 
 
 def parse_charts(raw: DataFrame) -> DataFrame:
-    """Rows with a ``chart`` struct -> one bar per day; parallel arrays are zipped, a missing price
-    takes the close, a missing volume is 0, rows without a close are dropped."""
-    r = raw.withColumn("_r", F.explode("chart.result"))
+    """Rows with a ``chart`` struct -> one bar per day of its first result; parallel arrays are zipped. A missing array is
+    null for prices and 0 for the volume, a missing cell stays null, and rows without a close are dropped."""
+    r = raw.withColumn("_r", F.get("chart.result", F.lit(0))).filter(F.col("_r").isNotNull())
     q = F.col("_r.indicators.quote")[0]
     count = F.size("_r.timestamp")
-    filled = [F.coalesce(q[f], F.array_repeat(F.lit(None).cast("double"), count)).alias(f) for f in FIELDS]
+    absent = lambda f: F.lit(0.0 if f == "volume" else None).cast("double")
+    filled = [F.when(F.size(q[f]) > 0, q[f]).otherwise(F.array_repeat(absent(f), count)).alias(f) for f in FIELDS]
     zipped = r.select(F.col("_r.meta.symbol").alias("symbol"), F.col("_r.timestamp").alias("seconds"), *filled)
     days = zipped.select("symbol", F.inline(F.arrays_zip("seconds", *FIELDS)))
     close = F.col("close")
     return days.filter(close.isNotNull() & F.col("seconds").isNotNull()).select(
         "symbol", F.to_date(F.timestamp_seconds("seconds")).alias("date"),
-        *[F.coalesce(c, close).alias(c) for c in ("open", "high", "low")], "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+        *FIELDS)
 
 
 def read_charts(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,19 +69,23 @@ def track_positions(bars: DataFrame, horizon: int = 12, tp_mult: float = 1.5, sl
     return bars.groupBy("variant", "symbol").applyInPandasWithState(run, EVENTS, POSITION, "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one trigger by time; the source's limit on files per trigger bounds them."""
+    return pd.concat(list(batches)).sort_values("ts", kind="stable")
+
+
 def recent_bars(bars: DataFrame, keep: int) -> DataFrame:
     """After each batch, how many of the last ``keep`` bars a symbol holds, their range and mean close."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, closes = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        for bar in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            ms = int(bar.ts.value // 1_000_000)
-            if not times or ms > times[-1]:
-                times.append(ms)
-                closes.append(float(bar.close))
-        times, closes = times[-keep:], closes[-keep:]
-        state.update((times, closes))
-        yield pd.DataFrame({"symbol": [key[0]], "bars": [len(times)], "first_ms": [times[0]], "last_ms": [times[-1]],
-                            "mean_close": [sum(closes) / len(closes)]})
+        held, closes = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        rows = _in_order(batches)
+        ms = rows["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        new = ms > (held[-1] if held.size else np.iinfo(np.int64).min)
+        ms, first = np.unique(ms[new], return_index=True)
+        times = np.concatenate([held, ms])[-keep:]
+        closes = np.concatenate([closes, rows["close"].to_numpy(float)[new][first]])[-keep:]
+        state.update((times.tolist(), closes.tolist()))
+        yield pd.DataFrame({"symbol": [key[0]], "bars": [times.size], "first_ms": [times[0]], "last_ms": [times[-1]], "mean_close": [closes.mean()]})
 
     return bars.groupBy("symbol").applyInPandasWithState(
         run, "symbol string, bars long, first_ms long, last_ms long, mean_close double", "times array<long>, closes array<double>",
@@ -91,24 +96,47 @@ def drawdown_alarms(equity: DataFrame, threshold: float) -> DataFrame:
     """Drawdown alerts with re-arming at half the threshold; state = (peak, alarmed)."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         peak, alarmed = state.get if state.exists else (0.0, False)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            peak = max(peak, r.equity)
-            dd = r.equity / peak - 1.0 if peak > 0 else 0.0
-            if dd <= -threshold and not alarmed:
-                rows.append((key[0], r.ts, dd))
-                alarmed = True
-            elif dd > -threshold / 2.0:
-                alarmed = False
-        state.update((float(peak), bool(alarmed)))
-        yield pd.DataFrame(rows, columns=["book", "ts", "drawdown"])
+        rows = _in_order(batches)
+        value = rows["equity"].to_numpy(float)
+        peaks = np.maximum.accumulate(np.append(peak, value))[1:]
+        dd = np.where(peaks > 0, value / np.where(peaks > 0, peaks, 1.0) - 1.0, 0.0)
+        # 1 sets the alarm, 0 re-arms it, anything between leaves it as it was
+        level = np.where(dd <= -threshold, 1, np.where(dd > -threshold / 2.0, 0, -1))
+        last = np.maximum.accumulate(np.where(level >= 0, np.arange(level.size), -1))
+        on = np.where(last >= 0, level[last], int(alarmed)) == 1
+        fresh = on & ~np.append(alarmed, on[:-1]).astype(bool)
+        state.update((float(peaks[-1]), bool(on[-1])))
+        yield pd.DataFrame({"book": key[0], "ts": rows["ts"].to_numpy()[fresh], "drawdown": dd[fresh]})
 
     return equity.groupBy("book").applyInPandasWithState(
         run, "book string, ts timestamp, drawdown double", "peak double, alarmed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_loss_alarms(trades: DataFrame, limit: float, start_equity: float) -> DataFrame:
-    """Books whose realised PnL of a UTC day is below the limit (update mode)."""
-    day = F.window("ts", "1 day").alias("_w")
-    pnl = trades.withWatermark("ts", "1 day").groupBy("book", day).agg(F.sum("pnl").alias("realised"))
-    return pnl.filter(F.col("realised") <= -limit * start_equity).select("book", F.col("_w.start").alias("day"), "realised")
+    """One alert per book and UTC day, at the trade whose realised PnL of the day first reaches the limit.
+
+    The limit is a share of the equity at the day's start: ``start_equity`` plus all PnL of earlier days. Batches must
+    come in the order of time; within one, rows are put in order. State = (day, PnL before it, PnL of it, alerted).
+    """
+    day_ms = 86_400_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, before, realised, alerted = state.get if state.exists else (-1, 0.0, 0.0, False)
+        rows, out = _in_order(batches), []
+        days = rows["ts"].astype("datetime64[ms]").astype("int64").to_numpy() // day_ms
+        pnl, ts = rows["pnl"].to_numpy(float), rows["ts"].to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, days[1:] != days[:-1])), days.size)
+        for lo, hi in zip(cuts, cuts[1:]):  # one turn per day in the batch
+            if days[lo] != day:
+                day, before, realised, alerted = int(days[lo]), before + realised, 0.0, False
+            sums = realised + np.cumsum(pnl[lo:hi])
+            hit = np.flatnonzero(sums <= -limit * (start_equity + before))
+            if hit.size and not alerted:
+                out.append((key[0], ts[lo + hit[0]], float(sums[hit[0]])))
+                alerted = True
+            realised = float(sums[-1])
+        state.update((day, before, realised, alerted))
+        yield pd.DataFrame(out, columns=["book", "ts", "realised"])
+
+    return trades.groupBy("book").applyInPandasWithState(
+        run, "book string, ts timestamp, realised double", "day long, before double, realised double, alerted boolean", "append", GroupStateTimeout.NoTimeout)
