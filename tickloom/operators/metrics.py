@@ -121,6 +121,13 @@ def last_per_timestamp(journal: DataFrame, keys: Sequence[str], values: Sequence
     return picked.select(*keys, ts, "_v.*")
 
 
+def distinct_in_order(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """Distinct values per key as an array, each at its first place; repeats combine before anything is gathered."""
+    first = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_at"))
+    gathered = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_v"))
+    return gathered.select(*keys, F.transform("_v", lambda v: v[value]).alias(f"{value}s"))
+
+
 def changed_fields(history: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
     """Sorted distinct field names per key, joined into one text."""
     distinct = history.select(*keys, field).distinct()

@@ -117,7 +117,7 @@ def load_bundle(path: str) -> tuple[PipelineModel, list[str], dict]:
 def control_scores(kind: str, seed: int = 0) -> tuple[Column, Column]:
     """(p_long, p_short) of a scorer that knows nothing.
 
-    'random' hashes (symbol, ms, seed): independent per pair and the same on any partitioning.
+    'random' hashes (symbol, ms, seed): independent per pair, the same on any partitioning and in any engine with md5.
     """
     one, zero = F.lit(1.0), F.lit(0.0)
     if kind == "always_long":
@@ -126,7 +126,10 @@ def control_scores(kind: str, seed: int = 0) -> tuple[Column, Column]:
         return zero, one
     if kind != "random":
         raise ValueError(f"unknown control {kind!r}")
-    draw = lambda salt: F.pmod(F.xxhash64("symbol", "ms", F.lit(seed), F.lit(salt)), F.lit(1 << 53)) / float(1 << 53)
+    def draw(salt: str) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(salt), F.lit(str(seed)), "symbol", F.col("ms").cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
     return draw("long"), draw("short")
 
 

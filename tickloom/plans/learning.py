@@ -9,7 +9,7 @@ from tickloom.operators import labels as L
 from tickloom.operators import ml
 from tickloom.operators.chunking import number_on_grid
 from tickloom.plans import inputs
-from tickloom.plans.common import NUMBERED, SCORED, TICKS, bars_cte, rounded, shared, to_ts_sql
+from tickloom.plans.common import NUMBERED, SCORED, TICKS, bars_cte, hashed_sql, rounded, shared, to_ts_sql
 from tickloom.plans.market import _label_sql
 from tickloom.plans.trading import scored_bars
 
@@ -91,7 +91,9 @@ def enough_history(spark, sf):
     return ml.enough_history(b, ml.window_bounds(b, windows(spark)), 200)
 
 
-@query("control_scorers")
+@query("control_scorers", f"""WITH {TICKS}, {bars_cte('1h')}, c AS (SELECT symbol, 'always_long' AS control, 1.0::double AS l, 0.0::double AS s FROM bars UNION ALL SELECT symbol, 'always_short', 0.0, 1.0 FROM bars
+ UNION ALL SELECT symbol, 'random', {hashed_sql("'long'", "'1'", 'symbol', 'ms')}, {hashed_sql("'short'", "'1'", 'symbol', 'ms')} FROM bars)
+SELECT symbol, control, round(avg(l), 6) AS mean_long, round(avg(s), 6) AS mean_short FROM c GROUP BY ALL""")
 def control_scorers(spark, sf):
     b = inputs.bars(spark, sf)
     out = None

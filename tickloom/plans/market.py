@@ -341,13 +341,16 @@ def structure_levels(spark, sf):
     return rounded(B.with_ts(structured(spark, sf)).select("symbol", "ts", "entry", *_ST))
 
 
-@query("labels_structure", f"""{STRUCTURE}, t AS (SELECT b.symbol, b.i, min(CASE WHEN x.high >= b.long_tp THEN x.i - b.i - 1 END) AS ft, min(CASE WHEN x.low <= b.long_sl THEN x.i - b.i - 1 END) AS fs
-  FROM st b JOIN ind x ON x.symbol = b.symbol AND x.i BETWEEN b.i + 1 AND b.i + 24 GROUP BY 1, 2)
-SELECT st.symbol, {to_ts_sql('ms')} AS ts, CASE WHEN st.i + 25 <= last_i AND long_tp IS NOT NULL AND long_sl IS NOT NULL THEN coalesce(ft < fs, ft IS NOT NULL)::int END AS label,
- (CASE WHEN coalesce(ft < fs, ft IS NOT NULL) THEN ft ELSE fs END)::int AS hit_step FROM st LEFT JOIN t USING (symbol, i)""")
+@query("labels_structure", f"""{STRUCTURE}, sd AS (SELECT *, 'long' AS side, long_tp AS tp, long_sl AS sl FROM st UNION ALL SELECT *, 'short', short_tp, short_sl FROM st),
+t AS (SELECT b.symbol, b.i, b.side, min(CASE WHEN (side = 'long' AND x.high >= b.tp) OR (side = 'short' AND x.low <= b.tp) THEN x.i - b.i - 1 END) AS ft,
+  min(CASE WHEN (side = 'long' AND x.low <= b.sl) OR (side = 'short' AND x.high >= b.sl) THEN x.i - b.i - 1 END) AS fs
+  FROM sd b JOIN ind x ON x.symbol = b.symbol AND x.i BETWEEN b.i + 1 AND b.i + 24 GROUP BY 1, 2, 3)
+SELECT sd.symbol, side, {to_ts_sql('ms')} AS ts, CASE WHEN sd.i + 25 <= last_i AND tp IS NOT NULL AND sl IS NOT NULL THEN coalesce(ft < fs, ft IS NOT NULL)::int END AS label,
+ (CASE WHEN coalesce(ft < fs, ft IS NOT NULL) THEN ft ELSE fs END)::int AS hit_step FROM sd LEFT JOIN t USING (symbol, i, side)""")
 def labels_structure(spark, sf):
-    out = L.barrier_labels(structured(spark, sf), 24, "long", "long_tp", "long_sl")
-    return B.with_ts(out).select("symbol", "ts", "label", "hit_step")
+    sides = [L.barrier_labels(structured(spark, sf), 24, side, f"{side}_tp", f"{side}_sl").withColumn("side", F.lit(side)).select("symbol", "side", "ms", "label", "hit_step")
+             for side in ("long", "short")]
+    return B.with_ts(sides[0].unionByName(sides[1])).select("symbol", "side", "ts", "label", "hit_step")
 
 
 @query("label_base_rate", f"SELECT symbol, count(label) AS labelled, round(avg(label), 6) AS base_rate, round(avg(hit_step), 6) AS mean_hit_step FROM ({_label_sql('long')}) GROUP BY symbol")

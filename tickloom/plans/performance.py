@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import alert_category, open_pnl
-from tickloom.functions.timeframes import periods_per_year, to_ts
+from tickloom.functions.timeframes import epoch_ms, periods_per_year, to_ts
 from tickloom.operators import alerts as A
 from tickloom.operators import bars as B
 from tickloom.operators import curves as C
@@ -296,15 +296,25 @@ def price_extension(spark, sf):
 
 
 @query("trade_marks", f"""{TRADES}, {CLOSED}, m AS (SELECT symbol, entry_ms AS ms, entry_price AS price, 'entry' AS kind FROM closed UNION ALL SELECT symbol, exit_ms, exit_price, 'exit' FROM closed
- UNION ALL SELECT symbol, entry_ms, entry_price, 'held' FROM trades WHERE exit_reason IS NULL)
+ UNION ALL SELECT symbol, entry_ms, entry_price, 'held' FROM trades WHERE exit_reason IS NULL
+ UNION ALL SELECT event_type, epoch_us(ts) // 1000, value, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END FROM events WHERE event_id % 50 = 0)
 SELECT symbol, {to_ts_sql('ms')} AS ts, round(price, 6) AS price, kind FROM m WHERE ms BETWEEN 1704500000000 AND 1706000000000""")
 def trade_marks(spark, sf):
     t = booked(spark, sf)
-    none = t.filter("false").select("symbol", F.col("entry_ms").alias("ms"), F.col("entry_price").alias("price"), F.lit("buy").alias("side"))
-    marks = A.trade_marks(t.filter(F.col("exit_reason").isNotNull()), none, t.filter(F.col("exit_reason").isNull()))
+    fills = inputs.table(spark, sf, "events").filter("event_id % 50 = 0").select(
+        F.col("event_type").alias("symbol"), epoch_ms("ts").alias("ms"), F.col("value").alias("price"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"))
+    marks = A.trade_marks(t.filter(F.col("exit_reason").isNotNull()), fills, t.filter(F.col("exit_reason").isNull()))
     return rounded(B.with_ts(A.clip_marks(marks, F.lit(1704500000000), F.lit(1706000000000))).select("symbol", "ts", "price", "kind"))
 
 
+@query("first_seen_order", f"""WITH {TICKS}, d AS (SELECT symbol, ms - ms % {DAY} AS day, min(struct_pack(ts, event_id)) AS f FROM ticks GROUP BY 1, 2)
+SELECT {to_ts_sql('day')} AS ts, string_agg(symbol, ',' ORDER BY f) AS symbols FROM d GROUP BY day""")
+def first_seen_order(spark, sf):
+    """Distinct symbols of a day in the order in which they first came."""
+    t = inputs.ticks(spark, sf).withColumn("ms", F.col("ms") - F.col("ms") % DAY)
+    return B.with_ts(M.distinct_in_order(t, ["ms"], "symbol", ["ts", "event_id"])).select("ts", F.array_join("symbols", ",").alias("symbols"))
+
+
 @query("changed_fields", f"""WITH {TICKS} SELECT {to_ts_sql(f'ms - ms % {DAY}')} AS ts, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS fields FROM ticks GROUP BY 1""")
 def changed_fields(spark, sf):
     h = inputs.ticks(spark, sf).withColumn("ms", F.col("ms") - F.col("ms") % DAY)

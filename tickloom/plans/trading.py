@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import position_notional
+from tickloom.functions.scalars import Costs, bracket_exit, limit_touched, maker_fill, position_notional, taker_fill
 from tickloom.functions.timeframes import step_ms, to_ts
 from tickloom.operators import bars as B
 from tickloom.operators import features as FE
@@ -74,12 +74,41 @@ def ev_gate_choice(spark, sf):
     return rounded(out.select("symbol", "ts", F.col("_b.side").alias("side"), F.col("_b.ev").alias("ev")))
 
 
-@query("topk_per_bar", f"""{BASE}, {sig_sql(0.5)} SELECT {to_ts_sql('ms')} AS ts, symbol, rn, round(p_side, 6) AS p FROM (
-  SELECT ms, symbol, p_side, row_number() OVER (PARTITION BY ms ORDER BY p_side DESC, symbol)::int AS rn FROM sig WHERE side0 <> 0) WHERE rn <= 2""")
+CONFIGURED = ("view", "click", "error", "purchase", "signup")
+
+
+@query("topk_per_bar", f"""{BASE}, {sig_sql(0.5)} SELECT {to_ts_sql('ms')} AS ts, rule, symbol, rn, round(p_side, 6) AS p FROM (
+  SELECT ms, 'best_first' AS rule, symbol, p_side, row_number() OVER (PARTITION BY ms ORDER BY p_side DESC, symbol)::int AS rn FROM sig WHERE side0 <> 0
+  UNION ALL SELECT ms, 'fcfs', symbol, p_side, row_number() OVER (PARTITION BY ms ORDER BY list_position({list(CONFIGURED)}, symbol), symbol)::int FROM sig WHERE side0 <> 0) WHERE rn <= 2""")
 def topk_per_bar(spark, sf):
+    """The two entries a bar with two free slots takes: by probability, or as they come in the configured order."""
     s = signals(spark, sf, 0.5).filter(F.col("side") != 0)
-    top = O.top_k_per_bar(s, 2, [F.desc("p_side"), F.col("symbol")])
-    return rounded(B.with_ts(top).select("ts", "symbol", "rn", F.col("p_side").alias("p")))
+    place = F.array_position(F.array(*map(F.lit, CONFIGURED)), F.col("symbol"))
+    rules = {"best_first": [F.desc("p_side"), F.col("symbol")], "fcfs": [place, F.col("symbol")]}
+    tops = [O.top_k_per_bar(s, 2, order).withColumn("rule", F.lit(name)) for name, order in rules.items()]
+    return rounded(B.with_ts(tops[0].unionByName(tops[1])).select("ts", "rule", "symbol", "rn", F.col("p_side").alias("p")))
+
+
+@query("signals_by_p", f"""{BASE}, {sig_sql()} SELECT symbol, {to_ts_sql('ms')} AS ts, round(p_side, 6) AS p FROM sig QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ms DESC) = 1 ORDER BY p DESC NULLS LAST, symbol""")
+def signals_by_p(spark, sf):
+    """Each symbol's newest bar, the most probable signal first and bars without a signal last."""
+    last = signals(spark, sf).groupBy("symbol").agg(F.max_by(F.struct("ms", F.col("p_side").alias("p")), "ms").alias("_l")).select("symbol", "_l.*")
+    return rounded(B.with_ts(last).select("symbol", "ts", "p")).orderBy(F.desc_nulls_last("p"), "symbol")
+
+
+@query("fill_scalars", f"""{BASE} SELECT symbol, {to_ts_sql('ms')} AS ts, round(open * 1.0002::double, 6) AS buy_price, round(open * 1.0002::double * 3 * 0.001, 6) AS buy_fee, round(open * 0.9998::double, 6) AS sell_price,
+ round(close * 3 * 0.0008::double, 6) AS maker_fee, low <= close AS long_touched, high >= open AS short_touched,
+ CASE WHEN low <= open - atr THEN 'sl' WHEN high >= open + 1.5 * atr THEN 'tp' END AS long_exit, CASE WHEN high >= open + atr THEN 'sl' WHEN low <= open - 1.5 * atr THEN 'tp' END AS short_exit FROM ind""")
+def fill_scalars(spark, sf):
+    """The fill, touch and bracket rules applied to every bar."""
+    b, costs = FE.with_indicators(inputs.bars(spark, sf), "1h"), Costs(taker_fee=0.001, maker_fee=0.0008, slippage=0.0002)
+    buy, sell, rest = taker_fill("open", F.lit(3.0), F.lit(True), costs), taker_fill("open", F.lit(3.0), F.lit(False), costs), maker_fill("close", F.lit(3.0), costs)
+    o, a = F.col("open"), F.col("atr")
+    exits = lambda side: bracket_exit(F.lit(side), F.col("low"), F.col("high"), o + side * 1.5 * a, o - side * a)
+    return rounded(B.with_ts(b).select(
+        "symbol", "ts", buy["price"].alias("buy_price"), buy["fee"].alias("buy_fee"), sell["price"].alias("sell_price"), rest["fee"].alias("maker_fee"),
+        limit_touched(F.lit(1), "low", "high", "close").alias("long_touched"), limit_touched(F.lit(-1), "low", "high", "open").alias("short_touched"),
+        exits(1).alias("long_exit"), exits(-1).alias("short_exit")))
 
 
 @query("slot_contention", f"""{BASE}, {sig_sql(0.5)}, b AS (SELECT ms, count(*) AS n FROM sig WHERE side0 <> 0 GROUP BY 1)
@@ -141,11 +170,14 @@ def entry_outcomes(spark, sf):
     return rounded(B.with_ts(n).select("symbol", "ts", "side", "fill_price", F.col("e_reason").alias("reason"), F.col("e_step").alias("step"), F.col("e_price").alias("price")))
 
 
-@query("roll_outcomes", f"""{BASE}, {leg_sql()} SELECT p.symbol, {to_ts_sql('s.ms')} AS ts, p.reason AS reason, (p.end_i - p.i)::int AS step, round(price, 6) AS price
-FROM rp p JOIN sig s ON s.symbol = p.symbol AND s.i = p.i WHERE p.side = 1""")
+@query("roll_outcomes", f"""{BASE}, {leg_sql()} SELECT p.symbol, {to_ts_sql('s.ms')} AS ts, p.side::int AS side, p.reason AS reason, (p.end_i - p.i)::int AS step, round(price, 6) AS price
+FROM rp p JOIN sig s ON s.symbol = p.symbol AND s.i = p.i""")
 def roll_outcomes(spark, sf):
-    n = O.legs(signals(spark, sf), RULES).filter("l_ok")
-    return rounded(B.with_ts(n).select("symbol", "ts", F.col("l_reason").alias("reason"), F.col("l_step").alias("step"), F.col("l_price").alias("price")))
+    n = O.legs(signals(spark, sf), RULES)
+    leg = lambda name, side: F.when(F.col(f"{name}_ok"), F.struct(
+        F.lit(side).alias("side"), *[F.col(f"{name}_{c}").alias(c) for c in ("reason", "step", "price")]))
+    both = n.withColumn("_leg", F.explode(F.filter(F.array(leg("l", 1), leg("s", -1)), lambda x: x.isNotNull())))
+    return rounded(B.with_ts(both).select("symbol", "ts", "_leg.*"))
 
 
 def trade_columns(t: DataFrame) -> DataFrame:
