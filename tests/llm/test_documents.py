@@ -143,7 +143,9 @@ def brute_spans(rows, count, min_words):
     """rows: list of (doc_id, text); outcome by brute force over every run."""
     first, everyone = {}, []
     for k, (doc, text) in enumerate(sorted(rows)):
-        parts = [p for p in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*", text or "")]
+        parts = []
+        for p in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*", text or ""):
+            parts += re.split(r"(?<=[,;:])[\x20\x09-\x0D]+", p) if len(p.split()) > sentence_spans.LONG_WORDS else [p]
         words = [p.split() for p in parts]
         for i in range(len(parts)):
             j = i

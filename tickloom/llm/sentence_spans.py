@@ -13,20 +13,35 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import small_batches, written
 
-SENTENCES, MIN_WORDS = 2, 12
-# A sentence ends after . ! or ? before white space, and at every line feed.
+SENTENCES, MIN_WORDS, LONG_WORDS = 2, 12, 24
+# A sentence ends after . ! or ? before white space, and at every line feed; a long one is parted at its commas.
 _BREAK = re.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
+_PAUSE = re.compile(r"[,;:][\x20\x09-\x0D]+")
 _LAST = (1 << 63) - 1
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end (exclusive, code points) of every sentence; white space belongs to the sentence before it."""
-    out, at = [], 0
+    """Start and end (exclusive, code points) of every sentence; white space belongs to the sentence before it.
+
+    A sentence of more than ``LONG_WORDS`` words is parted after its commas, semicolons and colons, so that a passage
+    which begins or ends inside it still has whole parts in common with its other copies.
+    """
+    out: list[tuple[int, int]] = []
+
+    def add(a: int, b: int) -> None:
+        if b - a > 2 * LONG_WORDS and len(text[a:b].split()) > LONG_WORDS:
+            for pause in _PAUSE.finditer(text, a, b):
+                if pause.end() < b:
+                    out.append((a, pause.end()))
+                    a = pause.end()
+        out.append((a, b))
+
+    at = 0
     for gap in _BREAK.finditer(text):
-        out.append((at, gap.end()))
+        add(at, gap.end())
         at = gap.end()
     if at < len(text):
-        out.append((at, len(text)))
+        add(at, len(text))
     return out
 
 
