@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import whole_groups, written
+from tickloom.llm.common import small_batches, whole_groups, written
 from tickloom.llm.word_tokens import WordTokens
 
 CAPACITY, END_ID, PARTITION_ROWS, ROUNDS, TEXTS = 4096, 1, 1 << 16, 4, 256
@@ -47,6 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 

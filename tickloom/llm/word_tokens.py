@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from typing import ClassVar
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MOST_WORDS = 200_000
+from tickloom.llm.word_store import WordStore
+
+MOST_WORDS = 300_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
 # str.split() also parts words at these, which the tokenizers do not count as white space.
 _ODD = re.compile(r"[\x1c-\x1f]")
+# Letters that lower case and composition leave one letter each, then marks that no contraction begins with.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class WordTokens:
-    """Encodes whole texts; equal to the tokenizer on the whole text where white space always parts its tokens.
-
-    Each distinct word is encoded once. The store is emptied when it has ``most`` words, which costs time, not results.
-    """
+    """Encodes whole texts; equal to the tokenizer on the whole text where white space always parts its tokens."""
 
     _made: ClassVar[dict[str, WordTokens]] = {}
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self._clear()
+        self.store = WordStore(self._words, most)
+        # The short way is taken only if it gives what the tokenizer gives on samples of every kind of plain word.
+        self.parts: dict[str, bytes] = {}
+        self.plain = all(
+            self._part(a.lower()) + (self._part(b) if b else b"") == array("I", self.tokenizer.encode(a + b, add_special_tokens=False).ids).tobytes()
+            for a in ("a", "Word", "THE", "étÊ", "Straße", "unbelievableness") for b in ("", ".", "!!", "###", ",\"")
+        )
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -34,35 +47,30 @@ class WordTokens:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words go to the tokenizer's merges part by part, each distinct part once; all others through the whole tokenizer."""
+        found: list[bytes | None] = []
         for word in words:
-            self.known[word] = len(self.known)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
+            plain = self.plain and _PLAIN.fullmatch(word)
+            if plain:
+                letters, marks = plain.groups()
+                ids = self._part(letters.lower())
+                found.append(ids + self._part(marks) if marks else ids)
+            else:
+                found.append(None)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, encoded in zip(rest, self.tokenizer.encode_batch([words[k] for k in rest], add_special_tokens=False)):
+            found[k] = array("I", encoded.ids).tobytes()
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) >= self.most:
+                self.parts.clear()
+            mapped = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self.parts[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_SPACES.split(t) if _ODD.search(t) else t.split() for t in texts]
-        words = [w for p in parts for w in p if w]
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list(dict.fromkeys(w for w, k in zip(words, at) if k is None))
-            if len(self.known) + len(new) > self.most:
-                self._clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-            at = list(map(self.known.__getitem__, words))
-        index = np.array(at, np.int64)
-        sizes = self.starts[index + 1] - self.starts[index]
-        ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[index] - (ends - sizes), sizes)
-        ids = self.ids[shift + np.arange(shift.size)]
-        counts = np.cumsum([sum(map(bool, p)) for p in parts])
-        cuts = np.concatenate([[0], ends])[counts]
-        return np.split(ids, cuts[:-1]) if texts else []
+        return self.store.texts([list(filter(None, _SPACES.split(t))) if _ODD.search(t) else t.split() for t in texts])
