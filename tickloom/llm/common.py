@@ -34,8 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def shuffle_width(spark: SparkSession, floor: int = 1) -> int:
-    return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and about 16 MB, so that long texts do not fill a Python worker."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+    if not held.isdigit() or int(held) > 16 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:

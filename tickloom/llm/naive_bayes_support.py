@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import small_batches
 from tickloom.llm.labelled import sample, verdict
 from tickloom.llm.words import mix, text_slices, word_hashes, word_spans
 
@@ -176,4 +177,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     Labels are read only outside the fold ``held`` of ``folds``, from about ``most`` rows; nothing but the text enters a
     score. Null and empty texts score by the bias alone. Repeated rows score alike; with no labels every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     return verdict(score(docs, train(sample(docs, labels, label, folds, held, most))), folds, held)

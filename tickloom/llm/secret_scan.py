@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import small_batches
+
 # The patterns and least lengths of the base kinds.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -168,6 +170,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), joined(base), joined(base + (confirmed_spans(t) if t else []))))
         return pd.DataFrame(rows, columns=added)
 
+    small_batches(docs.sparkSession)
     own = docs.select(*[c for c in docs.columns if c not in added])
     return own.withColumn("__scan", scan(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in own.columns], "__scan.*")
 
