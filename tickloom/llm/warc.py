@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import shared_folder
+from tickloom.llm.common import shared_folder, small_batches, written
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, LEAST_REVISIT = 8192, 2048, 8192, 0
 _END = b"\r\n\r\n"
@@ -91,12 +91,15 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
     Of rows with equal payloads of at least ``least_revisit`` bytes, that with the smallest page_id (nulls last) becomes a
     response and the others revisits of it. Rows equal in page_id and payload are one page.
     """
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     hashed = own.withColumn("sha", F.sha1("payload"))
-    first = hashed.select("page_id", "sha").groupBy("sha").agg(F.min("page_id").alias("first"))
-    marked = hashed.join(first, "sha").withColumn(
-        "revisit", (F.octet_length("payload") >= least_revisit) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
+    # Only payloads that occur more than once take part in the join. They are written, so that Spark knows their size and
+    # leaves the payloads where they are if these are few.
+    shared = written(hashed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first"))
+    marked = hashed.join(shared, "sha", "left").withColumn(
+        "revisit", (F.octet_length("payload") >= least_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
