@@ -1,18 +1,11 @@
-"""Registered queries against their SQL on the smallest tables (TICKLOOM_ALL=1 runs every one)."""
-
-import os
+"""Every registered query against its SQL on the smallest tables."""
 
 import pytest
 from oracle_check import compare, connect
 
 from tickloom.plans import registry
 
-SMOKE = (
-    "bars_overview bars_resample_4h gaps merge_upsert fetch_ranges asof_rates rates_features rolling_stats rsi_wilder labels_short "
-    "entry_outcomes trades_chain trade_summary concurrency drawdown_alerts equity_last panel_breadth rank_weights_long_short "
-    "monthly_returns current_weights settlement calibration fold_auc stream_bars bar_store last_alert"
-).split()
-NAMES = list(registry.queries()) if os.environ.get("TICKLOOM_ALL") else SMOKE
+NAMES = list(registry.queries())
 SF = "/root/testdata/sf0.001"
 
 
