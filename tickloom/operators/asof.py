@@ -13,14 +13,15 @@ from tickloom.session import chunk_rows
 
 def asof_backward(
     left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "ms",
-    grid_ms: int | None = None,
+    grid_ms: int | None = None, slot_ms: int = 3_600_000,
 ) -> DataFrame:
     """For each left row the latest right row at or before it (per key); NULLs when there is none.
 
     Both sides are unioned and scanned with ``last(ignoreNulls)`` inside (key, chunk); the value
     entering a chunk comes from one summary row per chunk. A left side on a time grid of
     ``grid_ms`` chunks by time (the right side first combines to one row per grid step, so a
-    chunk is bounded); any other left side is range partitioned.
+    chunk is bounded); any other left side is chunked into slots of ``slot_ms``, so that a task sorts
+    what one key has in one slot. Either way both sides are read once and shuffled once.
     """
     payload = F.struct(*values)
     at = F.col(order)
@@ -34,8 +35,8 @@ def asof_backward(
     both = r.unionByName(l, allowMissingColumns=True)
     if grid_ms is None:
         tie = F.coalesce(F.xxhash64("_left"), F.lit(0))
-        numbered = number_by_range(both.withColumn("_tie", tie), keys, [order, "_is_left", "_tie"])
-        scanned = running(numbered, keys, {"_hit": ("last", F.col("_right"))})
+        scanned = running(both.withColumn("_tie", tie), keys, {"_hit": ("last", F.col("_right"))},
+                          order=[order, "_is_left", "_tie"], slot=F.floor(at / slot_ms))
     else:
         rank = both.withColumn("_at", at * 2 + F.col("_is_left"))
         size = 2 * grid_ms * chunk_rows(left.sparkSession)

@@ -135,17 +135,23 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     outputs: Mapping[str, tuple[str, Column]],
-    order: str = ORD,
+    order: str | Sequence[str] = ORD,
     rows: int | None = None,
+    slot: Column | None = None,
 ) -> DataFrame:
     """Running aggregates per key up to and including each row.
 
     ``outputs`` maps a new column to ``(kind, expression)`` with kind sum/max/min/prod/last
     (last = last non-null). ``order`` is a unique integer per key. The summary the carry scans
     has one row per chunk, i.e. rows/chunkRows entries even for the hottest key.
+
+    Rows without such an integer are chunked by ``slot``, a number that grows with the ``order`` columns, say the hour; a
+    chunk is then as large as its slot, and its summary has one row per slot.
     """
     rows = rows or chunk_rows(df.sparkSession)
-    base = df.withColumn(CHUNK, _bucket(order, rows))
+    by = [order] if isinstance(order, str) else list(order)
+    at = F.col(by[0]) if len(by) == 1 else F.struct(*by)
+    base = df.withColumn(CHUNK, _bucket(order, rows) if slot is None else slot.cast("long"))
     for name, (_, expr) in outputs.items():
         base = base.withColumn(f"_x_{name}", expr)
     read = _held(base)
@@ -153,11 +159,11 @@ def running(
 
     totals, carries = [], [*keys, CHUNK]
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*keys, CHUNK).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
     local = base
     for name, (kind, _) in outputs.items():
         x = F.col(f"_x_{name}")
-        total = F.max_by(x, F.when(x.isNotNull(), F.col(order))) if kind == "last" else _AGGREGATES[kind](x)
+        total = F.max_by(x, F.when(x.isNotNull(), at)) if kind == "last" else _AGGREGATES[kind](x)
         totals.append(total.alias(f"_t_{name}"))
         carries.append(_AGGREGATES[kind](F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
         local = local.withColumn(f"_l_{name}", _AGGREGATES[kind](x).over(upto))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import Costs
-from tickloom.operators.chunking import number_by_range, running
 
 MIN_QTY = 1e-9
 
@@ -83,7 +82,8 @@ def settle(order_rows: DataFrame, costs: Costs, keys: Sequence[str] = ("book",))
     """Executed fills: sells first and capped by the holding, buys capped by the cash that is left.
 
     Wants are positive and served in order, so what one buy gets is its want clipped by cash minus
-    the wants before it: a running sum instead of a loop over orders.
+    the wants before it: a running sum instead of a loop over orders. A book has one order per symbol at most, so
+    one window over the book does it.
     """
     keys = list(keys)
     is_buy = F.col("side") == "buy"
@@ -91,15 +91,16 @@ def settle(order_rows: DataFrame, costs: Costs, keys: Sequence[str] = ("book",))
     rows = order_rows.withColumns({
         "fill_price": eff, "_sold": F.when(~is_buy, F.least("order_qty", "qty")).otherwise(0.0), "_late": is_buy.cast("int")})
     proceeds = F.when(F.col("_sold") > MIN_QTY, F.col("_sold") * F.col("fill_price") * (1 - costs.taker_fee)).otherwise(0.0)
-    got = rows.groupBy(*keys).agg(F.sum(proceeds).alias("_proceeds"))
     want = F.when(is_buy, F.col("order_qty") * F.col("fill_price") * (1 + costs.taker_fee)).otherwise(0.0)
-    numbered = number_by_range(rows.withColumn("_want", want), keys, ["_late", "symbol"])
-    asked = running(numbered, keys, {"_upto": ("sum", F.col("_want"))}).join(got, keys)
+    book = W.partitionBy(*keys)
+    served = book.orderBy("_late", "symbol").rowsBetween(W.unboundedPreceding, 0)
+    asked = rows.withColumns({"_want": want, "_got": proceeds}).withColumns({
+        "_upto": F.sum("_want").over(served), "_proceeds": F.sum("_got").over(book.orderBy("_late", "symbol").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     left = F.greatest(F.lit(0.0), F.col("cash") + F.col("_proceeds") - (F.col("_upto") - F.col("_want")))
     bought = F.least("_want", left) / (F.col("fill_price") * (1 + costs.taker_fee))
     out = asked.withColumn("filled_qty", F.when(is_buy, bought).otherwise(F.col("_sold"))).filter(F.col("filled_qty") > MIN_QTY)
     out = out.withColumn("notional", F.col("filled_qty") * F.col("fill_price"))
-    return out.withColumn("fee", F.col("notional") * costs.taker_fee).drop("_sold", "_late", "_want", "_upto", "_proceeds", "i")
+    return out.withColumn("fee", F.col("notional") * costs.taker_fee).drop("_sold", "_late", "_want", "_got", "_upto", "_proceeds")
 
 
 def cash_after(fills: DataFrame, cash: DataFrame, keys: Sequence[str] = ("book",)) -> DataFrame:
