@@ -106,3 +106,19 @@ def test_trades_equal_a_sequential_evaluation(tiny_chunks, timeout, rollover):
         assert list(zip(g.entry_i, g.exit_i, g.side, g.exit_reason)) == [w[:4] for w in want]
         np.testing.assert_allclose(g[["qty", "entry_price", "exit_price", "pnl"]], [w[4:] for w in want], rtol=1e-9, atol=1e-9)
         np.testing.assert_allclose(curve[curve.symbol == name].sort_values("i").equity, equity, rtol=1e-9)
+
+
+def test_exponential_means_keep_every_term(tiny_chunks):
+    """A series that falls by 250 orders of magnitude still remembers where it came from."""
+    from tickloom.operators.rolling import Ewm, add_ewm, reach
+    from tickloom.operators.chunking import drop_halo, with_halo
+    values = [1e200] * 5 + [1e-50] * 400
+    frame = tiny_chunks.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, i long, close double")
+    specs = {"slow": Ewm("close", 0.5), "fast": Ewm("close", 0.9)}
+    rows, w = with_halo(frame, ["symbol"], back=reach(specs))
+    got = {r.i: r for r in drop_halo(add_ewm(rows, w, specs)).collect()}
+    for name, spec in specs.items():
+        y = values[0]
+        for i, v in enumerate(values):
+            y = v if i == 0 else (1 - spec.alpha) * y + spec.alpha * v
+            assert abs(got[i][name] - y) <= 1e-9 * y

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
 
-# A term of an exponentially weighted mean older than this weight is below double rounding.
-EWM_TOLERANCE = 1e-20
+# The smallest positive double: a term of an exponentially weighted mean is left out only where its weight is zero.
+EWM_TOLERANCE = 5e-324
 
 
 def log_return(w: WindowSpec, k: int, close: str = "close") -> Column:
@@ -69,7 +69,7 @@ def add_ewm(df: DataFrame, w: WindowSpec, specs: Mapping[str, Ewm], order: str =
 
     A pass extends every partial sum from the last n terms to the last 4n (or 2n): it adds the
     sums that ended n, 2n, 3n rows earlier, weighted (1-alpha)^n, ^2n, ^3n. A handful of passes
-    covers all terms above double rounding. Every pass is lags over one shared window, so rows are
+    covers all terms whose weight a double can hold. Every pass is lags over one shared window, so rows are
     shuffled and sorted once for all means, and the look-back is bounded (unlike a running
     recurrence), which lets the chunks of one symbol run in parallel.
     """
