@@ -201,7 +201,17 @@ def threshold_cut(spark, sf):
     return rounded(S.weakest_cut(pool(spark, sf), 5, 0.1))
 
 
-@query("pinned_multipliers")
+def _ranks(where: str) -> str:
+    return f"""SELECT *, (rank() OVER (PARTITION BY win ORDER BY prob) + (count(*) OVER (PARTITION BY win, prob) - 1) / 2.0::double) / count(*) OVER (PARTITION BY win) AS u,
+  max(prob) OVER (PARTITION BY win) AS hi FROM pool WHERE {where}"""
+
+
+@query("pinned_multipliers", f"""{POOL}, lg AS ({_ranks('side > 0')}),
+lm AS (SELECT u, b / avg(b) OVER (PARTITION BY win) AS mult FROM (SELECT *, 1 + 0.75::double * (2 * CASE WHEN hi > 0.8 THEN (prob - 0.8::double) / nullif(hi - 0.8::double, 0) ELSE 0.5 END - 1) AS b FROM lg)),
+ref AS (SELECT u AS x, min(mult) AS y_first, max(mult) AS y_last FROM lm GROUP BY u), sh AS ({_ranks('side < 0')}),
+lo AS (SELECT id, win, u, r.x AS lx, r.y_last AS ly FROM sh ASOF LEFT JOIN ref r ON sh.u >= r.x), pl AS (SELECT lo.*, r.x AS hx, r.y_first AS hy FROM lo ASOF LEFT JOIN ref r ON lo.u <= r.x),
+y AS (SELECT id, win, u, CASE WHEN lx IS NULL THEN hy WHEN hx IS NULL OR lx = u THEN ly ELSE ly + (hy - ly) * (u - lx) / (hx - lx) END AS raw FROM pl)
+SELECT id, win AS "window", round(u, 6) AS u, round(raw / avg(raw) OVER (PARTITION BY win), 6) AS mult FROM y""")
 def pinned_multipliers(spark, sf):
     p = pool(spark, sf)
     shape = S.multipliers(S.rank_pct(p.filter("side > 0"), ["window"]), 0.75, "p", 0.8)
