@@ -8,6 +8,7 @@ the one whose predecessor it may follow, that is with which the merges of the vo
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import ClassVar
@@ -19,9 +20,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import small_batches
+from tickloom.llm.word_store import WordStore, ranges
+from tickloom.llm.words import mix
+
 MARK = "▁"
-MOST_WORDS, TEXTS = 100_000, 1024
-_GAP = 0
+MOST_WORDS, TEXTS, _SLOT_BITS = 300_000, 1000, 21
 
 
 class Pieces:
@@ -46,11 +50,17 @@ class Pieces:
         self.codes = np.zeros((len(self.searched), self.width), np.int64)
         for k, p in enumerate(self.searched):
             self.codes[k, :len(p)] = [ord(c) for c in p]
-        self.bytes_of: dict[int, bytes] = {}
-        for k in range(count):
-            self.bytes_of[k] = bytes([int(self.texts[k][3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) else self.texts[k].replace(MARK, " ").encode()
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        shown = [bytes([int(t[3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) else t.replace(MARK, " ").encode() for k, t in enumerate(self.texts)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_starts = np.concatenate([[0], np.cumsum(list(map(len, shown)))])
+        self.single = np.sort(np.array([ord(p) for p in self.rank if len(p) == 1], np.int64))
+        # Marks and what follows them up to the next mark, parted at line ends and tabs that are no pieces: nothing merges across.
+        apart = "".join(c for c in "\n\r\t" if not any(c in p for p in self.rank))
+        self.runs = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + (f"|[{apart}]" if apart else ""))
+        self.pairs: dict[int, bool] = {}
+        # The verdicts used last, by a hash of the pair; all that were made are in ``pairs``.
+        self.slot_keys, self.slot_values = np.full(1 << _SLOT_BITS, -1), np.zeros(1 << _SLOT_BITS, bool)
+        self.store = WordStore(self.learn, MOST_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -68,14 +78,31 @@ class Pieces:
             symbols[best[1]:best[1] + 2] = ["".join(symbols[best[1]:best[1] + 2])]
         return symbols
 
-    def follows(self, left: int, right: int) -> bool:
-        """Whether the merges, given both pieces' text, end in just these two."""
-        known = self.pairs.get((left, right))
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges, given both pieces' text, end in just these two; with -1 at the right, whether they can make the left at all."""
+        keys = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+        slots = (mix(keys.view(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.slot_values[slots]
+        missing = np.flatnonzero(self.slot_keys[slots] != keys)
+        if missing.size:
+            new, place = np.unique(keys[missing], return_inverse=True)
+            found = np.fromiter(map(self._follows, new.tolist()), bool, new.size)
+            out[missing] = found[place]
+            at = (mix(new.view(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+            self.slot_keys[at], self.slot_values[at] = new, found
+            if np.unique(at).size < at.size:  # of pairs with one slot the last key stays, and so must its value
+                last = dict(zip(at.tolist(), found.tolist()))
+                self.slot_values[list(last)] = list(last.values())
+        return out
+
+    def _follows(self, key: int) -> bool:
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 20 * MOST_WORDS:
+            if len(self.pairs) > 10 * MOST_WORDS:
                 self.pairs.clear()
-            a, b = self.texts[left], self.texts[right]
-            known = self.pairs[left, right] = self.merged(list(a + b)) == [a, b]
+            a, b = key >> 32, key & 0xFFFFFFFF
+            texts = [self.texts[a]] if b == 0xFFFFFFFF else [self.texts[a], self.texts[b]]
+            known = self.pairs[key] = self.merged(list("".join(texts))) == texts
         return known
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,90 +124,98 @@ class Pieces:
         which = np.repeat(some, found[some])
         start = order[np.repeat(low[some] - (np.cumsum(found[some]) - found[some]), found[some]) + np.arange(which.size)]
         end = start + self.lengths[which]
-        by_place = np.lexsort((start, end))
+        by_place = np.argsort(end * (self.width + 1) - self.lengths[which])
         return start[by_place], end[by_place], self.ids[which][by_place]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes distinct words, each a run of marks and then characters without one, and keeps the results."""
-        # A word between gaps; characters that are no piece by themselves part it, as nothing can be merged with them.
-        text = np.array([c for w in words for c in (*map(ord, w), _GAP)], np.int64)
-        start, end, ids = (x.tolist() for x in self.edges(text))
-        last = np.full(text.size + 1, -1).tolist()  # id of the last piece of the encoding up to here
-        back = np.full(text.size + 1, -1).tolist()
-        begin, k, count = 0, 0, len(ids)
-        for word in words:
-            stop = begin + len(word)
-            fresh = {begin}  # positions where an encoding starts anew
-            for p in range(begin + 1, stop + 1):
-                while k < count and end[k] < p:
-                    k += 1
-                while k < count and end[k] == p:
-                    s = start[k]
-                    if back[p] < 0 and (s in fresh or (back[s] >= 0 and self.follows(last[s], ids[k]))) and (end[k] - s == 1 or self.whole(ids[k])):
-                        back[p], last[p] = s, ids[k]
-                    k += 1
-                if back[p] < 0 and word[p - 1 - begin] not in self.rank:
-                    fresh.add(p)
-            out: list[int] = []
-            p = stop
-            while p > begin:
-                if back[p] >= 0:
-                    out.append(last[p])
-                    p = back[p]
-                else:
-                    raw = word[p - 1 - begin].encode("utf-8", "surrogatepass")
-                    out += [self.bytes.get(b, self.unknown) for b in reversed(raw)] if self.bytes else [self.unknown]
-                    p -= 1
-            self.known[word] = out[::-1]
-            begin = stop + 1
-
-    def whole(self, piece: int) -> bool:
-        """Whether the merges can make the piece at all."""
-        known = self.pairs.get((piece, -1))
-        if known is None:
-            known = self.pairs[piece, -1] = len(self.merged(list(self.texts[piece]))) == 1
-        return known
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [_words(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = list(dict.fromkeys(w for p in parts for w in p))
-        if new:
-            self.learn(new)
-        return [[i for w in p for i in self.known[w]] for p in parts]
-
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of distinct words, each a run of marks and then characters without one.
+
+        All words are relaxed together, one position of every word after the other. Characters that are no piece by
+        themselves part a word, as nothing merges with them; the encoding starts anew behind them.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+        start, end, ids = self.edges(text)
+        depth = end - begin[np.searchsorted(begin, start, "right") - 1]
+        some, place = np.unique(ids, return_inverse=True)
+        made = self.follows(some, np.full(some.size, -1))[place] | (end - start == 1) if some.size else np.zeros(0, bool)
+        longest = int(lengths.max(initial=0))
+        order = np.argsort(depth[made].astype(np.int16 if longest < 1 << 15 else np.int64), kind="stable")
+        start, end, ids, depth = (x[made][order] for x in (start, end, ids, depth))
+        spelled = self.single[np.minimum(np.searchsorted(self.single, text), self.single.size - 1)] == text
+        last, back = np.full(text.size + 1, -1), np.full(text.size + 1, -1)
+        fresh = np.zeros(text.size + 1, bool)
+        fresh[begin] = True
+        cuts = np.searchsorted(depth, np.arange(1, longest + 2))
+        by_length = np.argsort(lengths, kind="stable")
+        ordered = lengths[by_length]
+        for r in range(1, longest + 1):
+            s, e, i = (x[cuts[r - 1]:cuts[r]] for x in (start, end, ids))
+            good = fresh[s].copy()
+            inner = np.flatnonzero(~good & (back[s] >= 0))
+            if inner.size:
+                good[inner] = self.follows(last[s[inner]], i[inner])
+            back[e[good]], last[e[good]] = s[good], i[good]
+            ends = begin[by_length[np.searchsorted(ordered, r):]] + r
+            fresh[ends[(back[ends] < 0) & ~spelled[ends - 1]]] = True
+        # From the ends of all words back to their beginnings, one piece or unknown character of each at a time.
+        at, word = begin + lengths, np.arange(len(words))
+        turns: list[tuple[np.ndarray, np.ndarray]] = []
+        while word.size:
+            step = back[at] >= 0
+            turns.append((word, np.where(step, last[at], -1 - text[at - 1])))
+            at = np.where(step, back[at], at - 1)
+            open_ = at > begin[word]
+            at, word = at[open_], word[open_]
+        owner = np.concatenate([w for w, _ in turns]) if turns else np.zeros(0, np.int64)
+        found = np.concatenate([x for _, x in turns]) if turns else np.zeros(0, np.int64)
+        turn = np.repeat(np.arange(len(turns)), [w.size for w, _ in turns])
+        order = np.argsort(owner * (len(turns) + 1) - turn)
+        owner, found = owner[order], found[order]
+        return self._spelled_out(found, owner, len(words))
+
+    def _spelled_out(self, found: np.ndarray, owner: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words, with unknown characters (below zero) as their bytes."""
+        odd = np.flatnonzero(found < 0)
+        characters, which = np.unique(-1 - found[odd], return_inverse=True)
+        spelled = [[self.bytes.get(b, self.unknown) for b in chr(c).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown] for c in characters.tolist()]
+        starts = np.concatenate([[0], np.cumsum(list(map(len, spelled)))]).astype(np.int64)
+        sizes = np.ones(found.size, np.int64)
+        sizes[odd] = np.diff(starts)[which]
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(places[-1]), np.uint32)
+        known = found >= 0
+        out[places[:-1][known]] = found[known]
+        if odd.size:
+            out[ranges(places, odd)] = np.array([x for own in spelled for x in own])[ranges(starts, which)]
+        return out, np.bincount(np.repeat(owner, sizes), minlength=words)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.store.texts([self.runs.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
+
+    def decode(self, ids: np.ndarray) -> str:
+        raw = self.shown[ranges(self.shown_starts, np.asarray(ids, np.int64))].tobytes().decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
-def _words(text: str) -> list[str]:
-    """The marked text in runs that no piece crosses: marks and what follows them up to the next mark, or marks alone at the end."""
-    if not text:
-        return []
-    marked = MARK + text.replace(" ", MARK)
-    out, at = [], 0
-    for piece in marked.split(MARK)[1:]:
-        at += 1
-        if piece:
-            out.append(MARK * at + piece)
-            at = 0
-    if at:
-        out.append(MARK * at)
-    return out
-
-
 def _suffixes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Suffixes in the order of their first ``width`` characters or more, by doubling the compared length."""
-    rank, step = codes + 1, 1
+    """Suffixes in the order of their first ``width`` characters or more: as many as fit into a number at once, then doubling."""
+    there = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    there[codes] = 1
+    rank = np.cumsum(there)[codes]  # 1 .. size of the alphabet; 0 stands behind the end
+    bits = int(rank.max(initial=1)).bit_length()
+    step = min(width, 62 // bits)
+    key = np.zeros_like(rank)
+    for k in range(step):
+        key <<= bits
+        key[:max(0, rank.size - k)] |= rank[k:]
     while step < width:
+        _, rank = np.unique(key, return_inverse=True)
         after = np.zeros_like(rank)
-        after[:-step or None] = rank[step:]
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)
-        rank, step = rank + 1, 2 * step
-    return np.argsort(rank, kind="stable")
+        after[:max(0, rank.size - step)] = rank[step:] + 1
+        key, step = rank * (rank.size + 1) + after, 2 * step
+    return np.argsort(key)
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
@@ -195,13 +230,14 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 ids = pieces.encode([t or "" for t in part.column("text").to_pylist()])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+                flat = np.concatenate(ids).astype(np.int32)
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64())],
                     ["doc_id", "text", "ids", "n_ids", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, text string, ids array<int>, n_ids long, ids_crc32 long")
 
@@ -211,6 +247,6 @@ def decode_ids(ids: str, model: str) -> Column:
     @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
         pieces = Pieces.of(model)
-        return pd.Series([None if x is None else pieces.decode(x.tolist()) for x in column], dtype=object)
+        return pd.Series([None if x is None else pieces.decode(x) for x in column], dtype=object)
 
     return decode(F.col(ids))
