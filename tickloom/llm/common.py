@@ -127,13 +127,14 @@ def roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest reachable node) for undirected ``a, b`` edges of long ids.
 
-    Alternates large-star and small-star steps until the edges stop changing. Each step is one join and two
-    pre-aggregated shuffles; only a count and a checksum come back to the driver. The result is checkpointed.
+    Alternates large-star and small-star steps until the edges stop changing. Each step is one join, which a hub cannot
+    hold up, and two pre-aggregated shuffles; only a count and a checksum come back to the driver. The result is checkpointed.
     Null ends and self loops are ignored; no edges give no rows.
     """
     def star(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written, so that the join has its own exchange on either side and a node with very many links can be split.
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         joined = both.join(low, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
