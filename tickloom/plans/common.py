@@ -24,6 +24,13 @@ def shared(df_key: tuple, build) -> DataFrame:
     return frame
 
 
+def forget_shared() -> None:
+    """Release every kept stage; the next query that needs one builds it from the files."""
+    for frame in _SHARED.values():
+        frame.unpersist()
+    _SHARED.clear()
+
+
 def rounded(df: DataFrame, digits: int = 6, skip: Iterable[str] = ()) -> DataFrame:
     """Doubles rounded for comparison across engines (and -0.0 folded into 0.0)."""
     return df.select(*[
