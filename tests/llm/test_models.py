@@ -204,6 +204,21 @@ def test_recall_at_the_threshold():
         assert met.mean() >= least
 
 
+@pytest.mark.parametrize("count", [1_000, 200_000, 1_000_000, 100_000_000])
+def test_recall_at_every_size(count):
+    """The layouts chosen for 2, 3, 4 and 5 hashes."""
+    hashes, tables, probes = cross_polytope.layout_for(count, 64, 0.9)
+    assert hashes == cross_polytope.hashes_for(count, 64) == {1_000: 2, 200_000: 3, 1_000_000: 4, 100_000_000: 5}[count]
+    met = cross_polytope._proposed(64, hashes, 0.9, tables, probes, 3000, 21)
+    assert met.any(axis=(1, 2)).mean() >= 0.98
+
+
+def test_recall_in_few_dimensions():
+    for dim in (2, 8):
+        met = cross_polytope._proposed(dim, *(x := cross_polytope.layout_for(1_000_000, dim, 0.9))[:1], 0.9, *x[1:], 1000, 22)
+        assert met.any(axis=(1, 2)).mean() >= 0.97
+
+
 def test_vectors_awkward(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, float("nan"), 0.0]),
             (9, [float("inf"), 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (10, [1e-300, 0.0, 0.0]), (11, [0.0, 1e300, 1e300]), (12, [1.0, 0.0]), (13, [0.9, 0.1, 0.05]), (14, [-1.0, 0.0, -0.0])]

@@ -16,6 +16,9 @@ from tickloom.llm.words import mix
 THRESHOLD, TABLES, PROBES, BLOCK = 0.9, 12, 4, 512
 # Expected members of a bucket by chance, from which the number of hashes per table follows as the input grows.
 CHANCE = 0.1
+# Recall of a pair at the threshold, from which the tables and probes follow; TABLES and PROBES are the least of them.
+# Where more than MOST_KEYS buckets per vector are needed for it, a table gets fewer hashes and larger buckets instead.
+TARGET, MOST_KEYS = 0.99, 640
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -78,6 +81,49 @@ def hashes_for(count: int, dim: int) -> int:
     return max(1, math.ceil(math.log(max(count, 2) / CHANCE) / math.log(2 * width)))
 
 
+def _proposed(dim: int, hashes: int, threshold: float, tables: int, probes: int, pairs: int, seed: int) -> np.ndarray:
+    """Random pairs at exactly the threshold, by table and probe: whether one's own bucket is the other's probe."""
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (probe_codes(v, tables, hashes, probes) for v in (x, threshold * x + math.sqrt(1 - threshold * threshold) * z))
+    return (a[:, :, :1] == b) | (b[:, :, :1] == a)
+
+
+def tables_for(dim: int, hashes: int, threshold: float, target: float = TARGET) -> tuple[int, int]:
+    """Tables and probes with which a pair at the threshold meets with probability ``target``, fewest buckets first.
+
+    The chance to meet in one table is taken two standard errors below the share of random pairs that do.
+    """
+    if dim < 2 or not -1 < threshold < 1:  # only parallel vectors link, and these share every bucket
+        return TABLES, PROBES
+    pairs, trial = 2000 if dim <= 128 else 500, 8
+    met = _proposed(dim, hashes, threshold, trial, max(PROBES, 1 + 2 * hashes), pairs, 7)
+    chances = np.logical_or.accumulate(met, axis=2).mean(axis=(0, 1))
+    options = []
+    for probes, chance in enumerate(chances - 2 * np.sqrt(chances * (1 - chances) / (pairs * trial)), 1):
+        if probes >= PROBES and chance > 0:
+            tables = TABLES if chance >= 1 else max(TABLES, math.ceil(math.log(1 - target) / math.log1p(-chance)))
+            options.append((tables * probes, tables, probes))
+    return min(options)[1:] if options else (MOST_KEYS, PROBES)
+
+
+def layout_for(count: int, dim: int, threshold: float, target: float = TARGET) -> tuple[int, int, int]:
+    """Hashes, tables and probes for ``count`` vectors, with the target recall at the threshold whatever the count.
+
+    In few dimensions the tables' rotations repeat, so the layout is tried as a whole and gets fewer hashes if it falls short.
+    """
+    for hashes in range(hashes_for(count, dim), 0, -1):
+        tables, probes = tables_for(dim, hashes, threshold, target)
+        if hashes == 1 or dim < 2 or not -1 < threshold < 1:
+            break
+        if tables * probes <= MOST_KEYS and _proposed(dim, hashes, threshold, tables, probes, 1000, 11).any(axis=(1, 2)).mean() >= target - 0.005:
+            break
+    return hashes, tables, probes
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, node, vec`` of usable rows: ``vec`` has the components as doubles, ``node`` names equal vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +208,14 @@ def _linked(members: DataFrame, threshold: float, tables: int, probes: int) -> D
     return members.mapInArrow(run, "node long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK,
-                 hashes: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, probes: int | None = None,
+                 block: int = BLOCK, hashes: int | None = None, target: float = TARGET) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding``.
 
     Vectors are linked when their cosine, in double precision, is ``threshold`` or more. Proposed pairs share a bucket
-    that is the own one of at least one of them; each is verified once. Equal vectors are one node and all linked.
+    that is the own one of at least one of them; each is verified once. Tables and probes follow from the hashes per
+    table, so that a pair at the threshold is proposed with probability ``target`` or so whatever the number of vectors.
+    Equal vectors are one node and all linked.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those of another
     length. A null vec_id links with nothing and comes back with a null component and ``kept``. Rows that repeat a
     vec_id are separate vectors; ``kept`` marks each row whose id is its component.
@@ -179,11 +227,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     found = []
     for row in sizes.collect():  # one row per length of vectors, as a rule a single one
         own = nodes.filter(F.octet_length("vec") == row["bytes"])
-        per_table = hashes or hashes_for(row["n"], row["bytes"] // 8)
-        hashed = written(_hashed(own, tables, per_table, probes))
+        dim = row["bytes"] // 8
+        per_table, n_tables, n_probes = (hashes, *tables_for(dim, hashes, threshold, target)) if hashes else layout_for(row["n"], dim, threshold, target)
+        n_tables, n_probes = tables or n_tables, probes or n_probes
+        hashed = written(_hashed(own, n_tables, per_table, n_probes))
         # A bucket takes part if it is some vector's own and holds another; its own members are the first of each table's probes.
         flat = hashed.select("node", F.posexplode(F.array_distinct("keys")).alias("pos", "key"))
-        homes = hashed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get("keys", t * probes))).alias("key")).distinct()
+        homes = hashed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_tables - 1)), lambda t: F.get("keys", t * n_probes))).alias("key")).distinct()
         shared = flat.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").join(homes, "key", "left_semi")
         company = flat.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
         members = company.join(hashed.drop("keys"), "node").select(
@@ -191,7 +241,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
             "node", "copies", "vec", "codes", F.col("bucket.key").alias("key"), F.col("bucket.members").alias("members"))
         dealt = block_pairs(members, ["key"], "node", F.col("members"), block).drop("members")
         dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
-        found.append(written(_linked(dealt, threshold, tables, probes)))
+        found.append(written(_linked(dealt, threshold, n_tables, n_probes)))
     if not found:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"),
                               F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
