@@ -24,16 +24,30 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a ``row`` number each; ids may be null or shared. Written, so that the numbers stay the same."""
+    return written(_documents(docs).withColumn("row", F.monotonically_increasing_id()))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows with a null doc_id have no verdict of their own and go."""
-    kept = quality_rules(docs).filter("kept").select("doc_id").distinct()
-    return _documents(docs).join(kept, "doc_id", "left_semi")
+    """Rows that the quality rules keep, each by its own verdict, also where a doc_id is null or shared."""
+    keyed = _keyed(docs)
+    kept = quality_rules(keyed.withColumn("doc_id", F.col("row"))).filter("kept").select(F.col("doc_id").alias("row"))
+    return _documents(keyed.join(kept, "row", "left_semi"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id; of rows with one doc_id, one."""
-    kept = jaccard_join(docs).filter("kept").select("doc_id").distinct()
-    return _documents(docs).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each class of near duplicates the row with the smallest doc_id, null ids last; of equal ids the one with the
+    smallest hash of the text. Different texts are different documents whatever their ids. Rows without a word are in no
+    class; of these only repeats of both id and text go."""
+    keyed = _keyed(docs)
+    classes = jaccard_join(keyed.withColumn("doc_id", F.col("row"))).select(F.col("doc_id").alias("row"), "class_id")
+    blank = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    own = keyed.select("row", "doc_id", blank.alias("blank"), F.when(blank, F.col("text")).alias("blank_text"), F.xxhash64("text").alias("version"))
+    group = [F.when(~F.col("blank"), F.col("class_id")).alias("class"), F.when(F.col("blank"), F.col("doc_id")).alias("blank_id"), "blank", "blank_text"]
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "row")
+    kept = own.join(classes, "row").groupBy(*group).agg(F.min(place).alias("first")).select(F.col("first.row").alias("row"))
+    return _documents(keyed.join(kept, "row", "left_semi"))
 
 
 def new_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,3 +328,17 @@ def test_pipeline(spark, texts):
     for stage in corpus_pipeline.STAGES:
         frame = stage[1](spark, awkward(spark), SF)
         assert frame.count() > 0 and stage[1](spark, empty(spark).select(*docs.columns), SF).count() == 0
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline
+
+    def prose(i):
+        return " ".join(hashlib.md5(f"{i}-{k}".encode()).hexdigest()[: 3 + (i + k) % 5] for k in range(60))
+    rows = [(None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, "too short"), (8, prose(5)), (8, prose(5)), (9, prose(6)), (5, prose(6)),
+            (9, prose(7)), (None, prose(5)), (11, " "), (12, " "), (12, " "), (None, None), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert pairs(corpus_pipeline.good_quality(spark, frame, SF)) == sorted((x for x in rows if len((x[1] or "").split()) >= 10), key=repr)
+    want = [(None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, "too short"), (8, prose(5)), (5, prose(6)), (9, prose(7)), (11, " "), (12, " "), (None, None)]
+    assert pairs(corpus_pipeline.one_of_each(spark, frame, SF)) == sorted(want, key=repr)
