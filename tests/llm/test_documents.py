@@ -230,6 +230,21 @@ def test_secret_structure(spark):
     assert hidden[0] == "é see [secret] end" and hidden[5] == rows[5][1]
 
 
+def test_secrets_after_signs_and_before_full_stops(spark):
+    import base64
+    rsa = der(0x30, b"".join([der(2, b"\0"), *[der(2, bytes(range(1, 40)))] * 8]))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', bytes(range(32))))
+    key, public = base64.b64encode(rsa).decode(), base64.b64encode(ssh).decode()
+    cases = {f"PRIVATE_KEY={key}": ["der"], f"x key={key}\nNEXT=1": ["der"], f"HOST={public} x": ["ssh"], f"see /{key} end": ["der"], f"at keys/{public} x": ["ssh"],
+             f"auth {token}. Next": ["jwt"], f"auth {token}.": ["jwt"], f"auth {token}.abc": [], f"K={base64.b64encode(rsa[:-3]).decode()}": []}
+    for text, kinds in cases.items():
+        assert [k for _, k, _ in sorted(secret_scan.confirmed_spans(text))] == kinds, text
+    rows = [(i, x, "x") for i, x in enumerate(cases)]
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    assert [hidden[i] for i in (0, 3, 5, 6)] == ["PRIVATE_KEY=[secret]", "see /[secret] end", "auth [secret]. Next", "auth [secret]."]
+
+
 def test_secrets_awkward(spark):
     rows = secret_scan.scan_secrets(awkward(spark)).collect()
     assert len(rows) == 15 and all(r.spans == "" or r.n_hex for r in rows)

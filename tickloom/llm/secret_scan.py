@@ -21,8 +21,10 @@ ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]+?)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+# Where a key may start inside a run of the alphabet, after a path's slash or another sign.
+_INNER = re.compile(r"(?<=[+/_-])(?:M[A-Za-z0-9+/_-]|AAAA[BCE]|b3Bl)")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-f]{62,}|[0-9A-F]{62,})(?![0-9A-Fa-f])")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 _MAGIC = b"openssh-key-v1\x00"
@@ -60,6 +62,15 @@ def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
+def _fills(head: str, size: int) -> bool:
+    """Whether a value whose first 12 bytes are ``head`` in base64 is ``size`` bytes long by its own length."""
+    data = decode64(head)
+    if not data:
+        return False
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    return width <= 4 and 2 + width + (int.from_bytes(data[2:2 + width], "big") if width else data[1]) == size
+
+
 def is_der_key(data: bytes) -> bool:
     """A private key: one SEQUENCE that fills the bytes and starts with a version number and goes on as a key does."""
     outer = der_parts(data, 0, len(data))
@@ -132,16 +143,21 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "jwt", m.end()) for m in _TOKEN.finditer(text) if is_token_header(m[1]) and _json_object(m[2])]
     inside = [(a, b) for a, kind, b in out if kind == "pem"]
     for m in _BASE64.finditer(text):
-        head = m[0][:4]
-        if head[0] not in "MA" and head[:3] != "b3B":  # how 0x30, a length prefix and the container's mark begin
-            continue
         if any(a <= m.start() < b for a, b in inside):
             continue
-        data = decode64(m[0])
-        if data and is_der_key(data):
-            out.append((m.start(), "der", m.end()))
-        elif data and is_ssh_key(data):
-            out.append((m.start(), "ssh", m.end()))
+        for at in [m.start(), *(x.start() for x in _INNER.finditer(text, m.start() + 1, m.end()))]:
+            head, size = text[at:at + 4], m.end() - at
+            if size < 40:
+                break
+            if head[0] not in "MA" and head[:3] != "b3B":  # how 0x30, a length prefix and the container's mark begin
+                continue
+            if at > m.start() and head[0] == "M" and not _fills(text[at:at + 16], len(text[at:m.end()].rstrip("=")) * 3 // 4):
+                continue
+            data = decode64(text[at:m.end()])
+            kind = "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
+            if kind:
+                out.append((at, kind, m.end()))
+                break
     if "30" in text:
         out += [(m.start(), "der", m.end()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     return out
