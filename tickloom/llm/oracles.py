@@ -113,3 +113,25 @@ def quality() -> str:
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(distance <= {rules.CUTOFF}, true) AS kept FROM ({joined}) r"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, a bit at a time."""
+    bits = f"list_transform(range(0, 8 * length({text})), lambda k: (ascii(substr({text}, k // 8 + 1, 1)) >> (k % 8)) & 1)"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::bigint), 4294967295)"
+
+
+def chats() -> str:
+    code = lambda t: f"replace(replace(replace({t}, '\\', '\\\\'), '#', '\\#'), '</', '<\\/')"
+    return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t.turn, t.role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS spoken,
+        coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+        sum(length('### ' || url_encode(role) || ': ' || {code('text')} || '</turn>') + 1) AS formatted,
+        string_agg(role, ',' ORDER BY i) AS roles, bool_and(role IN ('system', 'user', 'assistant')) AS usual FROM o GROUP BY conv_id)
+SELECT conv_id, CASE WHEN roles IN ('user,assistant', 'system,user,assistant') AND draw = 0 THEN 'prompt'
+         WHEN roles IN ('user,assistant', 'system,user,assistant') AND draw = 1 THEN 'instruction'
+         WHEN usual AND draw = 2 THEN 'shared' WHEN draw = 3 THEN 'dialog' ELSE 'messages' END AS layout,
+       n::bigint AS n_turns, sha256(spoken) AS turns_sha256, length(loss)::bigint AS loss_chars, sha256(loss) AS loss_sha256, formatted::bigint AS formatted_chars
+FROM (SELECT *, {_crc32("conv_id::varchar")} % 5 AS draw FROM c)"""

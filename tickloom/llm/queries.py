@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import cross_polytope, naive_bayes_support, near_duplicates, oracles, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
+from tickloom.llm import chat_format, cross_polytope, naive_bayes_support, near_duplicates, oracles, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
 from tickloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digests(chat_format.with_marked(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_warc_segments": archives,
     "op2_mcd_quality": quality,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_sentence_spans": spans,
     "op9_cross_polytope": vectors,
     "op10_secret_structure": secrets,
+    "op11_schema_chat": chats,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -75,6 +80,7 @@ ORACLE: dict[str, str] = {
     "op2_mcd_quality": oracles.quality(),
     "op4_jaccard_forest": oracles.jaccard(),
     "op9_cross_polytope": oracles.vectors(),
+    "op11_schema_chat": oracles.chats(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
