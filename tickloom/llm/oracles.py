@@ -135,3 +135,33 @@ SELECT conv_id, CASE WHEN roles IN ('user,assistant', 'system,user,assistant') A
          WHEN usual AND draw = 2 THEN 'shared' WHEN draw = 3 THEN 'dialog' ELSE 'messages' END AS layout,
        n::bigint AS n_turns, sha256(spoken) AS turns_sha256, length(loss)::bigint AS loss_chars, sha256(loss) AS loss_sha256, formatted::bigint AS formatted_chars
 FROM (SELECT *, {_crc32("conv_id::varchar")} % 5 AS draw FROM c)"""
+
+
+def manifest(source_levels: int = 14, top_levels: int = 10) -> str:
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c} END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def up(nodes: str, paths: str, levels: int) -> list[str]:
+        """CTEs that fold ``nodes(t, i, n, h)`` and lift ``paths(rid, t, i, n, acc, f)`` level by level; a finished tree stays."""
+        out = []
+        for k in range(levels):
+            out.append(f"""{nodes}{k + 1} AS MATERIALIZED (SELECT t, i // 3 AS i, (n + 2) // 3 AS n, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {nodes}{k} GROUP BY t, i // 3, n),
+{paths}{k + 1} AS MATERIALIZED (SELECT rid, p.t, p.i // 3 AS i, (p.n + 2) // 3 AS n, p.acc || coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i <> p.i), '') AS acc,
+    CASE WHEN p.n = 1 THEN p.f ELSE sha256(coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i < p.i), '') || p.f || coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i > p.i), '')) END AS f
+  FROM {paths}{k} p JOIN {nodes}{k} q ON q.t = p.t AND q.i // 3 = p.i // 3 GROUP BY rid, p.t, p.i, p.n, p.acc, p.f)""")
+        return out
+
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, *, CASE WHEN {_crc32("coalesce(doc_id, 0)::varchar")} % 2 = 0 AND doc_id IS NOT NULL THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+l AS MATERIALIZED (SELECT rid, doc_id, coalesce('=' || source, '') AS t, {leaf('text')} AS leaf, {leaf('changed')} AS f FROM d),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM l),
+a0 AS MATERIALIZED (SELECT t, i, n, leaf AS h FROM o), p0 AS MATERIALIZED (SELECT rid, t, i, n, '' AS acc, f FROM o),
+{", ".join(up("a", "p", source_levels))},
+b0 AS MATERIALIZED (SELECT 0 AS t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n, h, t AS src FROM a{source_levels}),
+r0 AS MATERIALIZED (SELECT rid, 0 AS t, b0.i, b0.n, acc, f FROM p{source_levels} p JOIN b0 ON b0.src = p.t),
+{", ".join(up("b", "r", top_levels))}
+SELECT doc_id, leaf, a.h AS subroot, b.h AS root, sha256(r.acc) AS proof_sha256, r.f AS folded_root, r.f = b.h AS verified
+FROM o JOIN a{source_levels} a USING (t) JOIN r{top_levels} r USING (rid) CROSS JOIN b{top_levels} b"""
