@@ -137,6 +137,24 @@ SELECT conv_id, CASE WHEN roles IN ('user,assistant', 'system,user,assistant') A
 FROM (SELECT *, {_crc32("conv_id::varchar")} % 5 AS draw FROM c)"""
 
 
+def trie() -> str:
+    return f"""WITH r AS MATERIALIZED (SELECT conv_id, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) AS g, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, b, g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS i FROM r),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::varchar")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM r)),
+u AS (SELECT c.conv_id, 0 AS part, i, b, g FROM c JOIN o ON o.conv_id = base AND i <= h UNION ALL SELECT c.conv_id, 1, i, b, g FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+s AS MATERIALIZED (SELECT conv_id, b, g, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d FROM u),
+p AS MATERIALIZED (SELECT conv_id, d, b, md5(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS MATERIALIZED (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, lead(k) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS last FROM p),
+n AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b, min(up) AS up, coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM q GROUP BY d, k),
+m AS MATERIALIZED (SELECT up AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN m USING (d, k)),
+t AS (SELECT a.d, a.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.b) AS saved FROM w JOIN p a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.k)
+SELECT w.conv_id, w.d::bigint AS depth, x.conv_id AS parent_conv_id, w.n_convs::bigint AS n_convs, w.n_children::bigint AS n_children, n_leaves::bigint AS n_leaves,
+       saved::bigint AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN t USING (d, k) LEFT JOIN w x ON x.d = w.d - 1 AND x.k = w.up"""
+
+
 def manifest(source_levels: int = 14, top_levels: int = 10) -> str:
     def field(c: str) -> str:
         return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c} END"

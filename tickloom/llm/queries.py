@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import chat_format, cross_polytope, merkle_manifest, naive_bayes_support, near_duplicates, oracles, packing, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
+from tickloom.llm import chat_format, cross_polytope, merkle_manifest, naive_bayes_support, near_duplicates, oracles, packing, prefix_trie, quality_rules, secret_scan, sentence_spans, suffix_pieces, toxicity_trees, warc
 from tickloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,10 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.with_marked(table(spark, sf_dir, "conversations")))
 
 
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("first_rank", "last_rank")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"), merkle_manifest.without_line_feeds()).drop("proof")
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_cross_polytope": vectors,
     "op10_secret_structure": secrets,
     "op11_schema_chat": chats,
+    "op12_interval_trie": trie,
     "op13_octopus_manifest": manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -86,6 +91,7 @@ ORACLE: dict[str, str] = {
     "op4_jaccard_forest": oracles.jaccard(),
     "op9_cross_polytope": oracles.vectors(),
     "op11_schema_chat": oracles.chats(),
+    "op12_interval_trie": oracles.trie(),
     "op13_octopus_manifest": oracles.manifest(),
 }
 if corpus_pipeline.ORACLE_SQL:
