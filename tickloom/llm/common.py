@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_owners: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder and read back: no lineage, columnar and compressed."""
+    """``df`` written as Parquet below the shared checkpoint folder and read back: no lineage, columnar and compressed.
+
+    Inside :func:`folders` the folder belongs to the block around it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def no_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Queries inside give their shuffle files up when they end; none of them may be run a second time."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def folders(spark: SparkSession) -> Iterator[list[str]]:
+    """Lists the folders that are written inside; :func:`remove` them when nothing reads them any more."""
+    own: list[str] = []
+    _owners.append(own)
+    try:
+        with no_shuffle_files(spark):
+            yield own
+    finally:
+        _owners.remove(own)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders through Spark's file system and empties the list."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where it is unset, as in tests, one of this process's own."""
     folder = spark.sparkContext.getCheckpointDir()

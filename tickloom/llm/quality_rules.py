@@ -7,6 +7,8 @@ lie closest together, and documents far from them by Mahalanobis distance are re
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +26,22 @@ UNIT = 1024.0
 FEATURES = ("x0", "x1", "x2", "x3")
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every whole text.
+def base_statistics(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every whole text, and a
+    struct ``carried`` of the columns named, if any are.
 
     A null text has no words. Lines are what line feeds part; a line is a duplicate if it has a word and equals an
     earlier line. Repeated words are those inside a window of five words that occurs more than once in the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bare = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    along = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("carried")] if carried else []
+    bare = docs.select(*along, "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
     trimmed = F.btrim("text", F.lit(_BLANKS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK_CLASS))
     lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)) != "")
+    along = ["carried"] if carried else []
     counted = bare.select(
-        "doc_id", "lang", "source", words.alias("words"), lines.alias("lines"),
+        *along, "doc_id", "lang", "source", words.alias("words"), lines.alias("lines"),
         F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"))
     last = F.size("words") - WINDOW
@@ -44,9 +49,9 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
     windows = counted.select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        *along, "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), window.alias("windows"))
-    return windows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeated("windows").alias("n_repeat_words"))
+    return windows.select(*along, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeated("windows").alias("n_repeat_words"))
 
 
 def _repeated(windows: str) -> Column:
@@ -152,16 +157,18 @@ def robust_estimates(vectors: DataFrame, subset: float = SUBSET, steps: int = ST
 
 
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, cutoff: float = CUTOFF,
-                  min_group: int = MIN_GROUP, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
+                  min_group: int = MIN_GROUP, subset: float = SUBSET, steps: int = STEPS, carried: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, the base statistics, ``base_failed``, ``distance`` (squared) and ``kept`` for every row of ``docs``.
 
     A row fails the base rules with fewer than ``min_words`` words or with more than ``max_repeat`` per cent of them in
     repeated windows. The others are measured against their language and source; a pair of these with fewer than
     ``min_group`` such rows is pooled with the small ones of its language, and a language with too few with all such
     languages. What is still too few rejects nobody. ``distance`` is null for rows that failed or whose pool is too
-    small. Null languages and sources are groups of their own. Repeated rows count as often as they occur.
+    small. Null languages and sources are groups of their own. Repeated rows count as often as they occur. With ``carried``
+    the result also has a struct of these columns of the row, which travel with the statistics, so that no join brings
+    them back.
     """
-    stats = written(transformed(base_statistics(docs)).withColumn(
+    stats = written(transformed(base_statistics(docs, carried)).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))))
     label = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     judged = stats.withColumns({"lang_key": label("lang"), "source_key": label("source")})
@@ -178,5 +185,5 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int =
     measured = judged.join(pools.join(estimates, "pool"), ["lang_key", "source_key"], "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
+        *(["carried"] if carried else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & F.coalesce(distance <= F.lit(cutoff), F.lit(True))).alias("kept"))
