@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LENGTH = 12
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]+?)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 # Where a key may start inside a run of the alphabet, after a path's slash or another sign.
@@ -41,7 +43,7 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
-def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+def der_parts(data: bytes | memoryview, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """``tag, start, end`` of the values that fill ``data[at:end]`` exactly; None if the lengths don't nest."""
     out = []
     while at < end:
@@ -71,10 +73,12 @@ def _fills(head: str, size: int) -> bool:
     return width <= 4 and 2 + width + (int.from_bytes(data[2:2 + width], "big") if width else data[1]) == size
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | memoryview) -> bool:
     """A private key: one SEQUENCE that fills the bytes and starts with a version number and goes on as a key does."""
+    if data[0] != 0x30:
+        return False
     outer = der_parts(data, 0, len(data))
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+    if not outer or len(outer) != 1:
         return False
     inner = der_parts(data, outer[0][1], outer[0][2])
     if not inner or len(inner) < 3 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
@@ -86,9 +90,9 @@ def is_der_key(data: bytes) -> bool:
     return integers or wrapped or curve
 
 
-def is_ssh_key(data: bytes) -> bool:
+def is_ssh_key(data: bytes | memoryview) -> bool:
     """Length-prefixed strings that fill the bytes after a known key type, or the private container's mark and strings."""
-    if data.startswith(_MAGIC):
+    if data[:len(_MAGIC)] == _MAGIC:
         at, names = len(_MAGIC), 0
         while names < 3 and at + 4 <= len(data):
             at += 4 + int.from_bytes(data[at:at + 4], "big")
@@ -100,6 +104,8 @@ def is_ssh_key(data: bytes) -> bool:
         if at + 4 + size > len(data):
             return False
         parts.append(data[at + 4:at + 4 + size])
+        if parts[0] not in _SSH:
+            return False
         at += 4 + size
     return at == len(data) and len(parts) >= 2 and parts[0] in _SSH
 
@@ -130,33 +136,50 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
+def armoured(text: str) -> list[tuple[int, int, str]]:
+    """``start, end, body`` of every BEGIN mark whose next mark is its END, with only letters of an armour between."""
+    marks = list(_MARK.finditer(text))
+    out = []
+    for begin, end in zip(marks, marks[1:]):
+        if begin[1] == "BEGIN" and end[1] == "END" and begin[2] == end[2] and _BODY.fullmatch(text, begin.end(), end.start()):
+            out.append((begin.start(), end.end(), text[begin.end():end.start()]))
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """Spans that decode to a key or a signed token; leftmost, non-overlapping per kind."""
     out = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
+        for a, b, armour in armoured(text):
+            body = "".join(x for x in armour.split("\n") if ":" not in x)
             data = decode64("".join(body.split()))
             if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append((m.start(), "pem", m.end()))
+                out.append((a, "pem", b))
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _TOKEN.finditer(text) if is_token_header(m[1]) and _json_object(m[2])]
-    inside = [(a, b) for a, kind, b in out if kind == "pem"]
+    begins, ends = [a for a, kind, _ in out if kind == "pem"], [b for _, kind, b in out if kind == "pem"]
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in inside):
+        k = bisect_right(begins, m.start()) - 1
+        if k >= 0 and m.start() < ends[k]:
             continue
-        for at in [m.start(), *(x.start() for x in _INNER.finditer(text, m.start() + 1, m.end()))]:
-            head, size = text[at:at + 4], m.end() - at
-            if size < 40:
+        body = m[0].rstrip("=")
+        views: dict[int, memoryview | None] = {}  # by place in a group of four letters, so a run is decoded four times at most
+        for at in [0, *(x.start() - m.start() for x in _INNER.finditer(text, m.start() + 1, m.end()))]:
+            head = body[at:at + 4]
+            if len(m[0]) - at < 40:
                 break
             if head[0] not in "MA" and head[:3] != "b3B":  # how 0x30, a length prefix and the container's mark begin
                 continue
-            if at > m.start() and head[0] == "M" and not _fills(text[at:at + 16], len(text[at:m.end()].rstrip("=")) * 3 // 4):
+            if at and head[0] == "M" and not _fills(body[at:at + 16], (len(body) - at) * 3 // 4):
                 continue
-            data = decode64(text[at:m.end()])
+            shift = at % 4
+            if shift not in views:
+                whole = decode64(body[shift:])
+                views[shift] = None if whole is None else memoryview(whole)
+            data = None if views[shift] is None else views[shift][at // 4 * 3:]
             kind = "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
             if kind:
-                out.append((at, kind, m.end()))
+                out.append((m.start() + at, kind, m.end()))
                 break
     if "30" in text:
         out += [(m.start(), "der", m.end()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
