@@ -229,7 +229,8 @@ def chain(nodes: DataFrame, reach: int, keys: Sequence[str] = ("symbol",), start
     walk_columns = ["i", "side", "l_ok", "s_ok", "e_next", "l_next", "s_next"]
     types = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    span = min(reach, rows - 1)
+    # A start may lie anywhere in its chunk; without one, a chunk is entered within the reach of the legs before it.
+    span = min(reach, rows - 1) if start is None else rows - 1
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         c = int(pdf["_chunk"].iloc[0])
@@ -268,8 +269,6 @@ def chain(nodes: DataFrame, reach: int, keys: Sequence[str] = ("symbol",), start
         out["_state"] = states
         return out
 
-    if start is not None:
-        span = rows - 1
     entered = maps.groupBy(*keys).applyInPandas(fold, f"{key_ddl}, _chunk long, _state long")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

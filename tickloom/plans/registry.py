@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 # Topic modules; each exposes QUERIES {name: callable} and ORACLE {name: sql}.
-TOPICS = ["market", "trading", "performance", "allocation", "research", "learning", "streams", "files"]
+TOPICS = ["market", "trading", "performance", "allocation", "research", "learning", "windows", "streams", "files"]
 
 
 def _collect(attribute: str) -> dict:
