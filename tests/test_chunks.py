@@ -110,15 +110,39 @@ def test_trades_equal_a_sequential_evaluation(tiny_chunks, timeout, rollover):
 
 def test_exponential_means_keep_every_term(tiny_chunks):
     """A series that falls by 250 orders of magnitude still remembers where it came from."""
-    from tickloom.operators.rolling import Ewm, add_ewm, reach
-    from tickloom.operators.chunking import drop_halo, with_halo
+    from tickloom.operators.chunking import with_halo
+    from tickloom.operators.rolling import Ewm, add_ewm
     values = [1e200] * 5 + [1e-50] * 400
     frame = tiny_chunks.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, i long, close double")
     specs = {"slow": Ewm("close", 0.5), "fast": Ewm("close", 0.9)}
-    rows, w = with_halo(frame, ["symbol"], back=reach(specs))
-    got = {r.i: r for r in drop_halo(add_ewm(rows, w, specs)).collect()}
+    rows, _ = with_halo(frame, ["symbol"], back=3)
+    got = {r.i: r for r in add_ewm(rows, ["symbol"], specs, ["close"]).collect()}
     for name, spec in specs.items():
         y = values[0]
         for i, v in enumerate(values):
             y = v if i == 0 else (1 - spec.alpha) * y + spec.alpha * v
             assert abs(got[i][name] - y) <= 1e-9 * y
+
+
+def test_exponential_means_equal_a_sequential_fold(tiny_chunks):
+    """Reaches of a few rows to many chunks, keys of one row to many chunks, late seeds, over chunks and blocks."""
+    from tickloom.operators.chunking import with_halo
+    from tickloom.operators.rolling import Ewm, add_ewm, block_rows
+    rng = np.random.default_rng(9)
+    values = {"a": rng.uniform(1, 2, 1000).tolist(), "b": rng.normal(size=49).tolist(), "c": [3.0], "d": (rng.uniform(1, 2, 300) * 1e12).tolist()}
+    frame = tiny_chunks.createDataFrame([(k, i, v) for k, own in values.items() for i, v in enumerate(own)], "symbol string, i long, x double")
+    specs = {"e9": Ewm("x", 0.2), "e50": Ewm("x", 2 / 51, min_periods=14), "slow": Ewm("x", 0.002, first=1), "last": Ewm("x", 1.0), "quick": Ewm("x", 0.99, first=5, min_periods=3)}
+    assert block_rows(specs, 48) == 48 and block_rows({"e": Ewm("x", 0.9999)}, 65536) == 16 and block_rows({"e": Ewm("x", 1 / 14)}, 65536) == 2048
+    rows, _ = with_halo(frame, ["symbol"], back=2)
+    got = {(r.symbol, r.i): r for r in add_ewm(rows, ["symbol"], specs, ["x"]).collect()}
+    assert len(got) == sum(map(len, values.values()))
+    for key, own in values.items():
+        for name, spec in specs.items():
+            y = size = None
+            for i, v in enumerate(own):
+                if i >= spec.first:
+                    y = v if i == spec.first else (1 - spec.alpha) * y + spec.alpha * v
+                    size = abs(v) if i == spec.first else (1 - spec.alpha) * size + spec.alpha * abs(v)
+                want = None if y is None or i < spec.first + spec.min_periods - 1 else y
+                mine = got[key, i][name]
+                assert (mine is None) == (want is None) and (want is None or abs(mine - want) <= 1e-12 * size), (key, name, i, mine, want)

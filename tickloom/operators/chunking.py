@@ -39,7 +39,7 @@ def _held(df: DataFrame) -> Column:
     return F.bit_xor(F.hash(*[F.col(c) for c in df.columns])).alias("_held")
 
 
-def _dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def deal(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows by key, without those that the join back would drop, so that both of its sides have the same filters."""
     for name in by:
         df = df.filter(F.col(name).isNotNull())
@@ -51,7 +51,7 @@ def _with_offsets(df: DataFrame, keys: Sequence[str], part: str, order: Sequence
 
     The rows are shuffled once, by (keys, part); counting, numbering and the join all use that exchange.
     """
-    dealt = _dealt(df, [*keys, part])
+    dealt = deal(df, [*keys, part])
     sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"), _held(df))
     before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.coalesce(F.col("_held") * 0, F.lit(0))).alias("_base"))
@@ -155,7 +155,7 @@ def running(
     for name, (_, expr) in outputs.items():
         base = base.withColumn(f"_x_{name}", expr)
     read = _held(base)
-    base = _dealt(base, [*keys, CHUNK])
+    base = deal(base, [*keys, CHUNK])
 
     totals, carries = [], [*keys, CHUNK]
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)

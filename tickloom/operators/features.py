@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import hour_angle, ratio
 from tickloom.functions.timeframes import step_ms, to_ts
 from tickloom.operators.asof import asof_backward
-from tickloom.operators.chunking import drop_halo, number_by_range, number_on_grid, with_halo
-from tickloom.operators.rolling import Ewm, add_ewm, log_return, reach, rolling, rolling_z, rsi, span_alpha, true_range
+from tickloom.operators.chunking import CHUNK, deal, drop_halo, number_by_range, number_on_grid, with_halo
+from tickloom.operators.rolling import Ewm, add_ewm, log_return, rolling, rolling_z, rsi, span_alpha, true_range
 
 RETURN_LAGS = (1, 3, 5, 15, 30, 60)
 
@@ -48,6 +48,13 @@ def ema_specs(spans: Sequence[int] = (9, 21, 50)) -> dict[str, Ewm]:
     return {f"ema{s}": Ewm("close", span_alpha(s)) for s in spans}
 
 
+def _dealt_bars(bars: DataFrame, timeframe: str, keys: Sequence[str], back: int) -> tuple[DataFrame, WindowSpec, list[str]]:
+    """Numbered bars with their halo, dealt by (keys, chunk); the window over them and the columns they had before."""
+    numbered = number_on_grid(bars, keys, step_ms(timeframe))
+    rows, w = with_halo(numbered, keys, back=back)
+    return deal(rows, [*keys, CHUNK]), w, numbered.columns
+
+
 def with_indicators(
     bars: DataFrame, timeframe: str, atr_period: int = 14, keys: Sequence[str] = ("symbol",),
     ema: bool = False, rsi_period: int | None = None,
@@ -58,16 +65,16 @@ def with_indicators(
         specs |= ema_specs()
     if rsi_period:
         specs |= rsi_specs(rsi_period)
-    rows, w = with_halo(number_on_grid(bars, keys, step_ms(timeframe)), keys, back=reach(specs) + 1)
+    rows, w, read = _dealt_bars(bars, timeframe, keys, back=1)
     rows = rows.withColumn("_tr", true_range(w))
     if rsi_period:
         rows = rows.withColumn("_diff", F.col("close") - F.lag("close").over(w))
         rows = rows.withColumn("_up", F.greatest("_diff", F.lit(0.0))).withColumn("_down", F.greatest(-F.col("_diff"), F.lit(0.0)))
         rows = rows.withColumns({c: F.when(F.col("_diff").isNotNull(), F.col(c)) for c in ("_up", "_down")})
-    rows = add_ewm(rows, w, specs)
+    rows = add_ewm(rows, keys, specs, read)
     if rsi_period:
         rows = rows.withColumn("rsi", rsi("_gain", "_loss")).drop("_gain", "_loss", "_diff", "_up", "_down")
-    return drop_halo(rows).drop("_tr")
+    return rows.drop("_tr")
 
 
 def compute_features(
@@ -76,12 +83,12 @@ def compute_features(
 ) -> DataFrame:
     """26 features per bar (30 with ``rates``) plus ``atr``; a value at a bar never reads later bars.
 
-    Every window shares (key, chunk) partitioning and order, so one shuffle and one sort feed all
-    rolling frames, lags and exponential means.
+    Every window shares (key, chunk) partitioning, so one shuffle feeds all rolling frames, lags and exponential means;
+    the halo is that of the longest bounded frame.
     """
     specs = atr_spec(atr_period) | rsi_specs(14) | ema_specs()
-    # Two stacked look-backs at most: a one-bar difference under the longest mean or 180-bar frame.
-    rows, w = with_halo(number_on_grid(bars, keys, step_ms(timeframe)), keys, back=max(reach(specs), 180) + 1)
+    # Two stacked look-backs at most: a one-bar difference under the 180-bar frame.
+    rows, w, read = _dealt_bars(bars, timeframe, keys, back=181)
     rows = rows.withColumns({f"ret_{k}": log_return(w, k) for k in RETURN_LAGS})
     diff = F.col("close") - F.lag("close").over(w)
     span = F.col("high") - F.col("low")
@@ -105,7 +112,7 @@ def compute_features(
         "trend_180": ratio("close", rolling(w, 180, "mean", "close")) - 1.0,
         "dd_180": ratio("close", rolling(w, 180, "max", "close")) - 1.0,
     })
-    rows = drop_halo(add_ewm(rows, w, specs))
+    rows = add_ewm(rows, keys, specs, read)
     angle = hour_angle(to_ts("ms"))
     rows = rows.withColumns({
         "vol_ratio": ratio("vol_15", "vol_60"),

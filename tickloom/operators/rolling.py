@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
+from tickloom.operators.chunking import CHUNK, CORE, ORD
+from tickloom.session import chunk_rows
 
-# The smallest positive double: a term of an exponentially weighted mean is left out only where its weight is zero.
-EWM_TOLERANCE = 5e-324
+# Weights within a block grow to this much at most; exp(-ZERO_AT) is zero in double precision.
+HEADROOM, ZERO_AT = 1e100, 746.0
 
 
 def log_return(w: WindowSpec, k: int, close: str = "close") -> Column:
@@ -44,54 +46,68 @@ class Ewm:
     min_periods: int = 1
 
     @property
-    def steps(self) -> list[tuple[int, int]]:
-        """(rows covered so far, factor) per pass until every term that matters is in."""
-        terms = math.log(EWM_TOLERANCE) / math.log1p(-self.alpha)
-        plan, covered = [], 1
-        while covered < terms:
-            factor = 4 if covered * 2 < terms else 2
-            plan.append((covered, factor))
-            covered *= factor
-        return plan
+    def keep(self) -> float:
+        return 1.0 - self.alpha
 
-    @property
-    def reach(self) -> int:
-        covered, factor = self.steps[-1]
-        return covered * factor - 1
 
+def block_rows(specs: Mapping[str, Ewm], rows: int) -> int:
+    """Rows of a block: a divisor of the chunk over which no weight grows beyond ``HEADROOM``."""
+    fastest = min((s.keep for s in specs.values() if s.alpha < 1.0), default=0.5)
+    most = max(1, min(rows, int(math.log(HEADROOM) / -math.log(fastest))))
+    return next(m for m in range(most, 0, -1) if rows % m == 0)
 
-def reach(specs: Mapping[str, Ewm]) -> int:
-    return max(s.reach for s in specs.values())
 
+def add_ewm(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Ewm], read: Sequence[str]) -> DataFrame:
+    """The rows of :func:`with_halo` without their halo, plus exponentially weighted means of any reach.
 
-def add_ewm(df: DataFrame, w: WindowSpec, specs: Mapping[str, Ewm], order: str = "i") -> DataFrame:
-    """Add exponentially weighted means by repeated widening.
+    A block of consecutive rows is an affine map of the mean it is entered with, y -> A * y + B. B is one weighted sum per
+    block; the maps of a chunk's blocks and of the chunks before it are composed in order, which gives the mean every block
+    is entered with, and a row adds its own weighted sum within the block. So no row is copied for these means, and a
+    chunk's summary is one row. Weights leave out only what is zero in double precision.
 
-    A pass extends every partial sum from the last n terms to the last 4n (or 2n): it adds the
-    sums that ended n, 2n, 3n rows earlier, weighted (1-alpha)^n, ^2n, ^3n. A handful of passes
-    covers all terms whose weight a double can hold. Every pass is lags over one shared window, so rows are
-    shuffled and sorted once for all means, and the look-back is bounded (unlike a running
-    recurrence), which lets the chunks of one symbol run in parallel.
+    ``df`` is dealt by (keys, chunk); ``read`` names columns of it that the summary reads too, so that both sides of its
+    join ask for the same exchange.
     """
-    i = F.col(order)
-    df = df.withColumns({
-        name: F.when(i == s.first, F.col(s.column)).when(i > s.first, F.col(s.column) * s.alpha)
-        for name, s in specs.items()
-    })
-    for level in range(max(len(s.steps) for s in specs.values())):
-        wider = {}
-        for name, s in specs.items():
-            if level >= len(s.steps):
-                continue
-            n, factor = s.steps[level]
-            total = F.col(name)
-            for k in range(1, factor):
-                total = total + F.coalesce(F.lag(name, k * n).over(w) * (1.0 - s.alpha) ** (k * n), F.lit(0.0))
-            wider[name] = total
-        df = df.withColumns(wider)
-    return df.withColumns({
-        n: F.when(i >= s.first + s.min_periods - 1, F.col(n)) for n, s in specs.items()
-    })
+    size = chunk_rows(df.sparkSession)
+    m = block_rows(specs, size)
+    by = [*keys, CHUNK]
+    place = F.col(ORD) - F.col(CHUNK) * size
+    core = df.filter(F.col(CORE)).withColumns({"_block": F.floor(place / m).cast("int"), "_at": place % m}).drop(CORE)
+    core = core.withColumns({
+        f"_in_{n}": F.when(F.col(ORD) == s.first, F.col(s.column)).when(F.col(ORD) > s.first, F.col(s.column) * s.alpha) for n, s in specs.items()})
+    power = lambda s, e: F.pow(F.lit(s.keep), e)
+    sums = [F.coalesce(F.sum(F.col(f"_in_{n}") * power(s, F.lit(m - 1) - F.col("_at"))), F.lit(0.0)).alias(n) for n, s in specs.items()]
+    held = F.bit_xor(F.hash(*[F.col(c) for c in read])).alias("_held")
+    blocks = core.groupBy(*by, "_block").agg(*sums, held)
+    chunks = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", *specs))).alias("_maps"), F.bit_xor("_held").alias("_held"))
+
+    def through(start: Column, values: Column, factor: float) -> Column:
+        return F.aggregate(values, start, lambda y, b: y * F.lit(factor) + b)
+
+    ends = chunks.withColumns({f"_end_{n}": through(F.lit(0.0), F.col(f"_maps.{n}"), s.keep ** m) for n, s in specs.items()})
+    entered = {}
+    for n, s in specs.items():
+        last = 1 if s.alpha >= 1.0 else max(1, math.ceil(ZERO_AT / (size * -math.log(s.keep))))
+        before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-last, -1)
+        entered[f"_into_{n}"] = through(F.lit(0.0), F.collect_list(f"_end_{n}").over(before), s.keep ** size)
+    # The mean that each block is entered with: the one before it, carried through its map.
+    def every(start: Column, values: Column, factor: float) -> Column:
+        return F.aggregate(values, F.array(start), lambda ys, b: F.concat(ys, F.array(F.element_at(ys, -1) * F.lit(factor) + b)))
+
+    carried = ends.withColumns(entered)
+    carried = carried.withColumns({f"_carry_{n}": every(F.col(f"_into_{n}"), F.col(f"_maps.{n}"), s.keep ** m) for n, s in specs.items()})
+    carry = carried.select(*by, *[f"_carry_{n}" for n in specs], (F.col("_held") * 0).alias("_held"))
+    joined = core.join(carry, by).filter("_held = 0")
+    upto = W.partitionBy(*by, "_block").orderBy(ORD).rowsBetween(W.unboundedPreceding, 0)
+    out = {}
+    for n, s in specs.items():
+        if s.alpha >= 1.0:
+            value = F.col(s.column)
+        else:
+            own = F.coalesce(F.sum(F.col(f"_in_{n}") * power(s, -F.col("_at"))).over(upto), F.lit(0.0)) * power(s, F.col("_at"))
+            value = own + F.get(F.col(f"_carry_{n}"), F.col("_block")) * power(s, F.col("_at") + 1)
+        out[n] = F.when(F.col(ORD) >= s.first + s.min_periods - 1, value)
+    return joined.withColumns(out).drop(CHUNK, "_block", "_at", "_held", *[f"_{p}_{n}" for n in specs for p in ("in", "carry")])
 
 
 def span_alpha(span: int) -> float:
