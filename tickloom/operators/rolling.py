@@ -97,7 +97,7 @@ def add_ewm(df: DataFrame, keys: Sequence[str], specs: Mapping[str, Ewm], read:
     carried = ends.withColumns(entered)
     carried = carried.withColumns({f"_carry_{n}": every(F.col(f"_into_{n}"), F.col(f"_maps.{n}"), s.keep ** m) for n, s in specs.items()})
     carry = carried.select(*by, *[f"_carry_{n}" for n in specs], (F.col("_held") * 0).alias("_held"))
-    joined = core.join(carry, by).filter("_held = 0")
+    joined = core.join(carry, by).filter(F.col("_held") + F.hash(*[F.col(c) for c in read]) * 0 == 0)
     upto = W.partitionBy(*by, "_block").orderBy(ORD).rowsBetween(W.unboundedPreceding, 0)
     out = {}
     for n, s in specs.items():
