@@ -182,7 +182,9 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int =
     pools = written(pools.join(sizes, "pool").select("lang_key", "source_key", "pool"))
     vectors = judged.filter("not base_failed").join(pools, ["lang_key", "source_key"]).select("pool", *FEATURES)
     estimates = robust_estimates(vectors, subset, steps)
-    measured = judged.join(pools.join(estimates, "pool"), ["lang_key", "source_key"], "left")
+    # Written, so that its size is known and Spark sends it to the documents' tasks where it is small.
+    known = written(pools.join(estimates, "pool"))
+    measured = judged.join(known, ["lang_key", "source_key"], "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return measured.select(
         *(["carried"] if carried else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
