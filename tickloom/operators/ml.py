@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -133,6 +133,13 @@ def control_scores(kind: str, seed: int = 0) -> tuple[Column, Column]:
     return draw("long"), draw("short")
 
 
+def with_scorers(rows: DataFrame, scores: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Every row once per scorer, with that scorer's ``p_long`` and ``p_short``: all scorers are judged on the same bars in
+    one job, the scorer being one more key."""
+    made = F.explode(F.array(*[F.struct(F.lit(name).alias("scorer"), p_long.alias("p_long"), p_short.alias("p_short")) for name, (p_long, p_short) in scores.items()]))
+    return rows.withColumn("_scored", made).drop("p_long", "p_short").select("*", "_scored.*").drop("_scored")
+
+
 # --- out-of-sample windows ---------------------------------------------------------------------
 
 def window_bounds(bars: DataFrame, windows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeframes import periods_per_year, to_ts
+from tickloom.operators import labels as L
 from tickloom.operators import ml
+from tickloom.operators import studies as S
 from tickloom.operators import windows as OW
 from tickloom.operators.chunking import number_on_grid
 from tickloom.plans import inputs
-from tickloom.plans.common import rounded, shared, to_ts_sql
-from tickloom.plans.trading import BASE, DAY, H1, RULES, leg_sql, signals
+from tickloom.plans.common import hashed_sql, indicators_cte, rounded, shared, to_ts_sql
+from tickloom.plans.trading import BASE, DAY, H1, RULES, leg_sql, scored_bars, signals
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -28,7 +30,10 @@ def query(name: str, sql: str | None = None):
 # window, days between its end and the newest bar, days it lasts; windows may overlap
 WINDOWS = [(0, 0, 5), (1, 5, 5), (2, 10, 5), (3, 3, 14), (4, 0, 20), (5, 24, 5)]
 
-OOS = f"""{BASE}, {leg_sql()}, wn(window_id, days_back, window_days) AS (VALUES {', '.join(str(w) for w in WINDOWS)}),
+def oos_sql(windows, p_long: str | None = None, p_short: str | None = None) -> str:
+    """CTEs up to ``wt``, the booked trades of every window; the scores may be replaced."""
+    base = BASE if p_long is None else f"{indicators_cte('1h')}, scored AS (SELECT ind.*, {p_long} AS p_long, {p_short} AS p_short FROM ind)"
+    return f"""{base}, {leg_sql()}, wn(window_id, days_back, window_days) AS (VALUES {', '.join(str(w) for w in windows)}),
 bo AS (SELECT symbol, window_id, mx - days_back::bigint * {DAY} AS hi, mx - (days_back + window_days)::bigint * {DAY} AS lo FROM (SELECT symbol, max(ms) AS mx FROM sig GROUP BY 1), wn),
 sp AS MATERIALIZED (SELECT window_id, symbol, min(i) AS first_i, max(i) AS last_w, (arg_max(close, i) / arg_min(close, i) - 1) * 100 AS bh FROM sig JOIN bo USING (symbol) WHERE ms BETWEEN lo AND hi GROUP BY 1, 2),
 nx AS MATERIALIZED (SELECT symbol, i AS at_i, (SELECT min(s.i) FROM ep s WHERE s.symbol = a.symbol AND s.i >= a.i) AS sig_i FROM sig a),
@@ -51,6 +56,16 @@ tr4 AS (SELECT *, 10000.0::double * product(f) OVER (PARTITION BY window_id, sym
 wt AS MATERIALIZED (SELECT *, cash_before * 0.1::double / nopen AS qty, cash_before * 0.1::double / nopen * (ug - uf) AS pnl, cash_before * f AS cash_after, (ug - uf) / entry_price AS r, ug / entry_price AS gross_r, uf / entry_price AS cost_r FROM tr4)"""
 
 
+# Equity at every bar of every window, then one row per window and symbol.
+PER_PAIR = """eq AS (SELECT b.window_id, b.symbol, b.i, CASE WHEN t.entry_i IS NULL THEN 10000.0::double WHEN t.exit_i IS NULL OR b.i < t.exit_i
+    THEN t.cash_before - t.qty * t.entry_price * 0.001::double + t.side * t.qty * (b.close - t.entry_price) ELSE t.cash_after END AS equity
+  FROM (SELECT window_id, sig.symbol, i, close FROM sig JOIN sp ON sp.symbol = sig.symbol AND i BETWEEN first_i AND last_w) b
+  ASOF LEFT JOIN wt t ON t.window_id = b.window_id AND t.symbol = b.symbol AND b.i >= t.entry_i),
+cv AS (SELECT *, equity / lag(equity) OVER s - 1 AS ret, equity / max(equity) OVER s - 1 AS dd FROM eq WINDOW s AS (PARTITION BY window_id, symbol ORDER BY i)),
+pk AS (SELECT window_id, symbol, (arg_max(equity, i) / 10000 - 1) * 100 AS total, min(dd) * 100 AS mdd, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(8760.0), 0) AS sharpe FROM cv GROUP BY 1, 2)"""
+OOS = oos_sql(WINDOWS)
+
+
 def spans(spark, sf):
     bars = number_on_grid(inputs.bars(spark, sf), ["symbol"], H1)
     table = spark.createDataFrame(WINDOWS, "window_id int, days_back int, window_days int")
@@ -70,12 +85,7 @@ def oos_trades(spark, sf):
                             "exit_reason", "rollovers", "prob", "entry_price", "exit_price", "qty", "pnl"))
 
 
-@query("oos_runs", f"""{OOS}, eq AS (SELECT b.window_id, b.symbol, b.i, CASE WHEN t.entry_i IS NULL THEN 10000.0::double WHEN t.exit_i IS NULL OR b.i < t.exit_i
-    THEN t.cash_before - t.qty * t.entry_price * 0.001::double + t.side * t.qty * (b.close - t.entry_price) ELSE t.cash_after END AS equity
-  FROM (SELECT window_id, sig.symbol, i, close FROM sig JOIN sp ON sp.symbol = sig.symbol AND i BETWEEN first_i AND last_w) b
-  ASOF LEFT JOIN wt t ON t.window_id = b.window_id AND t.symbol = b.symbol AND b.i >= t.entry_i),
-cv AS (SELECT *, equity / lag(equity) OVER s - 1 AS ret, equity / max(equity) OVER s - 1 AS dd FROM eq WINDOW s AS (PARTITION BY window_id, symbol ORDER BY i)),
-pk AS (SELECT window_id, symbol, (arg_max(equity, i) / 10000 - 1) * 100 AS total, min(dd) * 100 AS mdd, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(8760.0), 0) AS sharpe FROM cv GROUP BY 1, 2),
+@query("oos_runs", f"""{OOS}, {PER_PAIR},
 ac AS (SELECT window_id, count(*) AS pairs, avg(total) AS mean_return_pct, count(*) FILTER (total > 0) AS pairs_positive, avg(sharpe) AS mean_sharpe, avg(mdd) AS mean_max_dd_pct, avg(bh) AS buy_hold_pct FROM pk JOIN sp USING (window_id, symbol) GROUP BY 1),
 en2 AS (SELECT window_id, count(*) AS n_trades, avg((pnl > 0)::int) * 100 AS win, avg(gross_r) * 100 AS g, avg(r) * 100 AS r, avg(cost_r) * 100 AS c, avg((side < 0)::int) * 100 AS sh, count(*) FILTER (exit_reason = 'tp') AS tp,
   count(*) FILTER (exit_reason = 'sl') AS sl, count(*) FILTER (exit_reason = 'timeout') AS tm FROM wt WHERE exit_reason IS NOT NULL GROUP BY 1)
@@ -87,3 +97,45 @@ def oos_runs(spark, sf):
     booked = oos_booked(spark, sf)
     curves = OW.window_curves(bars, found, booked, RULES)
     return rounded(OW.window_runs(found, booked, curves, RULES, periods_per_year("1h")))
+
+
+# --- a candidate against scorers that know nothing, on the same held-out bars -------------------
+
+HOLDOUT = [(0, 0, 12)]
+CONTROLS = ("always_long", "always_short", "random")
+SCORERS = {
+    "candidate": (hashed_sql("'L'", "symbol", "ms"), hashed_sql("'S'", "symbol", "ms")), "always_long": ("1.0::double", "0.0::double"),
+    "always_short": ("0.0::double", "1.0::double"), "random": (hashed_sql("'long'", "'7'", "symbol", "ms"), hashed_sql("'short'", "'7'", "symbol", "ms")),
+}
+
+
+def held_out(spark, sf):
+    """One row per scorer: mean return over the symbols, trades; every scorer sees the same bars and costs."""
+    def build():
+        bars = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
+        scores = {"candidate": (F.col("p_long"), F.col("p_short"))} | {kind: ml.control_scores(kind, 7) for kind in CONTROLS}
+        rows = ml.with_scorers(bars, scores)
+        rows = rows.withColumn("_s", L.stronger_side("p_long", "p_short", RULES.threshold)).select("*", F.col("_s.side").alias("side"), F.col("_s.p").alias("p_side")).drop("_s")
+        numbered, table = number_on_grid(inputs.bars(spark, sf), ["symbol"], H1), spark.createDataFrame(HOLDOUT, "window_id int, days_back int, window_days int")
+        found = OW.window_ordinals(numbered, ml.window_bounds(numbered, table)).withColumn("scorer", F.explode(F.array(*[F.lit(name) for name in scores])))
+        keys = ("scorer", "symbol")
+        booked = OW.window_trades(rows, found, RULES, keys).persist()
+        curves = OW.window_curves(rows.select("scorer", "symbol", "i", "ms", "close"), found, booked, RULES, keys)
+        return OW.window_runs(found, booked, curves, RULES, periods_per_year("1h"), ("symbol",), ("scorer", "window_id"))
+    return shared((spark.sparkContext.applicationId, sf, "held_out"), build)
+
+
+SCORED_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM ({oos_sql(HOLDOUT, *scores)}, {PER_PAIR} SELECT '{name}' AS scorer, avg(total) AS ret, avg(sharpe) AS sharpe, avg(mdd) AS mdd, avg(bh) AS bh, (SELECT count(*) FROM wt WHERE exit_reason IS NOT NULL) AS n_trades
+  FROM pk JOIN sp USING (window_id, symbol))""" for name, scores in SCORERS.items())
+
+
+@query("holdout_scorers", f"""SELECT scorer, round(ret, 6) + 0.0 AS mean_return_pct, round(sharpe, 6) + 0.0 AS mean_sharpe, round(mdd, 6) + 0.0 AS mean_max_dd_pct, round(bh, 6) AS buy_hold_pct, n_trades FROM ({SCORED_SQL})""")
+def holdout_scorers(spark, sf):
+    return rounded(held_out(spark, sf).select("scorer", "mean_return_pct", "mean_sharpe", "mean_max_dd_pct", "buy_hold_pct", "n_trades"))
+
+
+@query("holdout_gate", f"""WITH m AS (SELECT scorer AS name, ret FROM ({SCORED_SQL})), rv AS (SELECT name, ret FROM m WHERE name <> 'candidate' UNION ALL SELECT 'do_nothing', 0), b AS (SELECT * FROM rv ORDER BY ret DESC, name = 'do_nothing' DESC LIMIT 1)
+SELECT round(m.ret, 6) AS candidate_ret, b.name AS best_rival, round(b.ret, 6) AS rival_ret, CASE WHEN m.ret < -2 THEN 'catastrophic' WHEN m.ret <= b.ret THEN 'not_better' ELSE 'promote' END AS verdict FROM m, b WHERE m.name = 'candidate'""")
+def holdout_gate(spark, sf):
+    return rounded(S.promotion_gate(held_out(spark, sf).select(F.col("scorer").alias("name"), F.col("mean_return_pct").alias("ret")), "candidate"))
