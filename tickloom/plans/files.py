@@ -73,27 +73,36 @@ def vendor_charts(spark, sf):
     return vendor.read_charts(spark, path)
 
 
-@query("daily_csv", f"WITH {TICKS}, {DAILY} SELECT 'prices' AS symbol, make_timestamp(day * 1000)::date AS date, open, high, low, close, 0.0::double AS volume FROM d WHERE symbol = 'click'")
+@query("daily_csv", f"WITH {TICKS}, {DAILY} SELECT symbol, make_timestamp(day * 1000)::date AS date, open, high, low, close, CASE WHEN symbol IN ('click', 'error') THEN 0.0::double ELSE volume::double END AS volume FROM d")
 def daily_csv(spark, sf):
-    path = scratch(spark, "csv")
-    d = inputs.bars(spark, sf, "1d").filter("symbol = 'click'")
-    lines = d.select(F.concat_ws(",", F.to_date(to_ts("ms")), "open", "high", "low", "close").alias("value"))
-    head = spark.range(1).select(F.lit("DATE,Open,HIGH,low,Close").alias("value"))
-    head.unionByName(lines).coalesce(1).write.text(path)
-    rows = vendor.read_daily_csv(spark, path)
-    return rows.withColumn("symbol", F.lit("prices"))
+    """All symbols' daily files, a folder per symbol and a header per file, some without a volume."""
+    path, d = scratch(spark, "csv"), inputs.bars(spark, sf, "1d")
+    cells = [F.to_date(to_ts("ms")).alias("DATE"), F.col("open").alias("Open"), F.col("high").alias("HIGH"), "low", F.col("close").alias("Close")]
+    bare = F.col("symbol").isin("click", "error")
+    for rows in (d.filter(bare).select("symbol", *cells), d.filter(~bare).select("symbol", *cells, F.col("volume").alias("Volume"))):
+        rows.write.mode("append").partitionBy("symbol").option("header", True).csv(path)
+    return vendor.read_daily_csv(spark, path)
+
+
+@query("chart_errors", "SELECT CASE WHEN event_id % 3 = 1 THEN 'Not Found' ELSE 'empty' END AS code, count(*) AS payloads FROM events WHERE event_id % 3 > 0 GROUP BY 1")
+def chart_errors(spark, sf):
+    """Payloads with a result, with an error, and with neither, told apart."""
+    path = scratch(spark, "errors")
+    good = F.lit('{"chart":{"result":[{"meta":{"symbol":"x"},"timestamp":[1],"indicators":{"quote":[{"close":[1.0]}]}}],"error":null}}')
+    bad = F.lit('{"chart":{"result":null,"error":{"code":"Not Found"}}}')
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, good).when(kind == 1, bad).otherwise(F.lit('{"chart":{"result":[],"error":null}}'))
+    inputs.table(spark, sf, "events").select(text.alias("value")).write.text(path)
+    return vendor.chart_errors(spark, path)
 
 
 @query("journal_books", f"{BASE} SELECT CASE WHEN symbol = 'click' THEN 'default' ELSE symbol END AS book, count(*) AS n, round(sum(close), 6) AS total FROM bars WHERE symbol <> 'view' GROUP BY 1")
 def journal_books(spark, sf):
     """One equity journal per book folder; the root is the default book, 'portfolio' is left out."""
     root = scratch(spark, "runtime")
-    b = inputs.bars(spark, sf)
-    folder = {"click": root, "view": f"{root}/portfolio"}
-    names = [r.symbol for r in b.select("symbol").distinct().collect()]
-    for name in names:
-        rows = b.filter(F.col("symbol") == name).select("ms", F.lit(0).cast("long").alias("seq"), "symbol", "close", F.col("close").alias("equity"))
-        journals.append_journal(rows, folder.get(name, f"{root}/{name}") if name != "click" else f"{root}/../{root.rsplit('/', 1)[1]}")
+    rows = inputs.bars(spark, sf).select("ms", F.lit(0).cast("long").alias("seq"), "symbol", "close", F.col("close").alias("equity"))
+    journals.append_journal(rows.filter("symbol <> 'click'").withColumn("book", F.when(F.col("symbol") == "view", "portfolio").otherwise(F.col("symbol"))), root, "book")
+    journals.append_journal(rows.filter("symbol = 'click'"), root)
     schema = EQUITY.removeprefix("book string, ")
     out = journals.load_books(spark, root, "*.json", schema)
     return rounded(out.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total")))

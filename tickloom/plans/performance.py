@@ -297,11 +297,11 @@ def price_extension(spark, sf):
 
 @query("trade_marks", f"""{TRADES}, {CLOSED}, m AS (SELECT symbol, entry_ms AS ms, entry_price AS price, 'entry' AS kind FROM closed UNION ALL SELECT symbol, exit_ms, exit_price, 'exit' FROM closed
  UNION ALL SELECT symbol, entry_ms, entry_price, 'held' FROM trades WHERE exit_reason IS NULL
- UNION ALL SELECT event_type, epoch_us(ts) // 1000, value, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END FROM events WHERE event_id % 50 = 0)
+ UNION ALL SELECT event_type, epoch_us(ts) // 1000, value, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END FROM events)
 SELECT symbol, {to_ts_sql('ms')} AS ts, round(price, 6) AS price, kind FROM m WHERE ms BETWEEN 1704500000000 AND 1706000000000""")
 def trade_marks(spark, sf):
     t = booked(spark, sf)
-    fills = inputs.table(spark, sf, "events").filter("event_id % 50 = 0").select(
+    fills = inputs.table(spark, sf, "events").select(
         F.col("event_type").alias("symbol"), epoch_ms("ts").alias("ms"), F.col("value").alias("price"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"))
     marks = A.trade_marks(t.filter(F.col("exit_reason").isNotNull()), fills, t.filter(F.col("exit_reason").isNull()))
     return rounded(B.with_ts(A.clip_marks(marks, F.lit(1704500000000), F.lit(1706000000000))).select("symbol", "ts", "price", "kind"))

@@ -22,8 +22,10 @@ def load_journal(spark: SparkSession, glob: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_journal(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("timestampFormat", MICROS).json(path)
+def append_journal(rows: DataFrame, path: str, book: str | None = None) -> None:
+    """Appends rows; a ``book`` column parts them into a folder each, in one job."""
+    writer = rows.write.mode("append").option("timestampFormat", MICROS)
+    (writer.partitionBy(book) if book else writer).json(path)
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def records(df: DataFrame) -> DataFrame:
 
 
 def load_books(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
-    """The same journal of every book below ``root``: sub-folder = book, root itself = default.
+    """The same journal of every book below ``root``: sub-folder (``name`` or ``book=name``) = book, root itself = default.
 
     The portfolio folder holds another kind of book and is left out.
     """
@@ -40,7 +42,7 @@ def load_books(spark: SparkSession, root: str, file: str, schema: str) -> DataFr
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", file).json(root)
     base = root.rstrip("/").rsplit("/", 1)[-1]
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    tagged = rows.withColumn("book", F.when(folder == base, "default").otherwise(folder))
+    tagged = rows.withColumn("book", F.when(folder == base, "default").otherwise(F.regexp_replace(folder, "^book=", "")))
     return tagged.filter(F.col("book") != "portfolio")
 
 

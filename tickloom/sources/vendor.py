@@ -39,16 +39,19 @@ def chart_errors(spark: SparkSession, path: str, pretty: bool = False) -> DataFr
 
 
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily CSV with a case-insensitive header and optional volume; the symbol is the file name.
+    """Daily CSV with a case-insensitive header and optional volume; the symbol is the file name, or the folder's below
+    ``symbol=...``.
 
-    Columns are matched by header name, so files with and without volume mix in one read.
+    Columns are matched by each file's header, so files with and without volume mix in one read.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    read = spark.read.text(path)
+    symbol = F.col("symbol") if "symbol" in read.columns else F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), symbol.cast("string").alias("symbol"))
     heads = lines.filter(F.lower("value").startswith("date,"))
     names = heads.select("file", F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(c)).alias("names")).dropDuplicates(["file"])
     body = lines.filter(~F.lower("value").startswith("date,") & (F.trim("value") != ""))
     cells = body.join(names, "file").withColumn("row", F.map_from_arrays("names", F.slice(F.split("value", ","), 1, F.size("names"))))
     value = lambda f: F.col(f"row.{f}").try_cast("double")
     return cells.select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("symbol"), F.col("row.date").try_cast("date").alias("date"),
+        "symbol", F.col("row.date").try_cast("date").alias("date"),
         *[value(f).alias(f) for f in FIELDS[:4]], F.coalesce(value("volume"), F.lit(0.0)).alias("volume")).filter(F.col("close").isNotNull())
