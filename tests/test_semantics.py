@@ -198,3 +198,31 @@ def test_upsert_reads_only_the_folders_it_touches(spark, tmp_path):
     for rows in ([("a", 1, 0.1), ("b", 1, 0.2)], [("a", 1, 0.9), ("a", 2, 0.3)]):
         bar_store.upsert_rates(spark.createDataFrame(rows, "symbol string, ms long, rate double"), rates)
     assert sorted(tuple(r) for r in bar_store.load_rates(spark, rates).collect()) == [("a", 1, 0.1), ("a", 2, 0.3), ("b", 1, 0.2)]
+
+
+def test_p_values_of_t(spark):
+    """Against the finite sums for whole degrees of freedom."""
+    import math
+    from pyspark.sql import functions as F
+    from tickloom.functions.statistics import t_p_value
+
+    def exact(t, df):
+        th = math.atan(abs(t) / math.sqrt(df))
+        term, total = 1.0, 0.0
+        if df % 2:
+            term = math.cos(th)
+            for k in range((df - 1) // 2):
+                total += term
+                term *= math.cos(th) ** 2 * (2 * k + 2) / (2 * k + 3)
+            return 1 - 2 / math.pi * (th + math.sin(th) * total)
+        for k in range(df // 2):
+            total += term
+            term *= math.cos(th) ** 2 * (2 * k + 1) / (2 * k + 2)
+        return 1 - math.sin(th) * total
+
+    rows = [(float(t), df) for df in range(1, 61) for t in (0, 0.01, -0.5, 1, 2.2, -5, 40)]
+    frame = spark.createDataFrame(rows, "t double, df long").select("t", "df", t_p_value(F.col("t"), F.col("df")).alias("p"))
+    for r in frame.collect():
+        assert abs(r.p - exact(r.t, r.df)) < 1e-9, r
+    none = spark.createDataFrame([(1.0, 0), (None, 3)], "t double, df long").select(t_p_value(F.col("t"), F.col("df")).alias("p")).collect()
+    assert [r.p for r in none] == [None, None]

@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.statistics import t_p_value
 from tickloom.operators.asof import interpolate
 from tickloom.operators.chunking import distinct_ranks, exact_quantile, number_by_range
 
@@ -145,18 +146,15 @@ def weighted_means(cells: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 
 def paired_difference(cells: DataFrame, base: str, scenario: str = "scenario", on: Sequence[str] = ("window",), value: str = "mean_return_pct") -> DataFrame:
-    """Each scenario against the base on the same windows: mean difference, wins and paired t."""
+    """Each scenario against the base on the same windows: mean difference, wins, paired t and its two-sided p-value."""
     ref = cells.filter(F.col(scenario) == base).select(*on, F.col(value).alias("_base"))
     diff = cells.filter(F.col(scenario) != base).join(ref, list(on)).withColumn("_d", F.col(value) - F.col("_base"))
     n, sd = F.count("_d"), F.stddev_samp("_d")
     t = F.avg("_d") / F.nullif(sd / F.sqrt(n), F.lit(0.0))
     out = diff.groupBy(scenario).agg(
         n.alias("windows"), F.avg("_d").alias("mean_diff"), F.count_if(F.col("_d") > 0).alias("wins"), t.alias("t"))
-    # The two-sided 5 % limit of the t distribution: from its definition for few windows, by its series beyond.
-    df = F.col("windows") - 1
-    series = 1.959964 + 2.372271 / df + 2.822 / (df * df) + 2.56 / (df * df * df)
-    limit = F.when(df.between(1, len(t_limits())), F.try_element_at(F.array(*[F.lit(x) for x in t_limits()]), df.cast("int"))).when(df > 0, series)
-    return out.withColumn("beyond_5pct", F.abs("t") > limit)
+    out = out.withColumn("p_value", t_p_value(F.col("t"), F.col("windows") - 1))
+    return out.withColumn("beyond_5pct", F.col("p_value") < 0.05)
 
 
 @cache

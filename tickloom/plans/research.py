@@ -121,12 +121,14 @@ def weighted_means(spark, sf):
     return rounded(S.weighted_means(cells(spark, sf), ["scenario"], ["avg_net_pct", "win_rate_pct"]))
 
 
-PAIR = "SELECT a.scenario, count(*) AS windows, round(avg(a.mean_return_pct - b.mean_return_pct), 6) + 0.0 AS mean_diff, count(*) FILTER (a.mean_return_pct > b.mean_return_pct) AS wins, round(avg(a.mean_return_pct - b.mean_return_pct) / nullif(stddev_samp(a.mean_return_pct - b.mean_return_pct) / sqrt(count(*)), 0), 4) AS t FROM cells a JOIN cells b ON b.win = a.win AND b.scenario = 'base' WHERE a.scenario <> 'base'"
+PAIR = "SELECT a.scenario, count(*) AS windows, round(avg(a.mean_return_pct - b.mean_return_pct), 6) + 0.0 AS mean_diff, count(*) FILTER (a.mean_return_pct > b.mean_return_pct) AS wins, avg(a.mean_return_pct - b.mean_return_pct) / nullif(stddev_samp(a.mean_return_pct - b.mean_return_pct) / sqrt(count(*)), 0) AS t FROM cells a JOIN cells b ON b.win = a.win AND b.scenario = 'base' WHERE a.scenario <> 'base'"
 
 
-# Two-sided 5 % limits of the t distribution for 1 to 10 degrees of freedom.
-LIMITS = "[12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139]"
-JUDGED = f"{GRID}, pr AS ({PAIR} {{}} GROUP BY a.scenario) SELECT *, abs(t) > {LIMITS}[windows - 1] AS beyond_5pct FROM pr"
+# The p-value by the finite sums for whole degrees of freedom.
+_SUMS = """CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: pow(cos(th), 2 * k + 1) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0::double * j / (2 * j + 1))), 1))) ELSE 0 END)
+  ELSE 1 - sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: pow(cos(th), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0::double * j - 1) / (2 * j))), 1))) END"""
+JUDGED = f"""{GRID}, pr AS ({PAIR} {{}} GROUP BY a.scenario), pv AS (SELECT * EXCLUDE (t), round(t, 4) AS t, {_SUMS} AS p FROM (SELECT *, windows - 1 AS df, atan(abs(t) / sqrt(windows - 1)) AS th FROM pr))
+SELECT * EXCLUDE (df, th, p), round(p, 6) AS p_value, p < 0.05 AS beyond_5pct FROM pv"""
 
 
 @query("paired_diff", JUDGED.format(""))
