@@ -76,6 +76,11 @@ def number_on_grid(
     return _with_offsets(slotted, keys, "_slot", [order])
 
 
+def number_by_slot(df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str]) -> DataFrame:
+    """Add ordinal ``i`` per key for a total order whose ``slot`` grows with it; a task sorts what one key has in one slot."""
+    return _with_offsets(df.withColumn("_slot", slot), keys, "_slot", list(order))
+
+
 def number_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Add ordinal ``i`` per key for any total order (``order`` must break ties itself).
 

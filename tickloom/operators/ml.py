@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.chunking import distinct_ranks, number_by_range
+from tickloom.operators.chunking import distinct_ranks, number_by_range, number_by_slot
 from tickloom.operators.features import FEATURE_COLUMNS, complete_rows, compute_features
 from tickloom.operators.labels import Geometry, barrier_labels, structure_barriers, triple_barrier_labels
 from tickloom.session import durable
@@ -35,21 +35,38 @@ def training_set(bars: DataFrame, timeframe: str, geometry: Geometry, direction:
     return triple_barrier_labels(rows, geometry, direction)
 
 
+def in_time(rows: DataFrame, slot_ms: int = 86_400_000) -> DataFrame:
+    """Rows with the ordinal ``i`` of (ms, symbol): counted per time slot, numbered inside it. Nothing is range-sorted."""
+    return number_by_slot(rows, [], F.floor(F.col("ms") / slot_ms).cast("long"), ["ms", "symbol"])
+
+
 def walk_forward_folds(rows: DataFrame, n_folds: int, purge: int, min_train: int, order: Sequence[str] = ("ms", "symbol")) -> DataFrame:
     """Rows tagged (fold, part): expanding train part, purge gap, test part; the last fold takes the rest.
 
-    ``order`` by time gives true walk-forward folds; order by (symbol, ms) reproduces positional ones.
+    ``order`` by time gives true walk-forward folds; order by (symbol, ms) reproduces positional ones. Which folds a row
+    belongs to follows from its ordinal, so a row is repeated only for these.
     """
-    numbered = number_by_range(rows, [], list(order))
-    total = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    size = F.floor((F.col("_n") - min_train) / n_folds)
-    checked = F.when(size <= 0, F.raise_error(F.lit("not enough rows for the folds"))).otherwise(size)
-    folds = total.select(F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"), checked.cast("long").alias("_size"), "_n")
-    start = F.col("_size") * F.col("fold") + min_train
-    stop = F.when(F.col("fold") == n_folds - 1, F.col("_n")).otherwise(start + F.col("_size"))
-    part = F.when(F.col("i") < start - purge, "train").when((F.col("i") >= start) & (F.col("i") < stop), "test")
-    # n_folds rows on the broadcast side
-    return numbered.crossJoin(F.broadcast(folds)).withColumn("part", part).filter(F.col("part").isNotNull()).drop("_size", "_n")
+    numbered = in_time(rows) if tuple(order) == ("ms", "symbol") else number_by_range(rows, [], list(order))
+    size = fold_size(rows.count(), n_folds, min_train)
+    i = F.col("i")
+    test = F.when(i >= min_train, F.least(F.floor((i - min_train) / size), F.lit(n_folds - 1))).cast("int")
+    trains = F.greatest(F.lit(0), F.floor((i + purge - min_train) / size) + 1).cast("int")
+    every = F.array_append(
+        F.when(trains < n_folds, F.transform(F.sequence(trains, F.greatest(trains, F.lit(n_folds - 1))), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("part"))))
+        .otherwise(F.array().cast("array<struct<fold:int,part:string>>")), F.struct(test.alias("fold"), F.lit("test").alias("part")))
+    tagged = numbered.withColumn("_f", F.explode(every)).filter(F.col("_f.fold").isNotNull())
+    return tagged.select("*", "_f.*").drop("_f")
+
+
+class TooFewRows(ValueError):
+    """A table is too short for the folds asked for."""
+
+
+def fold_size(count: int, n_folds: int, min_train: int) -> int:
+    size = (count - min_train) // n_folds
+    if size <= 0:
+        raise TooFewRows("not enough rows for the folds")
+    return size
 
 
 def classifier(features: Sequence[str] = tuple(FEATURE_COLUMNS), trees: int = 400, seed: int = 7, **overrides) -> Pipeline:
@@ -87,18 +104,23 @@ def train_walk_forward(rows: DataFrame, features: Sequence[str], n_folds: int, p
                        **params) -> tuple[PipelineModel, DataFrame]:
     """Fit and score every fold, then fit on everything; (model, metrics per fold).
 
-    The loop runs over folds; each fit and score is a distributed job.
+    Rows are stored once with their ordinal; a fold's parts are ranges of it. The loop runs over folds; each fit and score
+    is a distributed job.
     """
-    data = durable(walk_forward_folds(complete_rows(rows, features, "label"), n_folds, purge, min_train))
+    data = durable(in_time(complete_rows(rows, features, "label")))
+    count = data.count()
+    size = fold_size(count, n_folds, min_train)
     scored = None
     for fold in range(n_folds):
-        model = classifier(features, **params).fit(data.filter((F.col("fold") == fold) & (F.col("part") == "train")))
-        part = score(model, data.filter((F.col("fold") == fold) & (F.col("part") == "test")), features)
-        part = part.select("fold", "symbol", "ms", "label", "p")
+        start = min_train + fold * size
+        stop = count if fold == n_folds - 1 else start + size
+        model = classifier(features, **params).fit(data.filter(F.col("i") < start - purge))
+        part = score(model, data.filter(F.col("i").between(start, stop - 1)), features)
+        part = part.select(F.lit(fold).alias("fold"), F.lit(start - purge).cast("long").alias("train_size"), "symbol", "ms", "label", "p")
         scored = part if scored is None else scored.unionByName(part)
-    sizes = data.filter("part = 'train'").groupBy("fold").agg(F.count(F.lit(1)).alias("train_size"))
-    metrics = fold_metrics(durable(scored), threshold).join(sizes, "fold")
-    return classifier(features, **params).fit(complete_rows(rows, features, "label")), metrics
+    held = durable(scored)
+    metrics = fold_metrics(held, threshold).join(held.groupBy("fold").agg(F.first("train_size").alias("train_size")), "fold")
+    return classifier(features, **params).fit(data), metrics
 
 
 def save_bundle(model: PipelineModel, path: str, features: Sequence[str], meta: dict) -> None:
