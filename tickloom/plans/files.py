@@ -114,7 +114,7 @@ def state_latest(spark, sf):
     for half in (t.filter(F.col("ms") < CUT), t):
         snap = half.groupBy(F.col("symbol").alias("book")).agg(F.max("ms").alias("updated_ms"), F.max_by("price", F.struct("ts", "event_id")).alias("equity"))
         journals.save_state(snap, path)
-    return rounded(journals.latest_state(journals.load_journal(spark, path, STATE)).select("book", "updated_ms", "equity"))
+    return rounded(journals.load_state(spark, path, STATE).select("book", "updated_ms", "equity"))
 
 
 @query("last_alert", f"WITH {TICKS} SELECT symbol AS book, max(ms) AS ms FROM ticks WHERE event_id % 3 = 0 GROUP BY symbol")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +48,62 @@ def load_books(spark: SparkSession, root: str, file: str, schema: str) -> DataFr
     return tagged.filter(F.col("book") != "portfolio")
 
 
-def save_state(state: DataFrame, path: str) -> None:
-    """Append a snapshot; readers take the newest, so a half-written one is never seen."""
-    state.write.mode("append").json(path)
+_POINTER = "current-"
+
+
+def _listed(spark: SparkSession, path: str):
+    """The folder's file system, its Hadoop path and the names in it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, root, sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number of the newest pointer and the generation that the newest complete one names; (0, None) before the first save."""
+    fs, root, names = _listed(spark, path)
+    pointers = [n for n in names if n.startswith(_POINTER)]
+    for pointer in reversed(pointers):
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(root, pointer))
+        generation = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if generation in names:
+            return int(pointers[-1].removeprefix(_POINTER)), f"{path}/{generation}"
+    return (int(pointers[-1].removeprefix(_POINTER)) if pointers else 0), None
+
+
+def save_state(state: DataFrame, path: str, key: str = "book", at: str = "updated_ms") -> None:
+    """Merges a snapshot into the newest row per key and makes the result the current generation.
+
+    The merged rows go into a folder of their own; then a pointer, a numbered file that names the folder, is created,
+    which is what readers go by. A save that ends before that leaves the old generation current. A number can be taken
+    once, so of two writers at a time the later fails. The generation before stays for readers that are under way; older
+    ones, and what broken saves have left, are removed.
+    """
+    spark = state.sparkSession
+    number, before = _current(spark, path)
+    merged = state if before is None else state.unionByName(spark.read.schema(state.schema).json(before))
+    generation = f"gen{number + 1:010d}_{uuid.uuid4().hex}"
+    latest_state(merged, key, at).write.json(f"{path}/{generation}")
+    fs, root, names = _listed(spark, path)
+    child = lambda name: spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    try:
+        pointer = fs.create(child(f"{_POINTER}{number + 1:010d}"), False)
+    except Py4JJavaError as taken:
+        fs.delete(child(generation), True)
+        raise RuntimeError(f"another writer has saved generation {number + 1} of {path}") from taken
+    pointer.writeBytes(generation)
+    pointer.close()
+    kept = {generation, before.rsplit("/", 1)[1] if before else None}
+    for name in names:
+        stale = name.startswith("gen") and name not in kept and int(name[3:13]) <= number
+        if stale or (name.startswith(_POINTER) and int(name.removeprefix(_POINTER)) < number):
+            fs.delete(child(name), True)
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the current generation, and of that alone; empty before the first save."""
+    _, generation = _current(spark, path)
+    return spark.createDataFrame([], schema) if generation is None else spark.read.schema(schema).json(generation)
 
 
 def latest_state(snapshots: DataFrame, key: str = "book", at: str = "updated_ms") -> DataFrame:
