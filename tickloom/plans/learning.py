@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.timeframes import to_ts
+from tickloom.operators import features as FE
 from tickloom.operators import labels as L
 from tickloom.operators import ml
 from tickloom.operators.chunking import number_on_grid
 from tickloom.operators.features import FEATURE_COLUMNS
 from tickloom.plans import inputs
 from tickloom.plans.common import NUMBERED, SCORED, TICKS, bars_cte, hashed_sql, rounded, shared, to_ts_sql
-from tickloom.plans.market import _label_sql
+from tickloom.plans.market import _feature_sql, _label_sql
+from tickloom.plans.streams import scratch
 from tickloom.plans.trading import scored_bars
 
 QUERIES: dict = {}
@@ -105,6 +107,34 @@ def control_scorers(spark, sf):
     return rounded(out)
 
 
+GEOMETRIES = {"base": L.Geometry(1.5, 2.0, 12), "tight": L.Geometry(1.0, 1.0, 12)}
+BEFORE = [(0, 0, 6), (1, 8, 6)]
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_COLUMNS)
+_BUNDLES = " UNION ALL ".join(f"""SELECT window_id, '{name}' AS geometry, '{d}' AS direction, {g.tp_mult}::double AS tp_atr_mult, {g.sl_mult}::double AS sl_atr_mult, count(*) AS n_samples, round(avg(label), 6) AS base_rate
+  FROM (SELECT symbol, ts, label, lead(epoch_us(ts) // 1000, {g.horizon + 1}) OVER (PARTITION BY symbol ORDER BY ts) AS seen FROM ({_label_sql(d, g.horizon, g.tp_mult, g.sl_mult)})) JOIN fe USING (symbol, ts) JOIN bo USING (symbol)
+  WHERE label IS NOT NULL AND seen < lo GROUP BY window_id""" for name, g in GEOMETRIES.items() for d in ("long", "short"))
+
+
+@query("ml_bundle_round_trip", f"""WITH {TICKS}, {bars_cte('1h')}, wn(window_id, days_back, window_days) AS (VALUES {', '.join(str(w) for w in BEFORE)}),
+bo AS (SELECT symbol, window_id, mx - days_back::bigint * {DAY} AS hi, mx - (days_back + window_days)::bigint * {DAY} AS lo FROM (SELECT symbol, max(ms) AS mx FROM bars GROUP BY 1), wn),
+fe AS MATERIALIZED (SELECT symbol, ts FROM ({_feature_sql()}) WHERE {_COMPLETE}), bu AS ({_BUNDLES}),
+sc AS (SELECT window_id, count(*) AS scored FROM fe JOIN bo USING (symbol) WHERE epoch_us(ts) // 1000 BETWEEN lo AND hi GROUP BY 1)
+SELECT window_id, geometry, direction, tp_atr_mult, sl_atr_mult, n_samples, base_rate, {len(FEATURE_COLUMNS)} AS n_features, '{','.join(FEATURE_COLUMNS)}' AS features, coalesce(scored, 0) AS scored FROM bu LEFT JOIN sc USING (window_id)""")
+def ml_bundle_round_trip(spark, sf):
+    """Both sides and every geometry fitted before each window, saved, loaded and applied to the window's bars."""
+    path, bars = scratch(spark, "bundles"), inputs.bars(spark, sf)
+    bounds = ml.window_bounds(bars, spark.createDataFrame(BEFORE, "window_id int, days_back int, window_days int"))
+    index = ml.fit_bundles(bars, bounds, "1h", GEOMETRIES, path, trees=2, maxDepth=3)
+    inside = FE.compute_features(bars, "1h").join(bounds.select("window_id", "symbol", "lo", "hi"), "symbol").filter(F.col("ms").between(F.col("lo"), F.col("hi")))
+    loaded = [(m["window_id"], m["geometry"], m["direction"], m["tp_atr_mult"], m["sl_atr_mult"], m["n_samples"], m["base_rate"], len(names), ",".join(names))
+              for r in index.collect() for _, names, m in [ml.load_bundle(r.path)]]
+    table = spark.createDataFrame(loaded, "window_id int, geometry string, direction string, tp_atr_mult double, sl_atr_mult double, n_samples long, base_rate double, n_features int, features string")
+    if not loaded:
+        return table.withColumn("scored", F.lit(0).cast("long"))
+    scored = ml.score_bundles(inside, index).groupBy("window_id", "geometry", "direction").agg(F.count("p").alias("scored"))
+    return rounded(table.join(scored, ["window_id", "geometry", "direction"], "left").withColumn("scored", F.coalesce("scored", F.lit(0))))
+
+
 TREES = 12
 
 
