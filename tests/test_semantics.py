@@ -136,12 +136,12 @@ def test_t_probability():
 
 def test_permutations_are_reproducible_and_keep_the_mean(spark):
     rng = np.random.default_rng(1)
-    t = spark.createDataFrame(pd.DataFrame({"window": np.arange(200) % 4, "id": [f"t{k}" for k in range(200)], "prob": rng.uniform(0.5, 1, 200), "r": rng.normal(0, 0.01, 200)}))
+    t = spark.createDataFrame(pd.DataFrame({"window": np.arange(200) % 4, "id": [f"t{k}" for k in range(200)], "prob": rng.uniform(0.5, 1, 200), "r": rng.normal(0, 0.01, 200),
+                                            "signal_ms": rng.integers(0, 10 ** 9, 200)}))
     sized = studies.multipliers(t, 0.75, "p", 0.5)
     assert all(abs(r.m - 1) < 1e-12 for r in sized.groupBy("window").agg(F.avg("mult").alias("m")).collect())
-    order = lambda d, i: F.xxhash64(d, i)
-    a = studies.permutation_gains(sized, 5, 0.1, order).toPandas().sort_values("draw")
-    b = studies.permutation_gains(sized.repartition(7), 5, 0.1, order).toPandas().sort_values("draw")
+    a = studies.permutation_gains(sized, 5, 0.1).toPandas().sort_values("draw")
+    b = studies.permutation_gains(sized.repartition(7), 5, 0.1).toPandas().sort_values("draw")
     np.testing.assert_allclose(a.pp, b.pp)
     assert a.pp.nunique() == 5
 
@@ -226,3 +226,17 @@ def test_p_values_of_t(spark):
         assert abs(r.p - exact(r.t, r.df)) < 1e-9, r
     none = spark.createDataFrame([(1.0, 0), (None, 3)], "t double, df long").select(t_p_value(F.col("t"), F.col("df")).alias("p")).collect()
     assert [r.p for r in none] == [None, None]
+
+
+def test_permuted_is_a_bijection(spark):
+    from pyspark.sql import functions as F
+    from tickloom.functions.permutation import permuted
+    rows = [(n, key) for n in (1, 2, 3, 4, 5, 9, 10, 100, 257) for key in (0, 1, 77, 10 ** 11)]
+    frame = spark.createDataFrame(rows, "n long, key long").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    got = frame.select("n", "key", "k", permuted(F.col("k"), F.col("n"), F.col("key")).alias("v")).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault((r.n, r.key), {})[r.k] = r.v
+    assert all(sorted(v.values()) == list(range(n)) for (n, _), v in seen.items())
+    moved = [v for (n, _), v in seen.items() if n == 257]
+    assert all(sum(k == x for k, x in v.items()) < 12 for v in moved) and len({tuple(v.values()) for v in moved}) == len(moved)

@@ -9,9 +9,10 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.permutation import permuted
 from tickloom.functions.statistics import t_p_value
 from tickloom.operators.asof import interpolate
-from tickloom.operators.chunking import distinct_ranks, exact_quantile, number_by_range
+from tickloom.operators.chunking import distinct_ranks, exact_quantile, number_by_range, number_by_slot
 
 
 def buckets(trades: DataFrame, n_buckets: int, keys: Sequence[str] = ("window", "side"), value: str = "prob", tie: str = "id") -> DataFrame:
@@ -79,16 +80,18 @@ def gain_table(gains: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("windows"))
 
 
-def permutation_gains(sized: DataFrame, draws: int, position_pct: float, order_of) -> DataFrame:
+def permutation_gains(sized: DataFrame, draws: int, position_pct: float, at: str = "signal_ms", slot_ms: int = 86_400_000) -> DataFrame:
     """Mean gain per draw when the multipliers are reshuffled among the trades of a window.
 
-    Position k of one random order takes the multiplier at position k of the fixed order;
-    ``order_of(draw, id)`` is a hash, so a draw is the same on any partitioning.
+    Trades are numbered once per window, by (``at``, id). A draw takes each to the multiplier at its place in a keyed
+    permutation, so it is an equi-join on that place: no copy of the trades is sorted or stored.
     """
-    fixed = number_by_range(sized.select("window", "id", "mult"), ["window"], ["id"]).select("window", "i", "mult")
-    copies = sized.select("window", "id", "r", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    copies = copies.withColumn("_h", order_of(F.col("draw"), F.col("id")))
-    shuffled = number_by_range(copies, ["window", "draw"], ["_h", "id"]).join(fixed, ["window", "i"])
+    numbered = number_by_slot(sized.select("window", "id", at, "r", "mult"), ["window"], F.floor(F.col(at) / slot_ms).cast("long"), [at, "id"])
+    sizes = sized.groupBy("window").agg(F.count(F.lit(1)).alias("_n"))
+    copies = numbered.select("window", "r", "i").join(sizes, "window").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    key = F.col("draw").cast("long") * 1_000_003 + F.col("window")
+    drawn = copies.select("draw", "window", "r", permuted(F.col("i"), F.col("_n"), key).alias("i"))
+    shuffled = drawn.join(numbered.select("window", "i", "mult"), ["window", "i"])
     return sizing_gain(shuffled, position_pct, ["draw", "window"]).groupBy("draw").agg(F.avg("pp").alias("pp"))
 
 

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.permutation import permuted_sql
 from tickloom.functions.scalars import break_even_pct, regime
 from tickloom.operators import labels as L
 from tickloom.operators import outcomes as O
 from tickloom.operators import studies as S
+from tickloom.operators.ml import control_scores, with_scorers
 from tickloom.plans import inputs
-from tickloom.plans.common import TICKS, bars_cte, hashed_sql, rounded, shared
-from tickloom.plans.trading import BASE, RULES, booked, chain_sql, signals
+from tickloom.plans.common import TICKS, bars_cte, hashed_sql, indicators_cte, rounded, shared
+from tickloom.plans.trading import BASE, RULES, booked, chain_sql, scored_bars, signals
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -187,12 +189,56 @@ def sizing_gain(spark, sf):
 DRAWS = 200
 
 
-@query("permutation_null", f"""{RANKED}, fx AS (SELECT win, mp, row_number() OVER (PARTITION BY win ORDER BY id) AS k FROM m1), sh AS (SELECT win, draw, r, row_number() OVER (PARTITION BY win, draw ORDER BY {hashed_sql('draw', 'id')}, id) AS k FROM m1, range(1, {DRAWS + 1}) t(draw)),
-pd AS (SELECT draw, avg(pp) AS pp FROM (SELECT draw, win, sum((mp - 1) * r) * 10 AS pp FROM sh JOIN fx USING (win, k) GROUP BY 1, 2) GROUP BY draw), re AS (SELECT avg(pp) AS real_pp FROM (SELECT sum((mp - 1) * r) * 10 AS pp FROM m1 GROUP BY win))
+@query("permutation_null", f"""{RANKED}, fx AS MATERIALIZED (SELECT win, mp, r, row_number() OVER (PARTITION BY win ORDER BY signal_ms, id) - 1 AS k, count(*) OVER (PARTITION BY win) AS n FROM m1),
+ds AS (SELECT win, draw, r, k AS x, n, draw::bigint * 1000003 + win AS key FROM fx, range(1, {DRAWS + 1}) t(draw)), wk AS ({permuted_sql('ds', 'win, draw, r')}),
+pd AS (SELECT draw, avg(pp) AS pp FROM (SELECT draw, win, sum((mp - 1) * wk.r) * 10 AS pp FROM wk JOIN fx USING (win) WHERE v = k AND v < wk.n GROUP BY 1, 2) GROUP BY draw), re AS (SELECT avg(pp) AS real_pp FROM (SELECT sum((mp - 1) * r) * 10 AS pp FROM m1 GROUP BY win))
 SELECT round(real_pp, 6) AS real_pp, round(avg(pp), 6) AS null_mean_pp, round(stddev_samp(pp), 6) AS null_sd_pp, avg((pp < real_pp)::int) * 100 AS percentile, round((real_pp - avg(pp)) / stddev_samp(pp), 6) AS z, count(*) AS draws FROM pd, re GROUP BY re.real_pp""")
 def permutation_null(spark, sf):
     sized = S.multipliers(pool(spark, sf), 0.75, "p", 0.8)
-    null = S.permutation_gains(sized, DRAWS, 0.1, inputs.hashed)
+    null = S.permutation_gains(sized, DRAWS, 0.1)
+    return rounded(S.against_null(S.sizing_gain(sized, 0.1), null))
+
+
+def _ranks(where: str) -> str:
+    return f"""SELECT *, (rank() OVER (PARTITION BY win ORDER BY prob) + (count(*) OVER (PARTITION BY win, prob) - 1) / 2.0::double) / count(*) OVER (PARTITION BY win) AS u,
+  max(prob) OVER (PARTITION BY win) AS hi FROM pool WHERE {where}"""
+
+
+SEEDS = 6
+
+
+def control_trades(spark, sf):
+    """Trades of the same book under scorers that know nothing, one per seed, in one job."""
+    def build():
+        bars = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
+        rows = with_scorers(bars, {str(k): control_scores("random", 1000 * k) for k in range(1, SEEDS + 1)}).withColumnRenamed("scorer", "seed")
+        rows = rows.withColumn("_s", L.stronger_side("p_long", "p_short", RULES.threshold)).select("*", F.col("_s.side").alias("side"), F.col("_s.p").alias("p_side")).drop("_s")
+        return tag(O.evaluate(rows, RULES, ["seed", "symbol"]))
+    return shared((spark.sparkContext.applicationId, sf, "controls"), build)
+
+
+def _control_sql(seed: int) -> str:
+    p_long, p_short = (hashed_sql(f"'{salt}'", f"'{seed}'", "symbol", "ms") for salt in ("long", "short"))
+    return f"SELECT * FROM ({indicators_cte('1h')}, scored AS (SELECT ind.*, {p_long} AS p_long, {p_short} AS p_short FROM ind), {chain_sql()} SELECT {seed} AS seed, prob, r, {WIN} FROM trades WHERE exit_reason IS NOT NULL)"
+
+
+_SHAPE = "CASE WHEN hi > 0.8 THEN (prob - 0.8::double) / nullif(hi - 0.8::double, 0) ELSE 0.5 END"
+
+
+@query("control_null", f"""WITH pool AS MATERIALIZED (SELECT * FROM ({POOL} SELECT win, prob, r FROM pool)), rl AS ({_ranks('true')}),
+lm AS (SELECT win, u, r, b / avg(b) OVER (PARTITION BY win) AS mult FROM (SELECT *, 1 + 0.75::double * (2 * {_SHAPE} - 1) AS b FROM rl)),
+ref AS (SELECT u AS x, min(mult) AS y_first, max(mult) AS y_last FROM lm GROUP BY u), cp AS MATERIALIZED ({' UNION ALL '.join(_control_sql(1000 * k) for k in range(1, SEEDS + 1))}),
+cr AS (SELECT *, (rank() OVER (PARTITION BY seed, win ORDER BY prob) + (count(*) OVER (PARTITION BY seed, win, prob) - 1) / 2.0::double) / count(*) OVER (PARTITION BY seed, win) AS u FROM cp),
+lo AS (SELECT cr.*, q.x AS lx, q.y_last AS ly FROM cr ASOF LEFT JOIN ref q ON cr.u >= q.x), pl AS (SELECT lo.*, q.x AS hx, q.y_first AS hy FROM lo ASOF LEFT JOIN ref q ON lo.u <= q.x),
+y AS (SELECT seed, win, r, CASE WHEN lx IS NULL THEN hy WHEN hx IS NULL OR lx = u THEN ly ELSE ly + (hy - ly) * (u - lx) / (hx - lx) END AS raw FROM pl),
+m AS (SELECT seed, win, r, raw / avg(raw) OVER (PARTITION BY seed, win) AS mult FROM y),
+pd AS (SELECT seed, avg(pp) AS pp FROM (SELECT seed, win, sum((mult - 1) * r) * 10 AS pp FROM m GROUP BY 1, 2) GROUP BY seed), re AS (SELECT avg(pp) AS real_pp FROM (SELECT sum((mult - 1) * r) * 10 AS pp FROM lm GROUP BY win))
+SELECT round(real_pp, 6) AS real_pp, round(avg(pp), 6) AS null_mean_pp, round(stddev_samp(pp), 6) AS null_sd_pp, avg((pp < real_pp)::int) * 100 AS percentile, round((real_pp - avg(pp)) / stddev_samp(pp), 6) AS z, count(*) AS draws FROM pd, re GROUP BY re.real_pp""")
+def control_null(spark, sf):
+    """The gain of sizing by probability against the same book on scorers that know nothing, with the same distribution of multipliers."""
+    sized = S.multipliers(S.rank_pct(pool(spark, sf), ["window"]), 0.75, "p", 0.8)
+    pinned = S.matched_multipliers(control_trades(spark, sf), sized, ["seed", "window"])
+    null = S.sizing_gain(pinned, 0.1, ["seed", "window"]).groupBy("seed").agg(F.avg("pp").alias("pp"))
     return rounded(S.against_null(S.sizing_gain(sized, 0.1), null))
 
 
@@ -203,11 +249,6 @@ def threshold_cut(spark, sf):
     return rounded(S.weakest_cut(pool(spark, sf), 5, 0.1))
 
 
-def _ranks(where: str) -> str:
-    return f"""SELECT *, (rank() OVER (PARTITION BY win ORDER BY prob) + (count(*) OVER (PARTITION BY win, prob) - 1) / 2.0::double) / count(*) OVER (PARTITION BY win) AS u,
-  max(prob) OVER (PARTITION BY win) AS hi FROM pool WHERE {where}"""
-
-
 @query("pinned_multipliers", f"""{POOL}, lg AS ({_ranks('side > 0')}),
 lm AS (SELECT u, b / avg(b) OVER (PARTITION BY win) AS mult FROM (SELECT *, 1 + 0.75::double * (2 * CASE WHEN hi > 0.8 THEN (prob - 0.8::double) / nullif(hi - 0.8::double, 0) ELSE 0.5 END - 1) AS b FROM lg)),
 ref AS (SELECT u AS x, min(mult) AS y_first, max(mult) AS y_last FROM lm GROUP BY u), sh AS ({_ranks('side < 0')}),
