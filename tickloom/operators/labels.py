@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import clamp_atr, ratio
+from tickloom.functions.scalars import clamp_atr, expected_value, ratio
 from tickloom.operators.chunking import CHUNK, ORD, drop_halo, with_halo
 from tickloom.operators.rolling import rolling
 
@@ -171,7 +171,7 @@ def best_expected_side(
     """
     def option(prefix: str, side: int) -> Column:
         p, r, sl = F.col(f"p_{prefix}"), F.col(f"{prefix}_r"), F.col(f"{prefix}_sl_pct")
-        ev = p * r - (1 - p) - F.lit(cost) / F.greatest(sl, F.lit(1e-9))
+        ev = expected_value(p, r, sl, cost)
         ok = (p >= threshold) & (r >= min_r)
         if min_ev is not None:
             ok = ok & (ev >= min_ev)

@@ -266,10 +266,10 @@ def current_weights(spark, sf):
 
 
 @query("drift", f"""WITH {PORT}, c AS (SELECT *, CASE WHEN total > 0 THEN abs(value / total - weight) * 100 ELSE 0 END AS gap FROM vt)
-SELECT book, round(max(gap), 6) AS max_drift_pp, max(gap) >= 25 OR book % 30 >= 20 AS due FROM c GROUP BY book""")
+SELECT book, round(max(gap), 6) AS max_drift_pp, arg_max(symbol, struct_pack(gap, symbol)) AS worst_symbol, max(gap) >= 25 OR book % 30 >= 20 AS due FROM c GROUP BY book""")
 def drift(spark, sf):
     d = P.drift(valued(spark, sf))
-    return rounded(d.select("book", "max_drift_pp", P.rebalance_due(F.col("book") % 30, F.col("max_drift_pp"), 20, 25.0).alias("due")))
+    return rounded(d.select("book", "max_drift_pp", "worst_symbol", P.rebalance_due(F.col("book") % 30, F.col("max_drift_pp"), 20, 25.0).alias("due")))
 
 
 ORDERS_SQL = f"{PORT}, od AS (SELECT *, weight * total - value AS delta, abs(weight * total - value) / price AS oq FROM vt WHERE price > 0 AND abs(weight * total - value) >= 1)"

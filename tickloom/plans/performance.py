@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import alert_category, open_pnl
+from tickloom.functions.scalars import alert_category, local_clock, open_pnl
 from tickloom.functions.timeframes import epoch_ms, periods_per_year, to_ts
 from tickloom.operators import alerts as A
 from tickloom.operators import bars as B
@@ -248,6 +248,23 @@ def heartbeat_status(spark, sf):
     return t.crossJoin(F.broadcast(now)).select("symbol", A.freshness(F.col("u"), F.col("now"), 300).alias("status"))
 
 
+@query("daily_freshness", """WITH u AS (SELECT p_brand AS symbol, max(l_shipdate::date) AS d FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 GROUP BY 1)
+SELECT symbol, CASE WHEN date_diff('day', d, (SELECT max(d) FROM u)) <= 4 THEN 'fresh' ELSE 'stale' END AS status FROM u""")
+def daily_freshness(spark, sf):
+    """Daily data counts as fresh for four days: the brands' newest full shipments against the newest of all."""
+    lines = inputs.table(spark, sf, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"), epoch_ms(F.to_date("l_shipdate")).alias("ms"))
+    newest = lines.groupBy("p_partkey").agg(F.max("ms").alias("ms")).join(inputs.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol")), "p_partkey")
+    u = newest.groupBy("symbol").agg(F.max("ms").alias("u"))
+    return u.crossJoin(F.broadcast(u.agg(F.max("u").alias("now")))).select("symbol", A.freshness(F.col("u"), F.col("now"), 4 * 86_400).alias("status"))
+
+
+@query("local_hours", "SELECT hour(ts + INTERVAL 1 HOUR)::int AS hour, count(*) AS events, max(ts + INTERVAL 1 HOUR) AS newest FROM events GROUP BY 1")
+def local_hours(spark, sf):
+    """Events by the hour on a local clock (winter time, one hour ahead of UTC)."""
+    local = inputs.table(spark, sf, "events").select(local_clock(F.col("ts").cast("timestamp"), "Europe/Warsaw").cast("timestamp_ntz").alias("at"))
+    return local.groupBy(F.hour("at").alias("hour")).agg(F.count(F.lit(1)).alias("events"), F.max("at").alias("newest"))
+
+
 @query("map_drift", f"""WITH {TICKS}, k AS (SELECT symbol AS book, max(ms) AS ms, max(event_id) AS a, count(*) AS n FROM ticks GROUP BY 1),
 l AS (SELECT book, ms, unnest(['size', 'limit', 'slots']) AS key, unnest([a % 3, n % 5, 4]) AS v FROM k), w AS (SELECT book, unnest(['size', 'limit', 'extra']) AS key, unnest([1, 2, 9]) AS v FROM k)
 SELECT l.book, l.key, l.v::varchar AS live, w.v::varchar AS desired, l.ms > 1706659000000 AS stuck FROM l JOIN w USING (book, key) WHERE l.v <> w.v""")

@@ -41,15 +41,16 @@ SCENARIOS = {
 }
 
 
-def grid(spark, sf):
+def grid(spark, sf, scenarios=None, name="grid"):
+    """Trades of every scenario, by window, in one job."""
     def build():
         names = ["scenario", "tp_mult", "sl_mult", "threshold", "slippage", "taker_fee"]
-        table = spark.createDataFrame([(k, *v) for k, v in SCENARIOS.items()], names)
+        table = spark.createDataFrame([(k, *v) for k, v in (scenarios or SCENARIOS).items()], names)
         scored = signals(spark, sf).drop("side", "p_side").crossJoin(F.broadcast(table))
         side = L.stronger_side("p_long", "p_short", F.col("threshold"))
         scored = scored.withColumn("_s", side).select("*", F.col("_s.side").alias("side"), F.col("_s.p").alias("p_side")).drop("_s")
         return tag(O.evaluate(scored, RULES, ["scenario", "symbol"]))
-    return shared((spark.sparkContext.applicationId, sf, "grid"), build)
+    return shared((spark.sparkContext.applicationId, sf, name), build)
 
 
 def tag(trades):
@@ -63,9 +64,10 @@ def pool(spark, sf):
 
 WIN = f"((signal_ms - {T0}) // {SPAN})::int AS win, symbol || '#' || entry_i AS id"
 POOL = f"{BASE}, {chain_sql()}, pool AS (SELECT *, {WIN} FROM trades WHERE exit_reason IS NOT NULL)"
-GRID = "WITH grid AS (" + " UNION ALL ".join(
+def grid_sql(scenarios) -> str:
+    return "WITH grid AS (" + " UNION ALL ".join(
     f"SELECT * FROM ({BASE}, {chain_sql(thr, 12, tp, sl, slip, fee)} SELECT '{k}' AS scenario, symbol, side, prob, exit_reason, pnl, r, gross_r, cost_r, {WIN} FROM trades WHERE exit_reason IS NOT NULL)"
-    for k, (tp, sl, thr, slip, fee) in SCENARIOS.items()) + f"""),
+    for k, (tp, sl, thr, slip, fee) in scenarios.items()) + f"""),
 ps AS (SELECT scenario, win, symbol, count(*) AS n, sum(pnl) / 100 AS ret, sum((pnl > 0)::int) AS won, sum(gross_r) AS g, sum(r) AS r, sum(cost_r) AS c, sum((side < 0)::int) AS sh FROM grid GROUP BY ALL),
 cells AS (SELECT scenario, win, count(*) AS pairs, sum(n)::bigint AS n_trades, avg(ret) AS mean_return_pct, count(*) FILTER (ret > 0) AS pairs_positive, sum(won) / sum(n) * 100 AS win_rate_pct, sum(g) / sum(n) * 100 AS avg_gross_pct,
   sum(r) / sum(n) * 100 AS avg_net_pct, sum(c) / sum(n) * 100 AS avg_cost_pct, sum(sh) / sum(n) * 100 AS short_share_pct FROM ps GROUP BY ALL),
@@ -73,6 +75,9 @@ cells AS (SELECT scenario, win, count(*) AS pairs, sum(n)::bigint AS n_trades, a
 rg AS (SELECT win, avg(bh) AS bh, CASE WHEN avg(bh) > 5 THEN 'up' WHEN avg(bh) < -5 THEN 'down' ELSE 'flat' END AS regime FROM bw GROUP BY win), full_cells AS (SELECT cells.*, regime, bh FROM cells JOIN rg USING (win))"""
 
 
+GRID = grid_sql(SCENARIOS)
+
+
 def regimes(spark, sf):
     b = inputs.bars(spark, sf)
     per = b.groupBy("symbol", F.floor((F.col("ms") - T0) / SPAN).cast("int").alias("window")).agg(
@@ -129,17 +134,17 @@ PAIR = "SELECT a.scenario, count(*) AS windows, round(avg(a.mean_return_pct - b.
 # The p-value by the finite sums for whole degrees of freedom.
 _SUMS = """CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: pow(cos(th), 2 * k + 1) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0::double * j / (2 * j + 1))), 1))) ELSE 0 END)
   ELSE 1 - sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: pow(cos(th), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0::double * j - 1) / (2 * j))), 1))) END"""
-JUDGED = f"""{GRID}, pr AS ({PAIR} {{}} GROUP BY a.scenario), pv AS (SELECT * EXCLUDE (t), round(t, 4) AS t, {_SUMS} AS p FROM (SELECT *, windows - 1 AS df, atan(abs(t) / sqrt(windows - 1)) AS th FROM pr))
+JUDGED_SQL = "{grid}, pr AS ({pair} GROUP BY a.scenario), pv AS (SELECT * EXCLUDE (t), round(t, 4) AS t, " + _SUMS + """ AS p FROM (SELECT *, windows - 1 AS df, atan(abs(t) / sqrt(windows - 1)) AS th FROM pr))
 SELECT * EXCLUDE (df, th, p), round(p, 6) AS p_value, p < 0.05 AS beyond_5pct FROM pv"""
 
 
-@query("paired_diff", JUDGED.format(""))
+@query("paired_diff", JUDGED_SQL.format(grid=GRID, pair=PAIR))
 def paired_diff(spark, sf):
     out = S.paired_difference(cells(spark, sf), "base").withColumn("t", F.round("t", 4))
     return rounded(out, skip=("t",))
 
 
-@query("holdout_pairs", JUDGED.format("AND a.win % 3 <> 0"))
+@query("holdout_pairs", JUDGED_SQL.format(grid=GRID, pair=PAIR + " AND a.win % 3 <> 0"))
 def holdout_pairs(spark, sf):
     c = cells(spark, sf)
     selection = c.select("window").distinct().filter(F.col("window") % 3 == 0)
@@ -147,6 +152,31 @@ def holdout_pairs(spark, sf):
     return rounded(out, skip=("t",))
 
 
+THRESHOLDS = {f"at_{int(100 * thr)}": (1.5, 2.0, thr, 0.0002, 0.001) for thr in (0.7, 0.75, 0.8, 0.85, 0.9)}
+
+
+@query("threshold_sweep", JUDGED_SQL.format(grid=grid_sql(THRESHOLDS), pair=PAIR.replace("'base'", "'at_80'")))
+def threshold_sweep(spark, sf):
+    """Fixed thresholds, each against the base one on the same windows."""
+    per_window = S.out_of_sample(grid(spark, sf, THRESHOLDS, "thresholds"), ["scenario", "window"], RULES.initial)
+    return rounded(S.paired_difference(per_window, "at_80").withColumn("t", F.round("t", 4)), skip=("t",))
+
+
+TPS, SLS = (1.0, 1.5, 2.0), (1.0, 1.5, 2.0)
+GEOMETRIES = {f"{tp}x{sl}": (tp, sl, 0.8, 0.0002, 0.001) for tp in TPS for sl in SLS}
+
+
+@query("tp_sl_grid", f"""{grid_sql(GEOMETRIES)}, e AS (SELECT split_part(scenario, 'x', 1)::double AS tp_mult, split_part(scenario, 'x', 2) AS sl, avg((pnl > 0)::int) * 100 - split_part(scenario, 'x', 2)::double / (split_part(scenario, 'x', 1)::double + split_part(scenario, 'x', 2)::double) * 100 AS edge FROM grid GROUP BY scenario)
+SELECT tp_mult, {', '.join(f"round(max(edge) FILTER (sl = '{sl}'), 6) + 0.0 AS sl_{str(sl).replace('.', '_')}" for sl in SLS)} FROM e GROUP BY tp_mult""")
+def tp_sl_grid(spark, sf):
+    """Edge over break-even of every target and stop: targets down, stops across."""
+    g = grid(spark, sf, GEOMETRIES, "geometries")
+    edge = F.avg((F.col("pnl") > 0).cast("int")) * 100 - F.first(break_even_pct(F.col("tp_mult"), F.col("sl_mult")))
+    cells_ = g.groupBy("tp_mult", "sl_mult").agg(edge.alias("edge"))
+    wide = cells_.groupBy("tp_mult").pivot("sl_mult", list(SLS)).agg(F.first("edge"))
+    return rounded(wide.select("tp_mult", *[F.col(f"`{sl}`").alias(f"sl_{str(sl).replace('.', '_')}") for sl in SLS]))
+
+
 @query("regime_pivot", f"{GRID} SELECT scenario, round(avg(mean_return_pct) FILTER (regime = 'up'), 6) AS up, round(avg(mean_return_pct) FILTER (regime = 'down'), 6) AS down, round(avg(mean_return_pct) FILTER (regime = 'flat'), 6) AS flat FROM full_cells GROUP BY scenario")
 def regime_pivot(spark, sf):
     return rounded(cells(spark, sf).groupBy("scenario").pivot("regime", ["up", "down", "flat"]).agg(F.avg("mean_return_pct")))
