@@ -148,6 +148,42 @@ def test_pieces_equal_the_library(spark):
     assert len(rows) == 15 and suffix_pieces.encode_documents(empty(spark), PIECES).count() == 0
 
 
+def test_long_runs_equal_the_library():
+    import base64
+    import random
+    import time
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), suffix_pieces.Pieces(PIECES)
+    rng = random.Random(5)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    texts = [letters, base64.b64encode(rng.randbytes(60_000)).decode(), "我喜欢你。今天天气很好！" * 2000, "ab" * 40_000, "x" * 70_000, "é🙂" * 5000 + letters[:100],
+             " ".join([letters[:300], "short words", letters[300:700], "中文" * 100])]
+    for text in texts:
+        began = time.process_time()
+        own = pieces.encode([text])[0].tolist()
+        assert time.process_time() - began < 5 and own == model.encode(text), text[:20]
+    assert [x.tolist() for x in pieces.encode(texts)] == [model.encode(x) for x in texts]
+
+
+def test_trees_agree_with_the_merges():
+    pieces = suffix_pieces.Pieces.of(PIECES)
+
+    def merged(symbols):
+        while len(symbols) > 1:
+            best = min((pieces.rank.get(a + b, (np.inf,))[0], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])))
+            if best[0] == np.inf:
+                break
+            symbols[best[1]:best[1] + 2] = ["".join(symbols[best[1]:best[1] + 2])]
+        return symbols
+
+    rng = np.random.default_rng(2)
+    ids = rng.choice(pieces.ids, 3000)
+    assert all(pieces.made[k] == (merged(list(pieces.texts[k])) == [pieces.texts[k]]) for k in ids.tolist())
+    left = ids[pieces.made[ids]]
+    right = rng.permutation(left)
+    for a, b, apart in zip(left.tolist(), right.tolist(), pieces.follows(left, right).tolist()):
+        assert apart == (merged(list(pieces.texts[a] + pieces.texts[b])) == [pieces.texts[a], pieces.texts[b]])
+
+
 def test_suffix_ranges():
     pieces = suffix_pieces.Pieces.of(PIECES)
     text = "▁the▁other▁theatre"

@@ -26,6 +26,7 @@ from tickloom.llm.words import mix
 
 MARK = "▁"
 MOST_WORDS, TEXTS, _SLOT_BITS = 300_000, 1000, 21
+FEW, STRETCH = 64, 1 << 16  # words that are still relaxed together; positions of a long word whose pairs are judged at once
 
 
 class Pieces:
@@ -57,8 +58,8 @@ class Pieces:
         # Marks and what follows them up to the next mark, parted at line ends and tabs that are no pieces: nothing merges across.
         apart = "".join(c for c in "\n\r\t" if not any(c in p for p in self.rank))
         self.runs = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + (f"|[{apart}]" if apart else ""))
-        self.pairs: dict[int, bool] = {}
-        # The verdicts used last, by a hash of the pair; all that were made are in ``pairs``.
+        self._grow_trees()
+        # The verdicts used last, by a hash of the pair.
         self.slot_keys, self.slot_values = np.full(1 << _SLOT_BITS, -1), np.zeros(1 << _SLOT_BITS, bool)
         self.store = WordStore(self.learn, MOST_WORDS)
 
@@ -68,25 +69,78 @@ class Pieces:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The merges themselves on a short row of symbols: the best-scored neighbours first, leftmost on ties."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best = min(((self.rank.get(a + b, (np.inf,))[0], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))))
-            if best[0] == np.inf:
-                break
-            symbols[best[1]:best[1] + 2] = ["".join(symbols[best[1]:best[1] + 2])]
-        return symbols
+    def _grow_trees(self) -> None:
+        """How the merges make every piece: what stands at its left and right edge, and until when.
+
+        ``left_edge[id]`` lists the pieces that begin the piece while it is being made, from its first character to
+        itself, and ``left_until`` the time of the merge that ends each (never, for the piece itself); so do ``right_edge``
+        and ``right_until`` for its end. Time is the rank of a merge, the best score first. A piece that its own merges do
+        not end in is not ``made``.
+        """
+        order = sorted(self.rank, key=self.rank.get)
+        count, never = len(self.texts), len(order)
+        time = np.full(count, never)
+        for k, piece in enumerate(order):
+            time[self.rank[piece][1]] = k if len(piece) > 1 else -1
+        splits = [(self.rank[p[:k]][1], self.rank[p[k:]][1], self.rank[p][1]) for p in order for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank]
+        left, right, whole = np.array(splits, np.int64).reshape(-1, 3).T
+        keys = left << 32 | right
+        by_key = np.argsort(keys)
+        self.pair_keys, self.pair_times = keys[by_key], time[whole[by_key]]
+        self.never = never
+        depth = self.width + 1
+        self.left_edge, self.right_edge = np.zeros((count, depth), np.int64), np.zeros((count, depth), np.int64)
+        self.left_until, self.right_until = np.full((count, depth), never), np.full((count, depth), never)
+        self.made = np.zeros(count, bool)
+        own = np.fromiter((self.rank[p][1] for p in order), np.int64, never)
+        single = own[np.fromiter(map(len, order), np.int64, never) == 1]
+        self.made[single] = True
+        self.left_edge[single, 0] = self.right_edge[single, 0] = single
+        size, born = np.fromiter(map(len, self.texts), np.int64, count), np.full(count, -1)
+        for n in range(2, self.width + 1):
+            of = np.flatnonzero((size[whole] == n) & self.made[left] & self.made[right])
+            of = of[self._apart(left[of], right[of], False)]
+            made, x, y = whole[of], left[of], right[of]
+            self.made[made] = True
+            born[made] = np.maximum(time[made], np.maximum(born[x], born[y]))
+            for edge, until, part in ((self.left_edge, self.left_until, x), (self.right_edge, self.right_until, y)):
+                top = (until[part] < never).sum(axis=1)
+                edge[made], until[made] = edge[part], until[part]
+                until[made, top] = born[made]
+                edge[made, top + 1] = made
+
+    def _apart(self, left: np.ndarray, right: np.ndarray, whole: bool) -> np.ndarray:
+        """Whether no merge crosses the border between two made pieces while both are being made, and, with ``whole``, none
+        after that. Pieces that meet there are gone through in time: of two merges at one time the left one comes first."""
+        i, j = np.zeros(left.size, np.int64), np.zeros(left.size, np.int64)
+        apart = np.ones(left.size, bool)
+        open_ = np.arange(left.size)
+        while open_.size:
+            a, b, p, q = left[open_], right[open_], i[open_], j[open_]
+            until_a, until_b = self.right_until[a, p], self.left_until[b, q]
+            key = self.right_edge[a, p] << 32 | self.left_edge[b, q]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), self.pair_keys.size - 1)
+            merge = np.where(self.pair_keys[at] == key, self.pair_times[at], self.never)
+            done = (until_a == self.never) & (until_b == self.never)
+            crossed = (merge < until_a) & (merge <= until_b) & (merge < self.never)
+            if not whole:
+                crossed &= ~done
+            apart[open_[crossed]] = False
+            step = until_a <= until_b
+            i[open_] += step
+            j[open_] += ~step
+            open_ = open_[~(done | crossed)]
+        return apart
 
     def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the merges, given both pieces' text, end in just these two; with -1 at the right, whether they can make the left at all."""
-        keys = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+        """Whether the merges, given the text of two made pieces, end in just these two."""
+        keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
         slots = (mix(keys.view(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         out = self.slot_values[slots]
         missing = np.flatnonzero(self.slot_keys[slots] != keys)
         if missing.size:
             new, place = np.unique(keys[missing], return_inverse=True)
-            found = np.fromiter(map(self._follows, new.tolist()), bool, new.size)
+            found = self._apart(new >> 32, new & 0xFFFFFFFF, True)
             out[missing] = found[place]
             at = (mix(new.view(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
             self.slot_keys[at], self.slot_values[at] = new, found
@@ -95,15 +149,34 @@ class Pieces:
                 self.slot_values[list(last)] = list(last.values())
         return out
 
-    def _follows(self, key: int) -> bool:
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 10 * MOST_WORDS:
-                self.pairs.clear()
-            a, b = key >> 32, key & 0xFFFFFFFF
-            texts = [self.texts[a]] if b == 0xFFFFFFFF else [self.texts[a], self.texts[b]]
-            known = self.pairs[key] = self.merged(list("".join(texts))) == texts
-        return known
+    def _relax_rest(self, begin: int, after: int, length: int, edges: tuple[np.ndarray, ...], spelled: np.ndarray, state: tuple[np.ndarray, ...]) -> None:
+        """Relaxes the positions behind the first ``after`` of one very long word, in the order of its edges' ends.
+
+        A stretch at a time, all pairs of pieces that meet in it are judged at once; what is left for each edge is a look-up."""
+        back, last, fresh = (x[begin:begin + length + 1].tolist() for x in state)
+        start, end, ids = edges
+        plain = spelled[begin:begin + length].tolist()
+        for low in range(after, length, STRETCH):
+            high = min(length, low + STRETCH)
+            a, b = np.searchsorted(end, [begin + low, begin + high], "right")
+            first, behind = np.searchsorted(end, start[a:b], "left"), np.searchsorted(end, start[a:b], "right")
+            first[start[a:b] == begin] = behind[start[a:b] == begin]
+            sizes = behind - first
+            left = ids[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+            meet = np.unique(left << 32 | np.repeat(ids[a:b], sizes))
+            verdicts = dict(zip(meet.tolist(), self._apart(meet >> 32, meet & 0xFFFFFFFF, True).tolist()))
+            starts, ends, own = (start[a:b] - begin).tolist(), (end[a:b] - begin).tolist(), ids[a:b].tolist()
+            k = 0
+            for r in range(low + 1, high + 1):
+                while k < len(ends) and ends[k] == r:
+                    at = starts[k]
+                    if fresh[at] or (back[at] >= 0 and verdicts[last[at] << 32 | own[k]]):
+                        back[r], last[r] = at + begin, own[k]
+                    k += 1
+                if back[r] < 0 and not plain[r - 1]:
+                    fresh[r] = True
+        for x, values in zip(state, (back, last, fresh)):
+            x[begin:begin + length + 1] = values
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and id of every occurrence of every piece in ``codes``, sorted by end and then by start."""
@@ -130,28 +203,30 @@ class Pieces:
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of distinct words, each a run of marks and then characters without one.
 
-        All words are relaxed together, one position of every word after the other. Characters that are no piece by
-        themselves part a word, as nothing merges with them; the encoding starts anew behind them.
+        All words are relaxed together, one position of every word after the other, until few are left; these go on one by
+        one. Characters that are no piece by themselves part a word, as nothing merges with them; the encoding starts anew
+        behind them.
         """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         start, end, ids = self.edges(text)
+        start, end, ids = (x[self.made[ids]] for x in (start, end, ids))
         depth = end - begin[np.searchsorted(begin, start, "right") - 1]
-        some, place = np.unique(ids, return_inverse=True)
-        made = self.follows(some, np.full(some.size, -1))[place] | (end - start == 1) if some.size else np.zeros(0, bool)
         longest = int(lengths.max(initial=0))
-        order = np.argsort(depth[made].astype(np.int16 if longest < 1 << 15 else np.int64), kind="stable")
-        start, end, ids, depth = (x[made][order] for x in (start, end, ids, depth))
+        by_length = np.argsort(lengths, kind="stable")
+        ordered = lengths[by_length]
+        together = min(longest, max(FEW, int(ordered[-FEW - 1]) if ordered.size > FEW else 0))
+        early = np.flatnonzero(depth <= together)
+        early = early[np.argsort(depth[early].astype(np.int16 if together < 1 << 15 else np.int64), kind="stable")]
         spelled = self.single[np.minimum(np.searchsorted(self.single, text), self.single.size - 1)] == text
         last, back = np.full(text.size + 1, -1), np.full(text.size + 1, -1)
         fresh = np.zeros(text.size + 1, bool)
         fresh[begin] = True
-        cuts = np.searchsorted(depth, np.arange(1, longest + 2))
-        by_length = np.argsort(lengths, kind="stable")
-        ordered = lengths[by_length]
-        for r in range(1, longest + 1):
-            s, e, i = (x[cuts[r - 1]:cuts[r]] for x in (start, end, ids))
+        cuts = np.searchsorted(depth[early], np.arange(1, together + 2))
+        first_start, first_end, first_ids = start[early], end[early], ids[early]
+        for r in range(1, together + 1):
+            s, e, i = (x[cuts[r - 1]:cuts[r]] for x in (first_start, first_end, first_ids))
             good = fresh[s].copy()
             inner = np.flatnonzero(~good & (back[s] >= 0))
             if inner.size:
@@ -159,22 +234,42 @@ class Pieces:
             back[e[good]], last[e[good]] = s[good], i[good]
             ends = begin[by_length[np.searchsorted(ordered, r):]] + r
             fresh[ends[(back[ends] < 0) & ~spelled[ends - 1]]] = True
+        long = by_length[np.searchsorted(ordered, together, "right"):]
+        for w in long.tolist():
+            a, b = np.searchsorted(end, [begin[w], begin[w] + lengths[w]], "right")
+            self._relax_rest(int(begin[w]), together, int(lengths[w]), (start[a:b], end[a:b], ids[a:b]), spelled, (back, last, fresh))
         # From the ends of all words back to their beginnings, one piece or unknown character of each at a time.
-        at, word = begin + lengths, np.arange(len(words))
-        turns: list[tuple[np.ndarray, np.ndarray]] = []
+        turns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for w in long.tolist():
+            path = self._traced(int(begin[w]), int(lengths[w]), text, back, last)
+            turns.append((np.full(path.size, w), path, np.arange(path.size)))
+        short = by_length[:by_length.size - long.size]
+        at, word, turn = begin[short] + lengths[short], short, 0
+        at, word = at[at > begin[word]], word[at > begin[word]]
         while word.size:
             step = back[at] >= 0
-            turns.append((word, np.where(step, last[at], -1 - text[at - 1])))
+            turns.append((word, np.where(step, last[at], -1 - text[at - 1]), np.full(word.size, turn)))
             at = np.where(step, back[at], at - 1)
             open_ = at > begin[word]
-            at, word = at[open_], word[open_]
-        owner = np.concatenate([w for w, _ in turns]) if turns else np.zeros(0, np.int64)
-        found = np.concatenate([x for _, x in turns]) if turns else np.zeros(0, np.int64)
-        turn = np.repeat(np.arange(len(turns)), [w.size for w, _ in turns])
-        order = np.argsort(owner * (len(turns) + 1) - turn)
+            at, word, turn = at[open_], word[open_], turn + 1
+        owner, found, turn_ = (np.concatenate(x) for x in zip(*turns)) if turns else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(owner * (int(turn_.max(initial=0)) + 1) - turn_)
         owner, found = owner[order], found[order]
         return self._spelled_out(found, owner, len(words))
 
+    def _traced(self, begin: int, length: int, text: np.ndarray, back: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The pieces (or unknown characters, below zero) of one long word, from its end to its beginning."""
+        own_back, own_last, chars = (x[begin:begin + length + 1].tolist() for x in (back, last, text))
+        out, at = [], length
+        while at:
+            if own_back[at] >= 0:
+                out.append(own_last[at])
+                at = own_back[at] - begin
+            else:
+                out.append(-1 - chars[at - 1])
+                at -= 1
+        return np.array(out, np.int64)
+
     def _spelled_out(self, found: np.ndarray, owner: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of words, with unknown characters (below zero) as their bytes."""
         odd = np.flatnonzero(found < 0)
