@@ -10,6 +10,9 @@ from tickloom.operators import outcomes, windows
 from tickloom.operators.chunking import number_on_grid
 from tickloom.operators.features import with_indicators
 from tickloom.operators.labels import Geometry, stronger_side
+from tickloom.plans import inputs
+from tickloom.plans import windows as plans
+from tickloom.plans.common import forget_shared
 from pyspark.sql import functions as F
 
 SPANS = [(0, "A", 0, 399), (1, "A", 120, 330), (2, "A", 130, 131), (3, "A", 200, 200), (4, "A", 20, 90), (0, "B", 5, 399), (1, "B", 47, 97), (2, "B", 390, 399)]
@@ -70,3 +73,27 @@ def test_no_window_and_no_bar(tiny_chunks):
     none = tiny_chunks.createDataFrame([], "window_id int, symbol string, first long, last long")
     assert windows.window_trades(rows, none, rules).count() == 0
     assert windows.window_trades(rows.limit(0), none, rules).count() == 0
+
+
+def test_legs_only_where_a_window_reaches(tiny_chunks, monkeypatch):
+    rows = scored(tiny_chunks, [walk_bars(400, 3, "A"), walk_bars(400, 8, "B")])
+    rules = outcomes.Rules(Geometry(1.5, 2.0, 9), threshold=0.7)
+    spans = tiny_chunks.createDataFrame([(0, "A", 100, 130), (1, "A", 120, 150)], "window_id int, symbol string, first long, last long")
+    seen, whole = [], windows.legs
+
+    def counted(df, *args):
+        seen.append({(r.symbol, r.i) for r in df.select("symbol", "i").collect()})
+        return whole(df, *args)
+
+    monkeypatch.setattr(windows, "legs", counted)
+    assert windows.window_trades(rows, spans, rules).count() > 0
+    assert seen == [{("A", i) for i in range(100, 150 + rules.reach + 1)}]
+
+
+def test_held_out_reads_ticks_once(spark, monkeypatch):
+    calls, ticks = [], inputs.ticks
+    monkeypatch.setattr(inputs, "ticks", lambda *args: calls.append(args) or ticks(*args))
+    forget_shared()
+    assert plans.held_out(spark, "/root/testdata/sf0.001").count() == len(plans.SCORERS)
+    assert len(calls) == 1
+    forget_shared()

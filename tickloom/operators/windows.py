@@ -2,7 +2,8 @@
 
 Every leg knows the leg that is taken after it. Jump tables say which leg comes 1, 2, 4 ... legs later; each is the one
 before joined with itself. The legs of a window are found by doubling: what is known of its path is joined with the next
-jump table, so a path of n legs takes about log2(n) joins, whatever the number of windows, and no bar is walked.
+jump table, so a path of n legs takes about log2(n) joins, whatever the number of windows, and no bar is walked. Legs are
+made only for bars that a window can reach, so the table grows with the windows and not with the history before them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ def window_ordinals(numbered: DataFrame, bounds: DataFrame, keys: Sequence[str]
     return inside.groupBy(*by, *keys).agg(F.min("i").alias("first"), F.max("i").alias("last"), held.alias("buy_hold_pct"))
 
 
+def window_bars(numbered: DataFrame, spans: DataFrame, ahead: int = 0, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Bars from a key's first window to its last one and ``ahead`` bars after it; a key without a window has none."""
+    reached = spans.groupBy(*keys).agg(F.min("first").alias("_first"), F.max("last").alias("_last"))
+    near = numbered.join(reached, list(keys)).filter(F.col("i").between(F.col("_first"), F.col("_last") + ahead))
+    return near.drop("_first", "_last")
+
+
 def next_signal(wanted: DataFrame, signals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``wanted`` (keys, x) with the first signal's ordinal ``at_i`` at or after ``x``; NULL when there is none."""
     left = wanted.withColumn("_at", -F.col("x"))
@@ -60,14 +68,17 @@ def window_legs(nodes: DataFrame, spans: DataFrame, keys: Sequence[str] = ("symb
         return frame.filter((at < F.col("last")) | ((at == F.col("last")) & (F.col("code").bitwiseAND(F.lit(3)) != FLAT)))
 
     starts = spans.withColumn("x", F.col("first")).join(found, [*keys, "x"]).filter("at_i is not null")
-    path = durable(valid(starts.select(*by, *keys, "last", (F.col("at_i") * 4).alias("code"))))
-    while True:
-        moved = durable(valid(path.join(jump, [*keys, "code"]).select(*by, *keys, "last", F.col("to").alias("code"))))
-        if moved.isEmpty():
-            break
-        path = durable(path.unionByName(moved))
-        twice = jump.join(jump.select(*keys, F.col("code").alias("to"), F.col("to").alias("_far")), [*keys, "to"])
-        jump = durable(twice.select(*keys, "code", F.col("_far").alias("to")))
+    moved = durable(valid(starts.select(*by, *keys, "last", (F.col("at_i") * 4).alias("code"))))
+    path = None
+    while not moved.isEmpty():
+        path = moved if path is None else path.unionByName(moved)
+        # one join moves the windows' legs and the table's own on; dealt first, so that parts do not add up over the rounds
+        known = path.withColumnRenamed("code", "to").unionByName(jump.withColumnRenamed("code", "_from"), allowMissingColumns=True)
+        far = jump.select(*keys, F.col("code").alias("to"), F.col("to").alias("_far"))
+        both = durable(known.repartition(*keys, "to").join(far, [*keys, "to"]).drop("to"))
+        moved = valid(both.filter("_from is null").select(*by, *keys, "last", F.col("_far").alias("code")))
+        jump = both.filter("_from is not null").select(*keys, F.col("_from").alias("code"), F.col("_far").alias("to"))
+    path = moved if path is None else path
     return path.select(*by, *keys, "last", F.shiftright("code", 2).alias("i"), F.col("code").bitwiseAND(F.lit(3)).cast("int").alias("kind"))
 
 
@@ -75,7 +86,7 @@ def window_trades(scored: DataFrame, spans: DataFrame, rules: Rules, keys: Seque
     """Booked trades of every window and key, each from a fresh account; ``exit_reason`` is NULL for a position that is
     open at the window's end."""
     keys, by = list(keys), list(by)
-    nodes = durable(legs(scored, rules, keys))
+    nodes = durable(legs(window_bars(scored, spans, rules.reach, keys), rules, keys))
     taken = nodes.join(window_legs(nodes, spans, keys, by), [*keys, "i"])
     cut = {}
     for leg in ("e", "l", "s"):

@@ -13,6 +13,7 @@ from tickloom.operators.chunking import number_on_grid
 from tickloom.plans import inputs
 from tickloom.plans.common import hashed_sql, indicators_cte, rounded, shared, to_ts_sql
 from tickloom.plans.trading import BASE, DAY, H1, RULES, leg_sql, scored_bars, signals
+from tickloom.session import durable
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -112,14 +113,17 @@ SCORERS = {
 def held_out(spark, sf):
     """One row per scorer: mean return over the symbols, trades; every scorer sees the same bars and costs."""
     def build():
-        bars = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
+        # numbered already: windows, signals and curves all come from these bars, so the ticks are read once
+        scored = shared((spark.sparkContext.applicationId, sf, "scored"), lambda: scored_bars(spark, sf))
+        bounds = ml.window_bounds(scored, spark.createDataFrame(HOLDOUT, "window_id int, days_back int, window_days int"))
+        windows = durable(OW.window_ordinals(scored, bounds))
+        bars = durable(OW.window_bars(scored, windows, RULES.reach).repartition("symbol", "i"))
         scores = {"candidate": (F.col("p_long"), F.col("p_short"))} | {kind: ml.control_scores(kind, 7) for kind in CONTROLS}
         rows = ml.with_scorers(bars, scores)
         rows = rows.withColumn("_s", L.stronger_side("p_long", "p_short", RULES.threshold)).select("*", F.col("_s.side").alias("side"), F.col("_s.p").alias("p_side")).drop("_s")
-        numbered, table = number_on_grid(inputs.bars(spark, sf), ["symbol"], H1), spark.createDataFrame(HOLDOUT, "window_id int, days_back int, window_days int")
-        found = OW.window_ordinals(numbered, ml.window_bounds(numbered, table)).withColumn("scorer", F.explode(F.array(*[F.lit(name) for name in scores])))
+        found = windows.withColumn("scorer", F.explode(F.array(*[F.lit(name) for name in scores])))
         keys = ("scorer", "symbol")
-        booked = OW.window_trades(rows, found, RULES, keys).persist()
+        booked = durable(OW.window_trades(rows, found, RULES, keys))
         curves = OW.window_curves(rows.select("scorer", "symbol", "i", "ms", "close"), found, booked, RULES, keys)
         return OW.window_runs(found, booked, curves, RULES, periods_per_year("1h"), ("symbol",), ("scorer", "window_id"))
     return shared((spark.sparkContext.applicationId, sf, "held_out"), build)
