@@ -6,11 +6,11 @@ import pytest
 from walks import fold, walk_bars
 
 from tickloom.functions.scalars import Costs
-from tickloom.operators import outcomes, windows
+from tickloom.operators import features, ml, outcomes, windows
 from tickloom.operators.chunking import number_on_grid
 from tickloom.operators.features import with_indicators
 from tickloom.operators.labels import Geometry, stronger_side
-from tickloom.plans import inputs
+from tickloom.plans import inputs, learning
 from tickloom.plans import windows as plans
 from tickloom.plans.common import forget_shared
 from pyspark.sql import functions as F
@@ -97,3 +97,15 @@ def test_held_out_reads_ticks_once(spark, monkeypatch):
     assert plans.held_out(spark, "/root/testdata/sf0.001").count() == len(plans.SCORERS)
     assert len(calls) == 1
     forget_shared()
+
+
+def test_bundles_make_features_once(spark, monkeypatch):
+    calls, whole = [], features.compute_features
+    for module in (features, ml):
+        monkeypatch.setattr(module, "compute_features", lambda *args, **kwargs: calls.append(args) or whole(*args, **kwargs))
+    out = learning.ml_bundle_round_trip(spark, "/root/testdata/sf0.01")
+    assert not [f for f in out.inputFiles() if "events.parquet" in f]  # scores do not come from the ticks anew
+    assert len(calls) == 1
+    rows = out.collect()
+    assert len({(r.window_id, r.geometry, r.direction) for r in rows}) == len(rows) == 2 * len(learning.GEOMETRIES) * len(learning.BEFORE)
+    assert all(r.scored > 0 for r in rows)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from itertools import chain
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -136,42 +139,61 @@ def load_bundle(path: str) -> tuple[PipelineModel, list[str], dict]:
     return PipelineModel.load(f"{path}/model"), meta.pop("features"), meta
 
 
-def fit_bundles(bars: DataFrame, bounds: DataFrame, timeframe: str, geometries: Mapping[str, Geometry], path: str,
-                features: Sequence[str] = tuple(FEATURE_COLUMNS), rates: DataFrame | None = None, **params) -> DataFrame:
+def _side_by_side(spark: SparkSession, work: Callable, items: Iterable, threads: int) -> list:
+    """``work`` of every item in order, a few at a time: a fit is many short jobs, which leave a cluster waiting one by one."""
+    pool = ThreadPool(threads)
+    try:
+        return pool.map(inheritable_thread_target(spark)(work), list(items), chunksize=1)
+    finally:
+        pool.terminate()
+
+
+def fit_bundles(rows: DataFrame, bounds: DataFrame, geometries: Mapping[str, Geometry], path: str,
+                features: Sequence[str] = tuple(FEATURE_COLUMNS), threads: int = 4, **params) -> DataFrame:
     """One model per window, geometry and direction, fitted on bars strictly before the window and saved below ``path``.
 
-    Features look back only, so all windows share them; labels are made on the bars before each window, so none looks into
-    it. Returns the index of the bundles (window_id, geometry, direction, barriers, n_samples, base_rate, path), which is
-    also saved. The loops run over the grid; every fit is a distributed job.
+    ``rows`` is the feature table of all bars; it and ``bounds`` are read once per geometry and direction, so give tables
+    that are kept. Features look back only, so all windows share them; labels are made on the bars before each window, so
+    none looks into it. Returns the index of the bundles (window_id, geometry, direction, barriers, n_samples, base_rate,
+    path), which is also saved. Every fit is a distributed job, ``threads`` of the grid's run side by side.
     """
-    spark = bars.sparkSession
-    rows = durable(compute_features(bars, timeframe, rates=rates))
+    spark = rows.sparkSession
     known = bounds.select("window_id", "symbol", "lo")
-    made = []
-    for name, geometry in geometries.items():
-        for direction in ("long", "short"):
-            before = rows.join(known, "symbol").filter(F.col("ms") < F.col("lo"))
-            labelled = triple_barrier_labels(before, geometry, direction, ["window_id", "symbol"])
-            data = durable(complete_rows(labelled, features, "label").select("window_id", "label", *features))
-            for r in data.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).orderBy("window_id").collect():
-                model = classifier(features, **params).fit(data.filter(F.col("window_id") == r.window_id))
-                meta = {"window_id": r.window_id, "geometry": name, "direction": direction, "tp_atr_mult": geometry.tp_mult,
-                        "sl_atr_mult": geometry.sl_mult, "horizon": geometry.horizon, "n_samples": r.n, "base_rate": r.rate}
-                place = f"{path}/window={r.window_id}/geometry={name}/direction={direction}"
-                save_bundle(model, place, features, meta)
-                made.append((*meta.values(), place))
+
+    def fit(at: tuple[str, str]) -> list[tuple]:
+        name, direction = at
+        geometry, made = geometries[name], []
+        before = rows.join(known, "symbol").filter(F.col("ms") < F.col("lo"))
+        labelled = triple_barrier_labels(before, geometry, direction, ["window_id", "symbol"])
+        data = durable(complete_rows(labelled, features, "label").select("window_id", "label", *features))
+        for r in data.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).orderBy("window_id").collect():
+            model = classifier(features, **params).fit(data.filter(F.col("window_id") == r.window_id))
+            meta = {"window_id": r.window_id, "geometry": name, "direction": direction, "tp_atr_mult": geometry.tp_mult,
+                    "sl_atr_mult": geometry.sl_mult, "horizon": geometry.horizon, "n_samples": r.n, "base_rate": r.rate}
+            place = f"{path}/window={r.window_id}/geometry={name}/direction={direction}"
+            save_bundle(model, place, features, meta)
+            made.append((*meta.values(), place))
+        return made
+
+    made = _side_by_side(spark, fit, [(name, direction) for name in geometries for direction in ("long", "short")], threads)
     schema = "window_id int, geometry string, direction string, tp_atr_mult double, sl_atr_mult double, horizon int, n_samples long, base_rate double, path string"
-    index = spark.createDataFrame(made, schema)
+    index = spark.createDataFrame(list(chain.from_iterable(made)), schema)
     index.write.mode("overwrite").parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
-def score_bundles(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of each window (column ``window_id``) with the probability ``p`` of every bundle saved for it, by geometry and
-    direction; NULL where a feature is missing. Each bundle applies the feature list it was saved with."""
+def load_bundles(index: DataFrame, threads: int = 4) -> list[tuple[PipelineModel, list[str], dict]]:
+    """Every bundle of an index, each loaded once."""
+    return _side_by_side(index.sparkSession, load_bundle, [r.path for r in index.select("path").collect()], threads)  # the grid's entries
+
+
+def score_bundles(rows: DataFrame, bundles: Sequence[tuple[PipelineModel, list[str], dict]]) -> DataFrame:
+    """Rows of each window (column ``window_id``) with the probability ``p`` of every bundle loaded for it, by geometry and
+    direction; NULL where a feature is missing. Each bundle applies the feature list it was saved with.
+
+    ``rows`` is read twice per bundle, so give a table that is kept."""
     out = None
-    for r in index.collect():  # the grid's entries
-        model, features, meta = load_bundle(r.path)
+    for model, features, meta in bundles:
         part = score(model, rows.filter(F.col("window_id") == meta["window_id"]), features)
         part = part.select("window_id", F.lit(meta["geometry"]).alias("geometry"), F.lit(meta["direction"]).alias("direction"), "symbol", "ms", "p")
         out = part if out is None else out.unionByName(part)

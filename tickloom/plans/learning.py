@@ -15,6 +15,7 @@ from tickloom.plans.common import NUMBERED, SCORED, TICKS, bars_cte, hashed_sql,
 from tickloom.plans.market import _feature_sql, _label_sql
 from tickloom.plans.streams import scratch
 from tickloom.plans.trading import scored_bars
+from tickloom.session import durable
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -122,16 +123,18 @@ sc AS (SELECT window_id, count(*) AS scored FROM fe JOIN bo USING (symbol) WHERE
 SELECT window_id, geometry, direction, tp_atr_mult, sl_atr_mult, n_samples, base_rate, {len(FEATURE_COLUMNS)} AS n_features, '{','.join(FEATURE_COLUMNS)}' AS features, coalesce(scored, 0) AS scored FROM bu LEFT JOIN sc USING (window_id)""")
 def ml_bundle_round_trip(spark, sf):
     """Both sides and every geometry fitted before each window, saved, loaded and applied to the window's bars."""
-    path, bars = scratch(spark, "bundles"), inputs.bars(spark, sf)
-    bounds = ml.window_bounds(bars, spark.createDataFrame(BEFORE, "window_id int, days_back int, window_days int"))
-    index = ml.fit_bundles(bars, bounds, "1h", GEOMETRIES, path, trees=2, maxDepth=3)
-    inside = FE.compute_features(bars, "1h").join(bounds.select("window_id", "symbol", "lo", "hi"), "symbol").filter(F.col("ms").between(F.col("lo"), F.col("hi")))
+    path = scratch(spark, "bundles")
+    # the features of all bars are made once; the windows' bounds, the fits and the scored bars come from them
+    rows = durable(FE.compute_features(inputs.bars(spark, sf), "1h"))
+    bounds = durable(ml.window_bounds(rows, spark.createDataFrame(BEFORE, "window_id int, days_back int, window_days int")))
+    bundles = ml.load_bundles(ml.fit_bundles(rows, bounds, GEOMETRIES, path, trees=2, maxDepth=3))
+    inside = durable(rows.join(bounds.select("window_id", "symbol", "lo", "hi"), "symbol").filter(F.col("ms").between(F.col("lo"), F.col("hi"))))
     loaded = [(m["window_id"], m["geometry"], m["direction"], m["tp_atr_mult"], m["sl_atr_mult"], m["n_samples"], m["base_rate"], len(names), ",".join(names))
-              for r in index.collect() for _, names, m in [ml.load_bundle(r.path)]]
+              for _, names, m in bundles]
     table = spark.createDataFrame(loaded, "window_id int, geometry string, direction string, tp_atr_mult double, sl_atr_mult double, n_samples long, base_rate double, n_features int, features string")
     if not loaded:
         return table.withColumn("scored", F.lit(0).cast("long"))
-    scored = ml.score_bundles(inside, index).groupBy("window_id", "geometry", "direction").agg(F.count("p").alias("scored"))
+    scored = ml.score_bundles(inside, bundles).groupBy("window_id", "geometry", "direction").agg(F.count("p").alias("scored"))
     return rounded(table.join(scored, ["window_id", "geometry", "direction"], "left").withColumn("scored", F.coalesce("scored", F.lit(0))))
 
 
