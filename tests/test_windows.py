@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from oracle_check import compare, connect
 from walks import fold, walk_bars
 
 from tickloom.functions.scalars import Costs
@@ -109,3 +110,17 @@ def test_bundles_make_features_once(spark, monkeypatch):
     rows = out.collect()
     assert len({(r.window_id, r.geometry, r.direction) for r in rows}) == len(rows) == 2 * len(learning.GEOMETRIES) * len(learning.BEFORE)
     assert all(r.scored > 0 for r in rows)
+
+
+def test_bundles_are_fitted_whole(spark, monkeypatch):
+    asked, whole = [], ml.classifier
+
+    def short(features, **params):
+        pipe = whole(features, **params)
+        asked.append((pipe.getStages()[-1].getMaxIter(), pipe.getStages()[-1].getMaxDepth()))
+        return whole(features, trees=1, maxDepth=1)  # what was asked for is what counts here
+
+    monkeypatch.setattr(ml, "classifier", short)
+    got = learning.ml_bundle_round_trip(spark, "/root/testdata/sf0.01").toPandas()
+    assert asked == [(400, 5)] * 2 * len(learning.GEOMETRIES) * len(learning.BEFORE)
+    assert compare(got, connect("/root/testdata/sf0.01").execute(learning.ORACLE["ml_bundle_round_trip"]).df()) == ""

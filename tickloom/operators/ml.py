@@ -149,35 +149,40 @@ def _side_by_side(spark: SparkSession, work: Callable, items: Iterable, threads:
 
 
 def fit_bundles(rows: DataFrame, bounds: DataFrame, geometries: Mapping[str, Geometry], path: str,
-                features: Sequence[str] = tuple(FEATURE_COLUMNS), threads: int = 4, **params) -> DataFrame:
+                features: Sequence[str] = tuple(FEATURE_COLUMNS), threads: int = 8, **params) -> DataFrame:
     """One model per window, geometry and direction, fitted on bars strictly before the window and saved below ``path``.
 
     ``rows`` is the feature table of all bars; it and ``bounds`` are read once per geometry and direction, so give tables
     that are kept. Features look back only, so all windows share them; labels are made on the bars before each window, so
     none looks into it. Returns the index of the bundles (window_id, geometry, direction, barriers, n_samples, base_rate,
-    path), which is also saved. Every fit is a distributed job, ``threads`` of the grid's run side by side.
+    path), which is also saved. Every fit is a distributed job, ``threads`` of the grid's run side by side, those of one
+    geometry's windows too.
     """
     spark = rows.sparkSession
     known = bounds.select("window_id", "symbol", "lo")
 
-    def fit(at: tuple[str, str]) -> list[tuple]:
+    def label(at: tuple[str, str]) -> list[tuple]:
         name, direction = at
-        geometry, made = geometries[name], []
         before = rows.join(known, "symbol").filter(F.col("ms") < F.col("lo"))
-        labelled = triple_barrier_labels(before, geometry, direction, ["window_id", "symbol"])
+        labelled = triple_barrier_labels(before, geometries[name], direction, ["window_id", "symbol"])
         data = durable(complete_rows(labelled, features, "label").select("window_id", "label", *features))
-        for r in data.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).orderBy("window_id").collect():
-            model = classifier(features, **params).fit(data.filter(F.col("window_id") == r.window_id))
-            meta = {"window_id": r.window_id, "geometry": name, "direction": direction, "tp_atr_mult": geometry.tp_mult,
-                    "sl_atr_mult": geometry.sl_mult, "horizon": geometry.horizon, "n_samples": r.n, "base_rate": r.rate}
-            place = f"{path}/window={r.window_id}/geometry={name}/direction={direction}"
-            save_bundle(model, place, features, meta)
-            made.append((*meta.values(), place))
-        return made
-
-    made = _side_by_side(spark, fit, [(name, direction) for name in geometries for direction in ("long", "short")], threads)
+        counts = data.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).orderBy("window_id")
+        return [(name, direction, data, r) for r in counts.collect()]  # the grid's entries
+
+    def fit(at: tuple) -> tuple:
+        name, direction, data, r = at
+        geometry = geometries[name]
+        model = classifier(features, **params).fit(data.filter(F.col("window_id") == r.window_id))
+        meta = {"window_id": r.window_id, "geometry": name, "direction": direction, "tp_atr_mult": geometry.tp_mult,
+                "sl_atr_mult": geometry.sl_mult, "horizon": geometry.horizon, "n_samples": r.n, "base_rate": r.rate}
+        place = f"{path}/window={r.window_id}/geometry={name}/direction={direction}"
+        save_bundle(model, place, features, meta)
+        return (*meta.values(), place)
+
+    grid = [(name, direction) for name in geometries for direction in ("long", "short")]
+    made = _side_by_side(spark, fit, chain.from_iterable(_side_by_side(spark, label, grid, threads)), threads)
     schema = "window_id int, geometry string, direction string, tp_atr_mult double, sl_atr_mult double, horizon int, n_samples long, base_rate double, path string"
-    index = spark.createDataFrame(list(chain.from_iterable(made)), schema)
+    index = spark.createDataFrame(made, schema)
     index.write.mode("overwrite").parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 

@@ -127,7 +127,7 @@ def ml_bundle_round_trip(spark, sf):
     # the features of all bars are made once; the windows' bounds, the fits and the scored bars come from them
     rows = durable(FE.compute_features(inputs.bars(spark, sf), "1h"))
     bounds = durable(ml.window_bounds(rows, spark.createDataFrame(BEFORE, "window_id int, days_back int, window_days int")))
-    bundles = ml.load_bundles(ml.fit_bundles(rows, bounds, GEOMETRIES, path, trees=2, maxDepth=3))
+    bundles = ml.load_bundles(ml.fit_bundles(rows, bounds, GEOMETRIES, path))
     inside = durable(rows.join(bounds.select("window_id", "symbol", "lo", "hi"), "symbol").filter(F.col("ms").between(F.col("lo"), F.col("hi"))))
     loaded = [(m["window_id"], m["geometry"], m["direction"], m["tp_atr_mult"], m["sl_atr_mult"], m["n_samples"], m["base_rate"], len(names), ",".join(names))
               for _, names, m in bundles]
